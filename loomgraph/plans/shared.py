@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: A side is broadcast only if it has been counted and has at most this many rows.
+BROADCAST_ROWS = 50_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with ``right`` broadcast if it has at most ``limit`` rows, else by shuffle.
+
+    ``right`` should be cut or otherwise cheap to count, and its rows short.
+    """
+    small = right.limit(limit + 1).count() <= limit
+    return left.join(F.broadcast(right) if small else right, on, how)
