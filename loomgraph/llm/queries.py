@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, mixing
+from loomgraph.llm import chat, divergence, mixing, pii
 from loomgraph.plans.shared import table
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERNS)],
+        F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"),
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -102,6 +120,8 @@ FROM r GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op5_personal_data": op5_personal_data,
+        "op7_quality_rules": op7_quality_rules,
         "op8_mix_sources": op8_mix_sources,
         "op9_chat_windows": op9_chat_windows,
     }
