@@ -2,13 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, divergence, mixing, pii
+from loomgraph.llm import chat, divergence, media, mixing, packing, pii, secret_scan
 from loomgraph.plans.shared import table
 
 
+def op1_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media_rows(table(spark, sf_dir, "documents"))
+    clip = lambda c: F.format_string("%d-%d@%.2f-%.2f:%.3f", c["first_frame"], c["last_frame"], c["start_s"], c["end_s"], c["level"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join(F.transform("clips", clip), ";").alias("feature"),
+    )
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in secret_scan.KINDS])
+    is_base = lambda s: s["kind"] < 3
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+    return out.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS)],
+        F.sha2(written(F.filter("spans", is_base)).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.sanitise(table(spark, sf_dir, "documents"))
     kinds = F.array(*[F.lit(k) for k in pii.KINDS])
@@ -120,7 +154,10 @@ FROM r GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op1_avi_media": op1_avi_media,
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op5_personal_data": op5_personal_data,
+        "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_mix_sources": op8_mix_sources,
         "op9_chat_windows": op9_chat_windows,
