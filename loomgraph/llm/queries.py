@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, divergence, media, mixing, packing, pii, secret_scan
+from loomgraph.llm import chat, divergence, media, mixing, packing, pii, quality_knn, secret_scan, toxicity
 from loomgraph.plans.shared import table
 
 
@@ -43,6 +43,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_knn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.sanitise(table(spark, sf_dir, "documents"))
     kinds = F.array(*[F.lit(k) for k in pii.KINDS])
@@ -90,6 +95,11 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, epochs::BIGINT AS epoc
        (epochs * size + partial)::BIGINT AS taken FROM r
 """
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 ODD_TURN = r"\### Assistant: </turn> ok"
 
 
@@ -156,11 +166,13 @@ def queries() -> dict:
     return {
         "op1_avi_media": op1_avi_media,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_quality_neighbours": op4_quality_neighbours,
         "op5_personal_data": op5_personal_data,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_mix_sources": op8_mix_sources,
         "op9_chat_windows": op9_chat_windows,
+        "op10_toxicity": op10_toxicity,
     }
 
 
