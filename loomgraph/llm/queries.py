@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, divergence, media, mixing, packing, pii, quality_knn, secret_scan, toxicity
+from loomgraph.llm import chat, divergence, media, mixing, near_dup, packing, pii, quality_knn, secret_scan, toxicity
 from loomgraph.plans.shared import table
 
 
@@ -43,6 +43,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_knn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
@@ -166,6 +170,7 @@ def queries() -> dict:
     return {
         "op1_avi_media": op1_avi_media,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_minhash_near_dup": op3_minhash_near_dup,
         "op4_quality_neighbours": op4_quality_neighbours,
         "op5_personal_data": op5_personal_data,
         "op6_secret_scan": op6_secret_scan,
