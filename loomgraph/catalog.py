@@ -1,13 +1,15 @@
-"""All queries on the reference's own operators, by name, with their SQL."""
+"""All queries on the graph, retrieval and history operators, by name, with their SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = "catalog_counts"
+from loomgraph.queries import history, registry, relational, text, vectors  # noqa: F401  they register their queries
+
+FLAGSHIP = "optional_enrich_collect"
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
