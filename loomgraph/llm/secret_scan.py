@@ -3,7 +3,8 @@
 Two models of order 2 give the likelihood of a candidate string: one of random strings, one of ordinary identifiers
 and words. A candidate is a secret if the log-likelihood ratio per character exceeds a threshold. Both are trained
 on labelled samples: the secrets that the patterns find in a bounded sample of the corpus together with strings
-drawn from common alphabets, against the words and identifiers of the same sample outside those spans.
+drawn from common alphabets, against the words and identifiers of the same sample outside those spans together
+with identifiers joined from ordinary parts.
 """
 
 from __future__ import annotations
@@ -29,9 +30,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
 
 #: Candidates for the models: long runs of the characters that keys are written in.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_CANDIDATE = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-THRESHOLD = 1.0
+THRESHOLD = 2.5
+#: Weight of the shorter context's probability, in characters seen.
+BACK_OFF = 4.0
+# Parts of ordinary identifiers, for the model of what is no secret.
+IDENTIFIER_PARTS = (
+    "get", "set", "user", "name", "value", "count", "index", "list", "file", "path", "data", "item", "key", "type", "node", "config", "default",
+    "message", "error", "handler", "request", "response", "service", "manager", "client", "server", "table", "column", "query", "result",
+    "version", "number", "start", "end", "update", "create", "delete", "version2", "page1", "v3", "2024", "utf8", "sha256",
+)
 #: Training samples at most: documents read, strings of either label kept, drawn strings of each alphabet.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_STRINGS = 20_000
@@ -54,17 +64,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Markov:
-    """Order-2 model over ALPHABET with add-one smoothing; log probabilities in one array."""
+    """Order-2 model over ALPHABET; rare contexts fall back on shorter ones."""
 
     def __init__(self, samples: Iterable[str]):
-        self.size = len(ALPHABET) + 1  # the last stands for a string's edge
-        counts = np.ones((self.size, self.size, self.size), np.float32) / self.size
+        n = self.size = len(ALPHABET) + 1  # the last stands for a string's edge
+        counts = np.zeros((n, n, n))
         for s in samples:
             c = codes(s)
             if len(c):
-                a = np.concatenate([[self.size - 1, self.size - 1], c])
+                a = np.concatenate([[n - 1, n - 1], c])
                 np.add.at(counts, (a[:-2], a[1:-1], a[2:]), 1)
-        self.log = np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32)
+        p = np.full(n, 1 / n)
+        for level in (counts.sum(axis=(0, 1)), counts.sum(axis=0), counts):
+            p = (level + BACK_OFF * p) / (level.sum(axis=-1, keepdims=True) + BACK_OFF)
+        self.log = np.log(p).astype(np.float32)
 
     def score(self, c: np.ndarray) -> float:
         a = np.concatenate([[self.size - 1, self.size - 1], c])
@@ -89,14 +102,28 @@ def drawn_strings() -> list[str]:
     return ["".join(rng.choices(a, k=rng.randint(20, 48))) for a in alphabets for _ in range(DRAWN)]
 
 
+def ordinary_identifiers() -> list[str]:
+    """Identifiers joined from ordinary parts in the usual notations, always the same."""
+    rng = random.Random(SEED + 1)
+    out = []
+    for _ in range(DRAWN):
+        parts = rng.choices(IDENTIFIER_PARTS, k=rng.randint(2, 5))
+        out += ["_".join(parts), "-".join(parts), "/".join(parts), parts[0] + "".join(map(str.capitalize, parts[1:])), "_".join(parts).upper()]
+    return out
+
+
 def ratio(models: tuple[Markov, Markov], s: str) -> float:
     """Log-likelihood ratio for each character: over 0, ``s`` is likelier random."""
     c = codes(s)
     return models[0].score(c) - models[1].score(c) if len(c) else 0.0
 
 
+def is_candidate(s: str) -> bool:
+    return len(s) >= LEAST_CANDIDATE and any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
 def labelled_strings(text: str) -> tuple[list[str], list[str]]:
-    """Secrets by pattern, and the ordinary words and identifiers outside of them."""
+    """Secrets by pattern, and the ordinary words and identifiers outside of them; what the models are asked about is neither."""
     spans = base_spans(text)
     secret = []
     for start, kind, end in spans:
@@ -105,7 +132,7 @@ def labelled_strings(text: str) -> tuple[list[str], list[str]]:
     masked = list(text)
     for start, _, end in spans:
         masked[start:end] = " " * (end - start)
-    return secret, re.findall(r"[A-Za-z0-9+/_=-]{4,}", "".join(masked))
+    return secret, [s for s in re.findall(r"[A-Za-z0-9+/_=-]{4,}", "".join(masked)) if not is_candidate(s)]
 
 
 def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_strings: int = SAMPLE_STRINGS) -> tuple[Markov, Markov]:
@@ -128,7 +155,7 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_stri
     first = lambda d: d.orderBy("h").limit(sample_documents)
     strings = first(hinted).union(first(texts)).mapInArrow(run, "s string, label int").distinct()
     kept = [[r["s"] for r in strings.where(F.col("label") == label).orderBy(F.xxhash64("s"), "s").limit(sample_strings).collect()] for label in (1, 0)]
-    return Markov(kept[0] + drawn_strings()), Markov(kept[1])
+    return Markov(kept[0] + drawn_strings()), Markov(kept[1] + ordinary_identifiers())
 
 
 def spans_of(text: str, models: tuple[Markov, Markov], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -140,7 +167,7 @@ def spans_of(text: str, models: tuple[Markov, Markov], threshold: float = THRESH
         s = m[0]
         if any(start < b and a < end for start, _, end in found):
             continue
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and ratio(models, s) > threshold:
+        if is_candidate(s) and ratio(models, s) > threshold:
             more.append((a, KINDS.index("random"), b))
     return sorted(found + more)
 
