@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.queries import history, queues, registry, relational, text, vectors  # noqa: F401  they register their queries
+from loomgraph.queries import entities, history, queues, registry, relational, text, vectors  # noqa: F401  they register their queries
 
 FLAGSHIP = "optional_enrich_collect"
 
