@@ -67,7 +67,46 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(table(spark, sf_dir, "documents"))
+    out = divergence.judge(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
+
+
+def op7_sql() -> str:
+    """The rules with histograms as rows (document, histogram, place, count)."""
+    words = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+    left, classes = "t", []
+    for _, pattern in divergence.CHARACTER_CLASSES:
+        less = f"regexp_replace({left}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
+        classes.append(f"length({left}) - length({less})")
+        left = less
+    classes.append(f"length({left})")
+    listed = ", ".join(f"'{w}'" for w in divergence.VOCABULARY)
+    known = ", ".join(f"'{x}'" for x in divergence.LANGUAGES)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {words} AS w, [{", ".join(classes)}] AS classes FROM d),
+g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1),
+v AS (SELECT r, sum(least(3, coalesce(after - i, 3)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM s) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+m AS (SELECT w.r, doc_id, lang, len(w)::BIGINT AS n_words, (length(t) - classes[2])::BIGINT AS word_chars, classes[4]::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words, classes, w AS w
+      FROM w JOIN l USING (r) LEFT JOIN v ON v.r = w.r),
+f AS (SELECT *, n_words < {divergence.MIN_WORDS} OR 100 * n_repeat_words > {divergence.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM m),
+c AS (SELECT r, k, count(*) AS c FROM (SELECT r, coalesce(list_position([{listed}], lower(x)), {len(divergence.VOCABULARY) + 1}) AS k FROM (SELECT r, unnest(w) AS x FROM f)) GROUP BY 1, 2),
+h AS (SELECT r, 'classes' AS h, unnest(range(1, {len(classes) + 1})) AS k, unnest(classes)::DOUBLE AS c FROM f
+      UNION ALL SELECT f.r, 'commons', q.k, coalesce(c.c, 0)::DOUBLE FROM f CROSS JOIN (SELECT unnest(range(1, {len(divergence.VOCABULARY) + 2})) AS k) q LEFT JOIN c ON c.r = f.r AND c.k = q.k),
+p AS (SELECT r, h, k, CASE WHEN sum(c) OVER (PARTITION BY r, h) > 0 THEN c / sum(c) OVER (PARTITION BY r, h) ELSE 0 END AS p, sum(c) OVER (PARTITION BY r, h) AS n FROM h),
+u AS (SELECT p.*, CASE WHEN lang IN ({known}) THEN lang END AS known FROM p JOIN f USING (r) WHERE NOT base_failed AND n_words >= {divergence.MIN_WORDS_FOR_COMMON}),
+q AS (SELECT known, h, k, avg(p) AS q FROM u WHERE known IS NOT NULL GROUP BY 1, 2, 3 UNION ALL SELECT NULL, h, k, avg(p) FROM u GROUP BY 2, 3),
+o AS (SELECT r, lang AS known FROM f WHERE lang IN (SELECT known FROM q) UNION ALL SELECT r, NULL FROM f WHERE lang IS NULL OR lang NOT IN (SELECT known FROM q WHERE known IS NOT NULL)),
+j AS (SELECT p.r, p.h, max(n) AS n, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)), 6)::DOUBLE AS x
+      FROM p JOIN o USING (r) JOIN q ON q.known IS NOT DISTINCT FROM o.known AND q.h = p.h AND q.k = p.k GROUP BY 1, 2),
+e AS (SELECT f.*, CASE WHEN a.n >= {divergence.MIN_CHARS_FOR_CLASSES} THEN a.x END AS class_distance, CASE WHEN n_words >= {divergence.MIN_WORDS_FOR_COMMON} THEN b.x END AS common_distance
+      FROM f LEFT JOIN j a ON a.r = f.r AND a.h = 'classes' LEFT JOIN j b ON b.r = f.r AND b.h = 'commons')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance,
+       NOT base_failed AND coalesce(class_distance, 0) <= {divergence.MAX_CLASS_DISTANCE} AND coalesce(common_distance, 0) <= {divergence.MAX_COMMON_DISTANCE} AS kept FROM e
+"""
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,4 +221,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL, "op9_chat_windows": OP9_SQL}
+    return {"op7_quality_rules": op7_sql(), "op8_mix_sources": OP8_SQL, "op9_chat_windows": OP9_SQL}
