@@ -170,12 +170,9 @@ def test_signatures_within_the_distance_share_a_key(spark):
         pack = lambda x: [int(sum(int(v) << 8 * p for p, v in enumerate(c))) for c in x.reshape(near_dup.CHUNKS, near_dup.CHUNK_BYTES)]
         rows.append((n, pack(a), pack(b)))
     df = spark.createDataFrame(rows, "n int, a array<long>, b array<long>")
-    shared = F.filter(F.arrays_zip(near_dup.keys_of(F.col("a")).alias("x"), near_dup.keys_of(F.col("b")).alias("y")), lambda z: z["0"] == z["1"])
-    places = F.filter(F.transform(near_dup.keys_of(F.col("a")), lambda k, i: F.when(k == F.get(near_dup.keys_of(F.col("b")), i), i)), lambda i: i.isNotNull())
-    marks = near_dup.apart(F.col("a"), F.col("b"))
-    for r in df.select("n", near_dup.errors(marks).alias("e"), near_dup.first_key(marks).alias("first"), places.alias("places")).collect():
-        assert r["e"] == r["n"] and r["places"] and r["first"] == r["places"][0]
-    assert shared is not None
+    same = F.exists(F.zip_with(near_dup.keys_of(F.col("a")), near_dup.keys_of(F.col("b")), lambda x, y: x == y), lambda x: x)
+    for r in df.select("n", near_dup.errors(near_dup.apart(F.col("a"), F.col("b"))).alias("e"), same.alias("same")).collect():
+        assert r["e"] == r["n"] and r["same"]
 
 
 def test_one_of_each_group_stays(spark):
