@@ -61,6 +61,16 @@ def test_base_spans_are_those_of_the_patterns(spark):
         assert [tuple(x) for x in r["b"]] == brute_spans(r["text"])
 
 
+def test_addresses_with_zero_parts_are_spans(spark):
+    texts = ["10.0.0.1", "at 0.0.0.0, 192.168.0.1 or 000.000.000.000", "00256.0.0.1 and 0.0.0.256", "0" * 4000 + ".0.0.00255", "10.1.2.3 and 010.1.1.1"]
+    out = pii.sanitise(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).select("row.text", F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("b")).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert [tuple(x) for x in r["b"]] == brute_spans(r["text"])
+    ip = list(pii.PATTERNS).index("ip")
+    assert {r["text"]: sum(x[0] == ip for x in r["b"]) for r in out} == dict(zip(texts, [1, 3, 0, 1, 2]))
+
+
 def test_texts_are_rewritten_and_clean_ones_kept(spark):
     rows = [(1, "é x@y.de at 1.2.3.4!", "s"), (2, "nothing here", "s"), (3, None, "s")]
     out = {r["doc_id"]: r for r in pii.sanitised_documents(docs(spark, rows)).collect()}
