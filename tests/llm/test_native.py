@@ -1,6 +1,7 @@
 """Column-function operators: PII, quality rules, mixing, chat; brute-force versions and odd rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -91,6 +92,47 @@ def test_terms_that_disclose_an_entity_become_spans(spark):
 # --- quality rules
 
 
+def brute_terms(texts):
+    """For each text the terms that disclose one of its entities, and whether fully."""
+    terms = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w]
+    words = [set(terms(t)) for t in texts]
+    has, near = [], set()
+    for t in texts:
+        has.append(set())
+        for k, a, b in brute_spans(t):
+            entity = (k, t[a:b].lower())
+            has[-1].add(entity)
+            near |= {(entity, w) for w in terms(t[max(0, a - 80) : a])[-4:] + terms(t[b : b + 80])[:4]}
+    out = [{} for _ in texts]
+    for entity, w in near:
+        n_entity, n_term = sum(entity in h for h in has), sum(w in x for x in words)
+        both = [i for i, h in enumerate(has) if entity in h and w in words[i]]
+        rate = math.log(len(texts) * len(both) / (n_entity * (n_term + 1))) / math.log(len(texts) / n_entity)
+        for i in both if rate >= 0.8 else []:
+            out[i][w] = out[i].get(w, False) or rate >= 0.999
+    return out
+
+
+def test_terms_of_entities_seen_once_or_twice_become_spans(spark):
+    """Entities in one document, in two, in copies; a term that stands away from its entity elsewhere; hapaxes far off."""
+    filler = [f"common{i % 7} words{i % 5} of{i % 3} prose{i % 4} here" for i in range(200)]
+    texts = [
+        "common1 words2 once quillfax mails ann@x.org on common3 prose1 words3 of1 prose2 farhapax",
+        "common1 words2 dorblett rang 10.0.0.7 on common3",
+        "dorblett common2 words1 of1 prose1 prose2 words3 of2 common4 common5 saw 10.0.0.7 again",
+        *["copied grumwelt wrote eve@y.org of1 prose1"] * 150,
+        *filler,
+    ]
+    out = {r["id"]: r for r in pii.sanitise(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).select(F.col("row.doc_id").alias("id"), "spans", "clean_text").collect()}
+    expected = brute_terms(texts)
+    for i, t in enumerate(texts):
+        got = {t[s["start"] : s["end"]].lower(): s["label"] == "" for s in out[i]["spans"] if s["kind"] == pii.KINDS.index("term")}
+        assert got == expected[i]
+    assert "quillfax" in expected[0] and "farhapax" not in expected[0]
+    assert "dorblett" in expected[1] and "dorblett" in expected[2]
+    assert all(out[i]["clean_text"] == t for i, t in enumerate(texts) if t in filler)
+
+
 def brute_measures(text):
     w = WORD.findall(text or "")
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
