@@ -8,6 +8,7 @@ scored by its most toxic run, and is trained through that run, because a few wor
 from __future__ import annotations
 
 import string
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ SEGMENT = 8
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SHORTEST, LONGEST = 3, 5
-#: Bytes of a word that its n-grams are taken from; longer runs are blobs, not words.
+#: Bytes of a word at most; longer runs without white space are cut into pieces.
 LONGEST_WORD = 62
 DIMENSIONS = 8
 EPOCHS, WHOLE_EPOCHS = 50, 8
@@ -41,9 +42,40 @@ def normal(word: str) -> str:
     return word.lower().strip(string.punctuation)
 
 
+def windows(word: str) -> list[str]:
+    """Pieces of at most LONGEST_WORD bytes that overlap enough for every n-gram to be whole in one of them."""
+    data, out, at = word.encode(), [], 0
+    while True:
+        end = min(at + LONGEST_WORD, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:  # not inside a character
+            end -= 1
+        out.append(data[at:end].decode())
+        if end == len(data):
+            return out
+        at = end - (LONGEST - 1)
+        while data[at] & 0xC0 == 0x80:
+            at -= 1
+
+
+def pieces_of(word: str) -> list[str]:
+    """A word itself; of a run too long for one its parts between punctuation, and the run in windows."""
+    plain = normal(word)
+    if len(plain.encode()) <= LONGEST_WORD:
+        return [word]
+    parts = "".join(" " if unicodedata.category(c)[0] in "PSZC" else c for c in plain).split()
+    return windows(plain) + ([w for p in parts for w in windows(p)] if len(parts) > 1 else [])
+
+
+def words_of(text: str | None) -> list[str]:
+    words = (text or "").split()
+    if max(map(len, words), default=0) <= LONGEST_WORD // 4:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONGEST_WORD // 4 else pieces_of(w))]
+
+
 def subword_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) pairs as two arrays: for each word, itself and its n-grams between edge marks."""
-    data = [b"<" + w.encode()[:LONGEST_WORD] + b">" for w in words]
+    data = [b"<" + w.encode() + b">" for w in words]
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     chars = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -101,7 +133,7 @@ def probability(odds: float) -> float:
 
 def score_texts(texts: list[str | None], known: WordValues) -> list[float]:
     """Probability that the most toxic run of each text is toxic; runs overlap by half."""
-    split = [(t or "").split() for t in texts]
+    split = [words_of(t) for t in texts]
     known.learn(set().union(*split))
     out = []
     for words in split:
@@ -124,7 +156,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     vocabulary: dict[str, int] = {}
     runs, run_doc = [], []
     for d, text in enumerate(texts):
-        ids = [vocabulary.setdefault(normal(w), len(vocabulary)) for w in text.split()] or [vocabulary.setdefault("", len(vocabulary))]
+        ids = [vocabulary.setdefault(normal(w), len(vocabulary)) for w in words_of(text)] or [vocabulary.setdefault("", len(vocabulary))]
         for at in range(0, len(ids), SEGMENT):
             part = ids[at : at + SEGMENT]
             runs.append(part + [-1] * (SEGMENT - len(part)))
@@ -184,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches):
         for b in in_blocks(batches):
-            texts = [" ".join((t or "").split()[:SAMPLE_WORDS]) for t in b.column("text").to_pylist()]
+            texts = [" ".join(words_of(t)[:SAMPLE_WORDS]) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(texts, pa.string())], schema=schema)
 
     picked = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label int, text string").toArrow().to_pylist()

@@ -233,6 +233,32 @@ def test_toxicity_catches_unseen_spellings(spark):
     assert toxicity.score_toxicity(docs(spark, []), labels(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("far", ["", "毒" * 6, "ü" * 40 + "x"])
+def test_long_runs_count_whole(far):
+    run = "清" * 200 + far + "水" * 50
+    parts = toxicity.pieces_of(run)
+    assert all(len(p.encode()) <= toxicity.LONGEST_WORD for p in parts)
+    data, pieces = run.encode(), [p.encode() for p in parts]
+    for n in range(1, toxicity.LONGEST + 1):
+        assert {data[k : k + n] for k in range(len(data) - n + 1)} == {p[k : k + n] for p in pieces for k in range(len(p) - n + 1)}
+    assert "scrumple" in toxicity.pieces_of("clean/" * 20 + "scrumple、fine") and toxicity.words_of("a " + "-" * 100) == ["a", "-" * 100]
+    again = " ".join(toxicity.words_of("one " + "it's_fine/" * 30 + run))
+    assert toxicity.words_of(again) == again.split()
+
+
+def test_toxic_part_of_a_long_run_is_scored():
+    rng = random.Random(4)
+    words = [a + b + c for a in ("ba", "de", "fi", "go") for b in ("lu", "me", "ni") for c in ("ra", "se", "ti")]
+    clean = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(300)]
+    marks = np.array([float(i % 3 == 0) for i in range(300)])
+    swapped = lambda t, k: " ".join("scrumple" if j == k else w for j, w in enumerate(t.split()))
+    texts = [swapped(t, rng.randrange(40)) if m else t for t, m in zip(clean, marks)]
+    known = toxicity.WordValues(toxicity.train(texts, marks))
+    long = "/".join(clean[1].split())
+    fine, bad = toxicity.score_texts([long, long + "/scrumple/" + long], known)
+    assert fine < 0.3 <= bad
+
+
 # --- secrets
 
 SECRETS = [
