@@ -72,13 +72,16 @@ def lineage(edges: DataFrame, most_hops: int = 10) -> DataFrame:
     return known
 
 
-def chains(edges: DataFrame, most_hops: int = 10) -> DataFrame:
-    """(root, path, hops): paths from nodes without incoming edge to nodes without outgoing edge."""
+def chains(edges: DataFrame) -> DataFrame:
+    """(root, path, hops): paths from nodes without incoming edge to nodes without outgoing edge, of any length.
+
+    A round adds one edge to every open path. A path visits no node twice, so cycles end.
+    """
     step = cut(edges.select("src", "dst").distinct())
     roots = step.join(step.select(F.col("dst").alias("src")), "src", "left_anti")
     open_ = roots.select(F.col("src").alias("root"), F.array("src", "dst").alias("path"))
     done = None
-    for _ in range(most_hops):
+    while True:
         grown = open_.withColumn("src", F.element_at("path", -1)).join(step, "src", "left")
         grown = cut(grown.withColumn("ends", F.col("dst").isNull() | F.array_contains("path", F.col("dst"))))
         ended = grown.where("ends").select("root", "path")

@@ -144,3 +144,9 @@ def test_html_sections():
     parser.feed("<head><title>t</title></head><h1>One</h1><p>a &amp; b</p><script>x</script><table><tr><td>1</td><td>2</td></tr></table>")
     text, sections = parser.result()
     assert text == "One\na & b\n1 | 2" and sections == {"One": "a & b12"}
+
+
+def test_chains_are_followed_to_their_end(spark):
+    edges = [(k, k + 1) for k in range(14)] + [(100, 101), (201, 202), (202, 203), (203, 202)]
+    out = versions.chains(spark.createDataFrame(edges, "src long, dst long"))
+    assert sorted((r["root"], r["path"], r["hops"]) for r in out.collect()) == [(0, list(range(15)), 14), (100, [100, 101], 1), (201, [201, 202, 203], 2)]
