@@ -6,16 +6,20 @@ signatures within that distance have a chunk with at most ALLOWED errors; with o
 out one byte of a chunk are enumerated, and every such pair shares a key. Documents with equal sets are
 one node from the start.
 
-Pairs under a key are not enumerated. Every node of a key is first compared with a few lead nodes, those it shares
-most keys with; confirmed links give components. Nodes and leads within the signature distance, linked or not, form
-clusters. In a cluster with several components all nodes outside the largest one are compared with all nodes, block
-by block: each node is sent once for each block of the other side, and no pair becomes a row.
+Pairs under a key don't become rows. Every node is first compared with a few lead nodes, those it shares most keys
+with; confirmed links give components. Where a key holds several components, the nodes outside its largest one meet
+each other under the key, and they meet all of the largest component; signatures are compared block by block. So each
+pair under a key is in one component or its distance is computed. Pairs within the distance give clusters, in
+which the full sets of all nodes outside the largest component are compared with all others, again block by block:
+each node is sent once for each block of the other side.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,9 @@ from loomgraph.functions.expr import let
 from loomgraph.operators.components import connected_components
 from loomgraph.plans.shared import cut, join_counted
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SHINGLE_WORDS = 5
 #: Similarity as a whole number of percent.
 PERCENT = 80
@@ -39,8 +46,9 @@ HASHES = CHUNKS * CHUNK_BYTES
 BROADCAST_IDS = 500_000
 #: Leads that a node is compared with first.
 FIRST_LEADS = 4
-#: Nodes in a block of a cluster, and cells of the matrices that two blocks are compared with at once.
-BLOCK_NODES = 128
+#: Signatures and texts in a block, and cells of the matrices that two blocks are compared with at once.
+BLOCK_NODES = 512
+BLOCK_TEXTS = 256
 BLOCK_CELLS = 1 << 21
 #: Words whose hash a Python worker remembers.
 REMEMBERED = 300_000
@@ -172,14 +180,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def different(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    at = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
-    joined = pairs.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
-    own = lambda end: F.coalesce(F.col(f"{end}_component"), F.col(end))
-    return joined.where(own("src") != own("dst")).select(pairs.columns)
-
-
 def within_distance(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose signatures differ in at most MOST_ERRORS bytes."""
     signed = lambda end: nodes.select(F.col("node").alias(end), F.col("signature").alias(f"{end}_signature"))
@@ -196,44 +196,145 @@ def nearest(candidates: DataFrame, k: int) -> DataFrame:
     return top.select("p.src", "p.dst").distinct()
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches, in one frame for each combination of ``keys``; a run may go on in the next batch."""
+    import pandas as pd
+
+    left = None
+    for batch in batches:
+        frame = batch.to_pandas()
+        if left is not None:
+            frame = pd.concat([left, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        k = frame[keys].to_numpy()
+        starts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1)]
+        for begin, end in zip(starts, starts[1:]):
+            yield frame.iloc[begin:end]
+        left = frame.iloc[starts[-1] :]
+    if left is not None:
+        yield left
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the edges (x, y) connect what those before them don't."""
+    parent: dict[int, int] = {}
+
+    def root(v):
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = parent[up]
+            v = up
+        return v
+
+    keep = np.zeros(len(x), bool)
+    for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
+        p, q = root(p), root(q)
+        if p != q:
+            parent[p] = q
+            keep[k] = True
+    return keep
+
+
+def in_blocks(few: DataFrame, every: DataFrame, size: int) -> DataFrame:
+    """Both sides of each group dealt to blocks of about ``size`` rows, and each row sent to all blocks of the other side.
+
+    Sides have the columns ``place`` (the group) and node; ``few`` tells them apart in the result, whose rows of one
+    (place, i, j) are a block of either side. So no pair becomes a row.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / size).cast("int")
+    count = lambda side, n: side.groupBy("place").agg(F.count("*").alias(n))
+    sizes = cut(count(few, "n").join(count(every, "m"), "place").select("place", blocks("n").alias("a"), blocks("m").alias("b")))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = few.join(sizes, "place").select(*few.columns, F.lit(True).alias("few"), own("a").alias("i"), all_of("b").alias("j"))
+    right = every.join(sizes, "place").select(*few.columns, F.lit(False).alias("few"), all_of("a").alias("i"), own("b").alias("j"))
+    return left.unionByName(right)
+
+
+def among(rows: DataFrame, size: int) -> DataFrame:
+    """Like ``in_blocks``, for groups whose rows meet each other: both blocks of a pair are one side (``few`` is null)."""
+    sizes = cut(rows.groupBy("place").agg(F.ceil(F.count("*") / size).cast("int").alias("a")))
+    dealt = rows.join(sizes, "place").withColumn("own", F.pmod(F.xxhash64("node"), F.col("a")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("a") - 1)))
+    return dealt.select(*rows.columns, F.lit(None).cast("boolean").alias("few"), F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+
+
+def near_forests(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (src, dst) that span, in each pair of blocks, all pairs of two components within the signature distance.
+
+    ``rows`` come from ``in_blocks`` or ``among``.
+    """
+    rows = rows.join(nodes, "node")
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def run(batches):
+        for group in runs(batches, ["place", "i", "j"]):
+            bytes_of = np.array(group["signature"].tolist(), np.int64).view(np.uint8).reshape(len(group), -1)
+            node, component = group["node"].to_numpy(), group["component"].to_numpy()
+            left, right = (np.flatnonzero(group["few"].isna() | (group["few"] == few)) for few in (True, False))
+            found = []
+            step = max(1, BLOCK_CELLS * 8 // max(1, len(right) * bytes_of.shape[1]))
+            for at in range(0, len(left), step):
+                part = left[at : at + step]
+                near = (bytes_of[part][:, None, :] != bytes_of[right][None, :, :]).sum(axis=2, dtype=np.int16) <= MOST_ERRORS
+                near &= component[part][:, None] != component[right][None, :]
+                x, y = np.nonzero(near)
+                keep = forest(component[part[x]], component[right[y]])
+                found += [(node[part[x[keep]]], node[right[y[keep]]])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], schema=schema)
+
+    dealt = rows.select("place", "i", "j", "few", "node", "component", "signature").repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
+    return dealt.mapInArrow(run, "src long, dst long").distinct()
+
+
 def link_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, component) of the nodes that have a link; nodes are (node, signature)."""
-    keys = nodes.select("node", F.posexplode(keys_of(F.col("signature"))).alias("place", "key"))
+    keys = nodes.select("node", F.explode(keys_of(F.col("signature"))).alias("key"))
     # the lowest node leads, and the lowest and highest after mixing with the key, which differ from key to key
     drawn = F.col("node").bitwiseXOR(F.col("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min(drawn).alias("one"), F.max(drawn).alias("other")).where("n > 1")
     shared = cut(shared.select("key", "low", F.expr("one ^ key").alias("one"), F.expr("other ^ key").alias("other")))
-    tried = keys.join(shared, "key").select("node", F.explode(F.array_distinct(F.array("low", "one", "other"))).alias("lead")).where("node <> lead")
+    held = cut(keys.join(shared, "key"))
+    tried = held.select("node", F.explode(F.array_distinct(F.array("low", "one", "other"))).alias("lead")).where("node <> lead")
     ends = tried.select(F.greatest("node", "lead").alias("src"), F.least("node", "lead").alias("dst"))
-    candidates = cut(ends.groupBy("src", "dst").agg(F.count("*").alias("common")))
+    candidates = ends.groupBy("src", "dst").agg(F.count("*").alias("common"))
 
     first = cut(within_distance(nearest(candidates, FIRST_LEADS), nodes))
     links = cut(confirmed(first, docs, size, percent))
-    components = connected_components(links)
-    near = cut(within_distance(different(candidates.join(first, ["src", "dst"], "left_anti"), components).select("src", "dst"), nodes))
-    clusters = connected_components(links.union(first).union(near)).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
-    more = compared(clusters.join(components.withColumnRenamed("id", "node"), "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component")), docs, size, percent)
+    members = cut(nodes.select("node").join(connected_components(links).withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+    # Keys with several components: all rows outside the largest one, as what is in it is one component already.
+    placed = cut(held.select("node", "key").join(members, "node").select("key", "node", "component"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    open_keys = cut(open_keys.select("key", F.col("top.component").alias("largest")))
+    outside = placed.join(open_keys, (placed["key"] == open_keys["key"]) & (placed["component"] != open_keys["largest"]))
+    outside = cut(outside.select(placed["key"], "node", "component", "largest"))
+    # They meet each other under their key, and the whole largest component once for all keys.
+    several = outside.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
+    under_key = cut(outside.join(several, "key").select(F.col("key").alias("place"), "node", "component"))
+    to_largest = cut(outside.select(F.col("largest").alias("place"), "node", "component").distinct())
+    largest = members.join(to_largest.select(F.col("place").alias("component")).distinct(), "component").select(F.col("component").alias("place"), "node", "component")
+    near = cut(near_forests(among(under_key, BLOCK_NODES).unionByName(in_blocks(to_largest, largest, BLOCK_NODES)), nodes))
+
+    clusters = connected_components(links.union(near)).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    more = compared(clusters.join(members, "node").select("node", "cluster", "component"), docs, size, percent)
     return connected_components(cut(links.union(more)))
 
 
 def compared(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (src, dst) between components of one cluster: all nodes outside its largest component against all its nodes.
 
-    ``members`` is (node, cluster, component). Both sides of a cluster are dealt to blocks of about BLOCK_NODES, and each
-    pair of blocks is compared in one group, so a node is sent once for each block of the other side and no pair of nodes
-    becomes a row.
+    ``members`` is (node, cluster, component). Blocks are compared in one group for each pair of them.
     """
     members = cut(members)
     sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    whole = sizes.groupBy("cluster").agg(F.sum("n").alias("n_all"), F.max(F.struct("n", "component")).alias("top")).where(F.col("n_all") > F.col("top.n"))
-    blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("int")
-    whole = whole.select("cluster", F.col("top.component").alias("largest"), blocks(F.col("n_all") - F.col("top.n")).alias("a"), blocks(F.col("n_all")).alias("b"))
-    placed = cut(members.join(whole, "cluster").withColumn("draw", F.xxhash64("node")))
-    of = lambda n: F.sequence(F.lit(0), n - 1)
-    few = placed.where("component <> largest").select("node", "cluster", "component", F.lit(True).alias("few"), F.expr("cast(pmod(draw, a) as int)").alias("i"), F.explode(of(F.col("b"))).alias("j"))
-    every = placed.select("node", "cluster", "component", F.lit(False).alias("few"), F.explode(of(F.col("a"))).alias("i"), F.expr("cast(pmod(draw, b) as int)").alias("j"))
+    whole = sizes.groupBy("cluster").agg(F.count("*").alias("n"), F.max(F.struct("n", "component")).alias("top")).where("n > 1").select("cluster", F.col("top.component").alias("largest"))
+    placed = cut(members.join(cut(whole), "cluster").select(F.col("cluster").alias("place"), "node", "component", "largest"))
+    every = placed.drop("largest")
+    rows = in_blocks(placed.where("component <> largest").drop("largest"), every, BLOCK_TEXTS)
     ids = cut(placed.select(F.col("node").alias("text_key")))
-    rows = few.unionByName(every).join(texts_of(ids, docs).withColumnRenamed("text_key", "node"), "node")
+    rows = rows.join(texts_of(ids, docs).withColumnRenamed("text_key", "node"), "node")
 
     def compare(group):
         import pandas as pd
@@ -262,9 +363,10 @@ def compared(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         union = n[left][:, None] + n[right][None, :] - shared
         hit = (100 * shared >= percent * union) & (component[left][:, None] != component[right][None, :])
         x, y = np.nonzero(hit)
-        return pd.DataFrame({"src": node[left[x]].astype("int64"), "dst": node[right[y]].astype("int64")})
+        keep = forest(component[left[x]], component[right[y]])
+        return pd.DataFrame({"src": node[left[x[keep]]].astype("int64"), "dst": node[right[y[keep]]].astype("int64")})
 
-    return rows.groupBy("cluster", "i", "j").applyInPandas(compare, "src long, dst long")
+    return rows.groupBy("place", "i", "j").applyInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, with_text_key: bool = False) -> DataFrame:
@@ -283,7 +385,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     nodes = cut(nodes)
     linked = link_components(nodes.select("node", "signature"), docs, shingle_words, percent)
     placed = nodes.join(linked.withColumnRenamed("id", "node"), "node", "left").select("set_key", "first_doc", F.coalesce("component", "node").alias("component"))
-    lowest = placed.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    placed = cut(placed)
+    # written before the join, so that Spark can split a large component's rows among tasks
+    lowest = cut(placed.groupBy("component").agg(F.min("first_doc").alias("component_id")))
     sets = cut(placed.join(lowest, "component").select("set_key", "component_id"))
     key = ["text_key"] if with_text_key else []
     out = filled.select("doc_id", "n_shingles", "set_key", *key).join(sets, "set_key").select("doc_id", "n_shingles", "component_id", *key)
@@ -297,11 +401,14 @@ def without_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
     Of rows with equal id and text one stays. Rows are told apart by a hash of id and text, so rows that repeat an id
     with another text go by themselves. Documents with a null doc_id stay if no linked document has an id.
     """
-    row = lambda text_key: F.xxhash64(F.col("doc_id").cast("long"), text_key).alias("near_dup_row")
+    name = "near_dup_row"
+    while name in docs.columns:
+        name += "_"
+    row = lambda text_key: F.xxhash64(F.col("doc_id").cast("long"), text_key).alias(name)
     judged = cut(near_duplicates(docs, shingle_words, percent, with_text_key=True).select(row(F.col("text_key")), "kept"))
-    counted = judged.groupBy("near_dup_row").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    gone, twice = cut(counted.where("not kept").select("near_dup_row")), cut(counted.where("kept and n > 1").select("near_dup_row"))
-    left = join_counted(docs.withColumn("near_dup_row", row(F.xxhash64(F.col("text").cast("string")))), gone, "near_dup_row", "left_anti", BROADCAST_IDS)
-    single = join_counted(left, twice, "near_dup_row", "left_anti", BROADCAST_IDS)
-    again = join_counted(left, twice, "near_dup_row", "left_semi", BROADCAST_IDS).dropDuplicates(["near_dup_row"])
+    counted = judged.groupBy(name).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    gone, twice = cut(counted.where("not kept").select(name)), cut(counted.where("kept and n > 1").select(name))
+    left = join_counted(docs.withColumn(name, row(F.xxhash64(F.col("text").cast("string")))), gone, name, "left_anti", BROADCAST_IDS)
+    single = join_counted(left, twice, name, "left_anti", BROADCAST_IDS)
+    again = join_counted(left, twice, name, "left_semi", BROADCAST_IDS).dropDuplicates([name])
     return single.unionByName(again).select(docs.columns)
