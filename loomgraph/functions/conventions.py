@@ -46,3 +46,51 @@ def inferred(psi_axis: Column, psi_edge: Column, current: Column, field: Column,
     s = lambda c: F.when(c >= 0, 1).otherwise(-1)
     rpz = F.lit(1 if right_handed else -1)
     return {"bp": s(psi_edge - psi_axis) * s(current) * 1, "exponent": F.when(per_radian, 0).otherwise(1), "rpz": rpz, "rtp": s(q) * s(current) * s(field)}
+
+
+def _sign(value: Column) -> Column:
+    """1 for zero and above, -1 below, null for null and NaN."""
+    return F.when(value.isNull() | F.isnan(value), F.lit(None)).when(value >= 0, 1).otherwise(-1)
+
+
+def _parameters(convention: Column) -> Column:
+    """Struct of parameters of a convention; null for one that isn't known."""
+    out = F.lit(None).cast("struct<bp:int,exponent:int,rpz:int,rtp:int>")
+    for k, v in CONVENTIONS.items():
+        out = F.when(convention == k, F.struct(*[F.lit(x).alias(n) for n, x in zip(("bp", "exponent", "rpz", "rtp"), v)])).otherwise(out)
+    return out
+
+
+def inferred_convention(psi_axis: Column, psi_edge: Column, current: Column, field: Column, q: Column, dp: Column, right_handed: bool = True) -> Column:
+    """Struct (convention, confidence) that the signs of an equilibrium tell; ``q`` and ``dp`` may be null.
+
+    A flux over half a weber counts as not divided by 2 pi. Confidence starts at one half; the sign of the pressure gradient
+    adds 0.15 if it agrees and takes 0.25 if not, a known safety factor adds 0.2.
+    """
+    bp = _sign(psi_edge - psi_axis) * _sign(current)
+    exponent = F.when(F.greatest(F.abs(psi_axis), F.abs(psi_edge)) > 0.5, 1).otherwise(0)
+    rtp = F.coalesce(_sign(q) * _sign(current) * _sign(field), F.lit(1))
+    rpz = 1 if right_handed else -1
+    of = {(v[0], v[1], v[3]): k for k, v in CONVENTIONS.items() if v[2] == rpz}
+    known = F.create_map(*[F.lit(x) for k, v in of.items() for x in ("/".join(map(str, k)), v)])
+    agrees = _sign(dp) == -_sign(current) * bp
+    confidence = 0.5 + F.when(agrees.isNull(), 0.0).when(agrees, 0.15).otherwise(-0.25) + F.when(_sign(q).isNull(), 0.0).otherwise(0.2)
+    return F.struct(known[F.concat_ws("/", bp, exponent, rtp)].alias("convention"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("confidence"))
+
+
+def inconsistencies(convention: Column, psi_axis: Column, psi_edge: Column, current: Column, field: Column, q: Column, dp: Column) -> Column:
+    """Array of what contradicts a declared convention: invalid, psi, dp, q; empty if nothing does."""
+    p = _parameters(convention)
+    checks = [
+        F.when(_sign(current) * p["bp"] != _sign(psi_edge - psi_axis), "psi"),
+        F.when(_sign(dp) != -_sign(current) * p["bp"], "dp"),
+        F.when(_sign(q) != _sign(current) * _sign(field) * p["rtp"], "q"),
+    ]
+    return F.when(p.isNull(), F.array(F.lit("invalid"))).otherwise(F.array_compact(F.array(*checks)))
+
+
+def change_factors(labelled: DataFrame, a: int, b: int) -> DataFrame:
+    """``labelled`` (with ``label``) and the factor from convention ``a`` to ``b``, and whether to multiply by it."""
+    both = labelled.withColumns({"a": _parameters(F.lit(a)), "b": _parameters(F.lit(b))})
+    out = both.withColumn("factor", factor(F.col("label"), "a", "b")).drop("a", "b")
+    return out.withColumn("action", F.when(F.col("factor") == 1, "none").otherwise("multiply"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import paths
 from loomgraph.functions.chunks import chunk_rows
 from loomgraph.operators import fulltext, fusion
-from loomgraph.plans.shared import table
+from loomgraph.plans.shared import cut, table
 from loomgraph.queries.registry import query
 from loomgraph.sources.html import page_text
 
@@ -44,7 +44,7 @@ def label_stream(spark, sf_dir):
 @query(f"""WITH {BM25}, v AS ({VECTOR}), t AS (SELECT doc_id, score / max(score) OVER () AS score FROM b)
   SELECT doc_id, round(0.6 * coalesce(v.score, 0) + 0.4 * coalesce(t.score, 0) + CASE WHEN v.score IS NOT NULL AND t.score IS NOT NULL THEN 0.1 ELSE 0 END, 4)::DOUBLE AS score FROM v FULL JOIN t USING (doc_id)""")
 def hybrid_blend(spark, sf_dir):
-    text = scored(spark, sf_dir)
+    text = cut(scored(spark, sf_dir))
     top = text.agg(F.max("score").alias("top"))
     relative = text.crossJoin(F.broadcast(top)).select("doc_id", (F.col("score") / F.col("top")).alias("score"))  # one row
     return fusion.blend(label_stream(spark, sf_dir), relative, "doc_id", bonus=0.1).select("doc_id", "score")
