@@ -14,7 +14,7 @@ from loomgraph.functions.expr import let, positions, total
 TREE_PATH = r"(?i)\\{1,2}[A-Z_][A-Z_0-9]*::[A-Z_][A-Z_0-9:]*"
 PAIR_PATH = r"\b([A-Z][A-Z0-9]{1,7})/([A-Z][A-Z0-9_]{0,9})\b"
 UNIT = (
-    r"\b(eV|keV|MeV|GeV|m\^?-?[123]|cm\^?-?[123]|mm|Tesla|T|Wb|Weber|Amp(?:ere)?s?|A|MA|kA|Ohm|ohm|Ω|Volt|V|kV|Watt|W|MW|kW|"
+    r"(?i)\b(eV|keV|MeV|GeV|m\^?-?[123]|cm\^?-?[123]|mm|Tesla|T|Wb|Weber|Amp(?:ere)?s?|A|MA|kA|Ohm|ohm|Ω|Volt|V|kV|Watt|W|MW|kW|"
     r"m/s|m\.s\^-1|rad|radian|degrees?|°|seconds?|s|ms|μs|ns|Hz|kHz|MHz|GHz|Pa|kPa|MPa|bar|mbar|Torr)\b"
 )
 CONVENTION = r"(?i)COCOS\s*(?:=\s*)?[0-9]{1,2}|coordinate\s+conventions?\s+[0-9]{1,2}"

@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.expr import let
+from loomgraph.plans.shared import cut
+
 K1, B = 1.2, 0.75
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -26,14 +29,15 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
     """(key, score): BM25 of the documents that hold any of the terms.
 
-    Counts for a few query terms are taken in one pass over the texts, so no posting of other terms is shuffled.
+    The counts of the few query terms are taken in one pass over the texts and written, a few numbers for each document;
+    statistics and scores come from them, so no text is read twice and no posting of other terms is shuffled.
     """
     def occurrences(term: str) -> Column:
-        return F.size(F.filter("w", lambda w: w == F.lit(term)))
+        return F.size("w") - F.size(F.array_remove("w", F.lit(term)))
 
     wanted = list(dict.fromkeys(t.lower() for t in terms))
     counted = docs.select(key, tokens(F.col(text)).alias("w"))
-    counted = counted.select(key, F.size("w").alias("length"), *[occurrences(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    counted = cut(counted.select(key, F.size("w").alias("length"), *[occurrences(t).alias(f"tf{i}") for i, t in enumerate(wanted)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     joined = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(wanted)))).crossJoin(F.broadcast(stats))  # one row
 
@@ -80,15 +84,34 @@ def ngrams(w: Column, n: int) -> Column:
 def themes(docs: DataFrame, text: str, least: int = 2) -> DataFrame:
     """(theme, size, n, n_docs, weight): word pairs and triples that occur at least twice, count * (ln(N / df) + 1), triples * 1.2.
 
-    Each document counts its own n-grams first.
+    A document's n-grams are sorted, and the first of equal ones counts the document, so one shuffle of partial sums
+    gives both counts. Null texts count as documents without words.
     """
-    words = docs.select(F.monotonically_increasing_id().alias("doc"), tokens(F.col(text)).alias("w"))
-    total = docs.count()
+    n_docs = docs.count()
+    marked = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("theme"), F.when((i > 0) & (F.get(g, i - 1) == x), 0).otherwise(1).alias("first")))
+    every = let(tokens(F.col(text)), lambda w: F.sort_array(F.concat(ngrams(w, 2), ngrams(w, 3))))
+    each = docs.select(F.explode(let(every, marked)).alias("x")).select("x.*")
+    kept = each.groupBy("theme").agg(F.count("*").alias("n"), F.sum("first").alias("n_docs")).where(F.col("n") >= least)
+    size = F.size(F.split("theme", " "))
+    factor = F.when(size == 3, 1.2).otherwise(1.0)
+    return kept.select("theme", size.alias("size"), "n", "n_docs", (F.col("n") * (F.log(F.lit(float(n_docs)) / F.col("n_docs")) + 1) * factor).alias("weight"))
+
 
-    def counted(n: int) -> DataFrame:
-        each = words.select("doc", F.explode(ngrams(F.col("w"), n)).alias("theme")).groupBy("theme", "doc").count()
-        return each.groupBy("theme").agg(F.sum("count").alias("n"), F.count("*").alias("n_docs")).withColumn("size", F.lit(n))
+def different_themes(found: DataFrame, k: int, most: int = 2000) -> DataFrame:
+    """(place, theme, weight): the ``k`` heaviest themes, without those that mostly repeat words of heavier ones: a report.
 
-    kept = counted(2).unionByName(counted(3)).where(F.col("n") >= least)
-    factor = F.when(F.col("size") == 3, 1.2).otherwise(1.0)
-    return kept.select("theme", "size", "n", "n_docs", (F.col("n") * (F.log(F.lit(float(total)) / F.col("n_docs")) + 1) * factor).alias("weight"))
+    Of the ``most`` heaviest themes, in order of weight and then theme, one is taken unless more than half of its words
+    were in those taken before.
+    """
+    order = lambda x: F.struct((-x["weight"]).alias("w"), x["theme"].alias("theme"))
+    listed = found.orderBy(F.desc("weight"), "theme").limit(most).agg(F.sort_array(F.collect_list(order(F.struct("weight", "theme")))).alias("t"))
+    start = F.struct(F.array().cast("array<struct<theme:string,weight:double>>").alias("done"), F.array().cast("array<string>").alias("seen"))
+
+    def step(a: Column, x: Column) -> Column:
+        words = F.array_distinct(F.split(x["theme"], " "))
+        repeated = F.size(F.array_intersect(words, a["seen"])) >= F.floor(F.size(words) / 2) + 1
+        taken = F.struct(F.array_append(a["done"], F.struct(x["theme"].alias("theme"), (-x["w"]).alias("weight"))).alias("done"), F.array_union(a["seen"], words).alias("seen"))
+        return F.when(repeated | (F.size(a["done"]) >= k), a).otherwise(taken)
+
+    chosen = listed.select(F.posexplode(F.aggregate("t", start, step, lambda a: a["done"])).alias("place", "x"))
+    return chosen.select("place", "x.theme", "x.weight")

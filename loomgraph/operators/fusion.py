@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.shared import cut
+
 
 def blend(vector: DataFrame, text: DataFrame, key: str, weights: tuple[float, float] = (0.6, 0.4), bonus: float = 0.0, digits: int = 4) -> DataFrame:
     """(key, score): weighted sum; a stream that lacks the key counts 0, and both together earn the bonus."""
@@ -27,11 +29,17 @@ def boosted(score: Column, text: Column, words: Sequence[str], step: float = 0.0
 def ranked(stream: DataFrame, key: str, k: int | None = None) -> DataFrame:
     """(key, place): places from 0 by score and then key.
 
-    With ``k`` only the top rows are ranked, after a limit that each task applies first.
+    With ``k`` only the top rows are ranked, after a limit that each task applies first. Without it rows are sorted in
+    ranges, each range is ranked by itself, and the sizes of the ranges before are added.
     """
     order = [F.desc("score"), F.asc(key)]
-    cut_ = stream.orderBy(*order).limit(k) if k else stream
-    return cut_.select(key, (F.row_number().over(Window.orderBy(*order)) - 1).alias("place"))
+    if k:
+        return stream.orderBy(*order).limit(k).select(key, (F.row_number().over(Window.orderBy(*order)) - 1).alias("place"))
+    sorted_ = cut(stream.select(key, "score").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = sorted_.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    placed = sorted_.join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    return placed.select(key, (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1).alias("place"))
 
 
 def reciprocal_ranks(streams: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:

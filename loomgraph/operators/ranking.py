@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,15 +12,18 @@ from pyspark.sql import functions as F
 def percentile_rank(df: DataFrame, value: str, by: Sequence[str], name: str = "percentile") -> DataFrame:
     """Mean rank of ties from 0 over n - 1, to four places; 0.5 for a group of one.
 
-    Values are counted first, so the window runs over distinct values and not over rows.
+    Values are counted first, so the window runs over distinct values and not over rows. Null values have a null rank
+    and don't count in n; rows with a null group are one group. All rows stay.
     """
-    counted = df.groupBy(*by, value).agg(F.count("*").alias("ties"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
     order = Window.partitionBy(*by).orderBy(value)
     below = F.coalesce(F.sum("ties").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = F.sum("ties").over(Window.partitionBy(*by))
     rank = F.when(n > 1, F.round((below + (F.col("ties") - 1) / 2) / (n - 1), 4)).otherwise(F.lit(0.5))
-    ranked = counted.select(*by, value, rank.alias(name))
-    return df.join(ranked, [*by, value])
+    own = [*by, value]
+    ranked = counted.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(own)], rank.alias(name))
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(ranked[f"_{i}"]) for i, c in enumerate(own)])
+    return df.join(ranked, same, "left").select(*[df[c] for c in df.columns], name)
 
 
 def top_per_group(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column], k: int, name: str = "place") -> DataFrame:
@@ -42,10 +46,11 @@ def chain(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, m
 
 
 def epochs(df: DataFrame, by: Sequence[str], order: Sequence[Column], fingerprint: Column, place: str) -> DataFrame:
-    """Runs of one fingerprint: epoch number, first and last place, rows."""
+    """Runs of one fingerprint: epoch number, first and last place, rows. A null fingerprint is one like any other."""
     w = Window.partitionBy(*by).orderBy(*order)
-    before = F.lag(fingerprint).over(w)
-    changed = df.select("*", F.when(before.isNull() | (before != fingerprint), 1).otherwise(0).alias("starts"), fingerprint.alias("fingerprint"))
+    same = F.lag(fingerprint).over(w).eqNullSafe(fingerprint)
+    starts = F.when((F.row_number().over(w) > 1) & same, 0).otherwise(1)
+    changed = df.select("*", starts.alias("starts"), fingerprint.alias("fingerprint"))
     numbered = changed.withColumn("epoch", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*by, "epoch", "fingerprint").agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"), F.count("*").alias("n"))
 

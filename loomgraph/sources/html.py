@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements whose text is no content, elements that end a line, and headings.
-SKIPPED = {"script", "style", "noscript", "template", "head"}
+SKIPPED = {"script", "style", "noscript", "template", "title"}
 BLOCKS = {"p", "div", "li", "tr", "br", "ul", "ol", "table", "section", "article", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: A new part of the page ends what was skipped; so does the end of one.
+CONTENT = {"body", "article", "main", "section", "h1", "h2"}
+CLOSING = {"body", "html", "head"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -18,11 +21,15 @@ class PageText(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = [""]
-        self.sections: dict[str, str] = {}
-        self.skip, self.heading, self.current = 0, None, None
+        self.sections: dict[str, list[str]] = {}
+        self.skip: list[str] = []
+        self.heading, self.current = None, None
 
     def handle_starttag(self, tag, attrs):
-        self.skip += tag in SKIPPED
+        if tag in SKIPPED:
+            self.skip.append(tag)
+        elif tag in CONTENT and self.skip:  # an element that was never closed
+            self.skip.clear()
         if tag in HEADINGS:
             self.heading = ""
         if tag in BLOCKS:
@@ -31,11 +38,13 @@ class PageText(HTMLParser):
             self.lines[-1] += " | "
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED and self.skip:
-            self.skip -= 1
+        if tag in self.skip:
+            del self.skip[self.skip.index(tag) :]
+        elif tag in CLOSING:
+            self.skip.clear()
         if tag in HEADINGS and self.heading is not None:
             self.current, self.heading = " ".join(self.heading.split()), None
-            self.sections.setdefault(self.current, "")
+            self.sections.setdefault(self.current, [])
         if tag in BLOCKS:
             self.lines.append("")
 
@@ -46,11 +55,11 @@ class PageText(HTMLParser):
         if self.heading is not None:
             self.heading += data
         elif self.current is not None:
-            self.sections[self.current] += data
+            self.sections[self.current].append(data)
 
     def result(self) -> tuple[str, dict[str, str]]:
         lines = [" ".join(x.split()) for x in self.lines]
-        return "\n".join(x for x in lines if x), {k: " ".join(v.split()) for k, v in self.sections.items()}
+        return "\n".join(x for x in lines if x), {k: " ".join("".join(v).split()) for k, v in self.sections.items()}
 
 
 def page_text(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomgraph.plans.shared import cut
+
 STATUS = ("pending", "claimed", "done", "failed")
 
 
@@ -104,20 +106,63 @@ def stream_leases(claims: DataFrame, seconds: int) -> DataFrame:
     return claims.groupBy("id").applyInPandasWithState(grant, "id long, token string, event string, expires_ms long", "token string, expires_ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Parts of a snapshot by hash of the key; a micro-batch rewrites only those it touches.
+BUCKETS = 64
+
+
+def current_snapshot(spark: SparkSession, path: str, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+    """The latest version of each bucket, as ``latest_stream_upsert`` left it; of versions under ``before`` and some buckets if given."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(*buckets))
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # only folder names are read for this
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("bucket", "version")
+
+
 def latest_stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str):
-    """Keep a snapshot of the latest row of each key: every micro-batch writes the next version beside the last."""
+    """Keep a snapshot of the latest row of each key; read it with ``current_snapshot``.
+
+    Keys are dealt to BUCKETS. A micro-batch reads and rewrites the buckets it has keys of, under its own version, so a
+    batch that is run again writes the same files. A bucket's versions before the last two are deleted; the one before the
+    last stays for those who are still reading.
+    """
     from loomgraph.operators.upsert import latest
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = latest(batch, keys, [F.col(order)])
-        if number:
-            new = latest(spark.read.parquet(f"{path}/version={number - 1}").unionByName(new), keys, [F.col(order)])
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        if batch.isEmpty():
+            return
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        new = cut(latest(batch, keys, [F.col(order)]))
+        touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # at most BUCKETS
+        if _versions(spark, path, touched, number):
+            new = latest(current_snapshot(spark, path, number, touched).unionByName(new), keys, [F.col(order)])
+        new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        for b in touched:
+            for old in sorted(_versions(spark, path, [b], number))[:-1]:
+                _folder(spark, f"{path}/version={old}/bucket={b}", delete=True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _folder(spark: SparkSession, path: str, delete: bool = False) -> list[str]:
+    """Names in a folder of any file system that Spark knows, none if it is missing; or delete the folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if delete:
+        fs.delete(p, True)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if not delete and fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, path: str, buckets: Sequence[int], before: int) -> set[int]:
+    """Versions under ``before`` that hold any of the buckets."""
+    found = [int(n.split("=")[1]) for n in _folder(spark, path) if n.startswith("version=")]
+    wanted = {f"bucket={b}" for b in buckets}
+    return {v for v in found if v < before and wanted & set(_folder(spark, f"{path}/version={v}"))}
+
+
 def windowed_counts(events: DataFrame, at: str, by: Sequence[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by event-time window; rows later than the watermark are left out of closed windows."""
     return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")

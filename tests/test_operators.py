@@ -68,13 +68,10 @@ def test_components_of_a_long_chain_and_no_edges(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
-def test_top_k_ties_by_key_and_rejects_too_many_queries(spark, monkeypatch):
+def test_top_k_ties_by_key(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0] if i < 5 else [0.0, 1.0]) for i in range(10)], "id long, v array<double>")
     out = values(vectors.top_k(rows, rows.where("id = 0"), "id", "v", 3), "place", "id")
     assert out == [(1, 1), (2, 2), (3, 3)]
-    monkeypatch.setattr(vectors, "MOST_QUERIES", 1)
-    with pytest.raises(ValueError):
-        vectors.top_k(rows, rows, "id", "v", 3)
 
 
 def test_mean_similarity_of_one(spark):

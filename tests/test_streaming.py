@@ -73,4 +73,11 @@ def test_stream_upsert_keeps_the_latest(spark, tmp_path):
     spark.createDataFrame([(1, "x", 1), (1, "y", 3), (2, "z", 1)], schema).coalesce(1).write.json(str(source))
     stream = spark.readStream.schema(schema).json(str(source))
     leases.latest_stream_upsert(stream, str(out), str(tmp_path / "cp"), ["id"], "at").awaitTermination(120)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/version=0").select("id", "v").collect()) == [(1, "y"), (2, "z")]
+    assert sorted(tuple(r) for r in leases.current_snapshot(spark, str(out)).select("id", "v").collect()) == [(1, "y"), (2, "z")]
+    more = [[(1, "w", 2), (3, "n", 1)], [(3, "m", 2)], [(3, "l", 3)]]
+    for rows in more:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
+        leases.latest_stream_upsert(spark.readStream.schema(schema).json(str(source)), str(out), str(tmp_path / "cp"), ["id"], "at").awaitTermination(120)
+    assert sorted(tuple(r) for r in leases.current_snapshot(spark, str(out)).select("id", "v").collect()) == [(1, "y"), (2, "z"), (3, "l")]
+    versions = {p.name for p in out.glob("version=*/bucket=*")}
+    assert len(list(out.glob("version=*/bucket=*"))) <= 2 * len(versions)
