@@ -1,8 +1,11 @@
 """Chat formatting in budgeted windows.
 
-Turns are counted in words. Prefix sums of the turns before each turn, divided by the stride, choose the
-window whose target the turn is, so windows hold whole turns. A window's text repeats the system turns and the
-last few turns before its own; the loss mask covers only the assistant turns that are its own.
+Turns are counted in words. Prefix sums of the turns before each turn, divided by a stride, choose the window whose
+target the turn is, so windows hold whole turns. The stride is half of what the budget leaves beside the longest
+system turn, and a turn longer than the stride has a window of its own, so the system turn and a window's own turns
+stay within the budget unless a single turn and the system turn are too long together. Before its own turns a
+window repeats the system turn in force, and of the last few turns as many as the budget still allows; the loss mask
+covers only the assistant turns that are its own.
 
 Template: ``<turn ROLE>TEXT</turn>\\n`` with both parts escaped: a backslash becomes ``\\0``, ``<`` becomes ``\\1``,
 ``>`` becomes ``\\2``. In escaped text every backslash starts such a code and no angle bracket is left, so a
@@ -16,9 +19,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import word_count
 
+#: Words of a window: system turn, history and own turns.
 BUDGET = 512
-#: Own turns are dealt to windows by half the budget; the rest is for the system turn and history.
-STRIDE = BUDGET // 2
+#: Turns before a window's own that it repeats at most.
 HISTORY = 2
 
 OPEN, MIDDLE, CLOSE = "<turn ", ">", "</turn>\n"
@@ -40,80 +43,81 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("\\0"), F.lit("\\"))
 
 
-def chat_windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
-    """Windows of each conversation: ``conv_id, window, formatted, n_repeated, loss_spans``.
+def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Windows of each conversation: ``conv_id, window, formatted, n_words, n_repeated, loss_spans``.
 
-    ``turns`` has conv_id, turn, role, text. A window's own turns start within one stride of words, so it has
-    at most a stride plus its last turn; ``n_repeated`` turns stand before them: all system turns that came
-    earlier, then up to ``history`` of the turns just before, fewer if a system turn is among them.
+    ``turns`` has conv_id, turn, role, text. ``n_repeated`` turns stand before a window's own ones: the last system
+    turn before them, if any, and then up to ``history`` turns from just before, dropped from the earliest on until
+    the window is within ``budget`` words (``n_words``). Only where a turn and the longest system turn
+    exceed the budget together, their window does; nothing is cut.
     ``loss_spans`` are (start, end) in code points of ``formatted``, end exclusive, around the escaped texts of
     the window's own assistant turns.
 
     Null texts and roles count as empty strings. Rows with a null conv_id form one conversation. Turns are
     ordered by turn (null first), then role and text; equal rows stay turns of their own. An empty table
-    gives no windows. Other columns are ignored.
+    gives no windows. Other columns are ignored. All turns of a conversation are ordered in one task.
     """
     clean = turns.select(
         "conv_id",
         "turn",
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.sum(word_count(F.col("text"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    placed = clean.select("*", F.row_number().over(ordered).alias("at"), F.floor(F.coalesce(before, F.lit(0)) / stride).alias("band"))
-    placed = placed.withColumn("window", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("band")) - 1)
-    by_place = Window.partitionBy("conv_id").orderBy("at")
-    ahead = F.array(*[F.lead("window", k).over(by_place) for k in range(1, history + 1)]) if history else F.array()
-    last = F.max("window").over(Window.partitionBy("conv_id"))
-    later = placed.select("*", ahead.alias("ahead"), last.alias("last"))
-    repeats = F.when(
-        F.col("role") == "system",
-        F.when(F.col("last") > F.col("window"), F.sequence(F.col("window") + 1, F.col("last"))).otherwise(F.array().cast("array<int>")),
-    ).otherwise(F.filter(F.array_distinct("ahead"), lambda w: w > F.col("window")))
-    member = later.select(
-        "conv_id", "at", "role", "text",
-        F.explode(F.concat(F.array(F.struct(F.col("window"), F.lit(True).alias("own"))),
-                           F.transform(repeats, lambda w: F.struct(w.alias("window"), F.lit(False).alias("own"))))).alias("m"),
-    )
-    body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE))
-    piece = F.struct(
-        F.col("m.own").alias("own"),
-        (F.col("role") != "system").alias("plain"),
-        "at",
-        body.alias("body"),
-        (F.length(escape(F.col("role"))) + len(OPEN) + len(MIDDLE)).alias("lead"),
-        (F.col("m.own") & (F.col("role") == "assistant")).alias("learn"),
+    counted = clean.select("*", (F.col("role") == "system").alias("system"), word_count(F.col("text")).alias("n"))
+    conversation = Window.partitionBy("conv_id")
+    ordered = conversation.orderBy("turn", "role", "text")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    own_system = F.when(F.col("system"), F.col("n"))
+    placed = counted.select(
+        "*",
+        F.row_number().over(ordered).alias("at"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.coalesce(F.last(own_system, ignorenulls=True).over(earlier), F.lit(0)).alias("in_force"),
+        F.greatest(F.lit(1), F.floor((budget - F.coalesce(F.max(own_system).over(conversation), F.lit(0))) / 2)).alias("stride"),
     )
-    windows = member.groupBy("conv_id", F.col("m.window").alias("window")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    # (own, plain, at): repeated system turns, repeated history, then the own turns
-    own_sorted = F.array_sort(
-        F.filter("pieces", lambda p: p["own"]), lambda a, b: (a["at"] - b["at"]).cast("int")
+    placed = placed.withColumn("long", (F.col("n") > F.col("stride")).cast("int"))
+    by_place = conversation.orderBy("at")
+    stretch = 2 * F.coalesce(F.sum("long").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("long")
+    placed = placed.withColumn("stretch", stretch).withColumn("band", F.floor(F.col("before") / F.col("stride")))
+    placed = placed.withColumn("window", F.dense_rank().over(conversation.orderBy("stretch", "band")) - 1)
+    in_window = Window.partitionBy("conv_id", "window").orderBy("at")
+    placed = placed.select(
+        "*",
+        F.first("before").over(in_window).alias("begin"),
+        (budget - F.first("in_force").over(in_window) - F.sum("n").over(Window.partitionBy("conv_id", "window"))).alias("room"),
     )
-    windows = windows.withColumn("repeated", F.filter("pieces", lambda p: ~p["own"])).withColumn("pieces", F.concat("repeated", own_sorted))
-    lengths = windows.withColumn("lengths", F.transform("pieces", lambda p: F.length(p["body"])))
-    ends = F.aggregate(
-        "lengths",
-        F.array().cast("array<int>"),
-        lambda done, n: F.concat(done, F.array(n + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)))),
+    ahead = [F.lead(F.struct("window", "begin", "room"), k).over(by_place) for k in range(1, history + 1)]
+    next_system = F.first(F.when(F.col("system"), F.col("window")), ignorenulls=True)
+    no_windows = F.array().cast("array<int>")
+    later = placed.select(
+        "*",
+        (F.array(*ahead) if ahead else F.array().cast("array<struct<window:int,begin:bigint,room:bigint>>")).alias("ahead"),
+        F.coalesce(next_system.over(by_place.rowsBetween(1, Window.unboundedFollowing)), F.max("window").over(conversation)).alias("until"),
     )
-    spans = F.transform(
-        F.filter(
-            F.arrays_zip("pieces", "ends"),
-            lambda z: z["pieces"]["learn"],
-        ),
-        lambda z: F.struct(
-            (z["ends"] - F.length(z["pieces"]["body"]) + z["pieces"]["lead"]).alias("start"),
-            (z["ends"] - len(CLOSE)).alias("end"),
-        ),
+    fits = F.filter("ahead", lambda w: (w["window"] > F.col("window")) & (w["begin"] - F.col("before") <= w["room"]))
+    repeats = (
+        F.when(~F.col("system"), F.array_distinct(F.transform(fits, lambda w: w["window"])))
+        .when(F.col("until") > F.col("window"), F.sequence(F.col("window") + 1, F.col("until")))
+        .otherwise(no_windows)
     )
-    return lengths.withColumn("ends", ends).select(
-        "conv_id",
-        "window",
-        F.array_join(F.transform("pieces", lambda p: p["body"]), "").alias("formatted"),
-        F.size("repeated").alias("n_repeated"),
-        spans.alias("loss_spans"),
+    own = F.array(F.struct(F.col("window"), F.lit(True).alias("own")))
+    again = F.transform(repeats, lambda w: F.struct(w.alias("window"), F.lit(False).alias("own")))
+    member = later.select("conv_id", "at", "n", "role", "text", "system", F.explode(F.concat(own, again)).alias("m"))
+    body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE))
+    member = member.select("conv_id", "at", "n", "role", "system", F.col("m.window").alias("window"), F.col("m.own").alias("own"), body.alias("body"))
+    # the repeated system turn, repeated history, then the own turns in order
+    rank = F.struct("own", (F.col("own") | ~F.col("system")).alias("plain"), "at")
+    ends = F.sum(F.length("body")).over(Window.partitionBy("conv_id", "window").orderBy(rank))
+    learn = F.col("own") & (F.col("role") == "assistant")
+    span = F.struct((F.col("end") - F.length("body") + F.length(escape(F.col("role"))) + len(OPEN) + len(MIDDLE)).cast("int").alias("start"), (F.col("end") - len(CLOSE)).cast("int").alias("end"))
+    member = member.withColumn("end", ends)
+    windows = member.groupBy("conv_id", "window").agg(
+        F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "body"))).alias("pieces"),
+        F.sum("n").alias("n_words"),
+        F.sum((~F.col("own")).cast("int")).cast("int").alias("n_repeated"),
+        F.sort_array(F.collect_list(F.when(learn, span))).alias("loss_spans"),
     )
+    return windows.select("conv_id", "window", F.array_join(F.transform("pieces", lambda p: p["body"]), "").alias("formatted"), "n_words", "n_repeated", "loss_spans")
 
 
 def read_turns(formatted: Column) -> Column:

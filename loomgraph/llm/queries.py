@@ -187,15 +187,21 @@ OP9_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-o AS (SELECT *, row_number() OVER w AS place, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM c
-      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-b AS (SELECT *, floor(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 256.0) AS band FROM o),
-v AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY band) - 1 AS win,
-        length(role) + length(text) + 15 + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) AS chars FROM b),
-a AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last_win,
-        lead(win, 1) OVER (PARTITION BY conv_id ORDER BY place) AS w1, lead(win, 2) OVER (PARTITION BY conv_id ORDER BY place) AS w2 FROM v),
-r AS (SELECT *, CASE WHEN role = 'system' THEN last_win - win
-        ELSE (CASE WHEN w1 > win THEN 1 ELSE 0 END) + (CASE WHEN w2 > win AND (w1 IS DISTINCT FROM w2) THEN 1 ELSE 0 END) END AS again FROM a)
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+             len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM c),
+s AS (SELECT conv_id, greatest(1, (512 - coalesce(max(n) FILTER (role = 'system'), 0)) // 2) AS stride FROM o GROUP BY conv_id),
+p AS (SELECT o.*, s.stride, coalesce(sum(n) OVER before_it, 0) AS start, coalesce(sum(CASE WHEN n > stride THEN 1 ELSE 0 END) OVER before_it, 0) AS longs
+      FROM o JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
+      WINDOW before_it AS (PARTITION BY o.conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY 2 * longs + CASE WHEN n > stride THEN 1 ELSE 0 END, start // stride) - 1 AS win FROM p),
+w AS (SELECT conv_id, win, min(place) AS first_place, min(start) AS first_start, sum(n) AS own FROM v GROUP BY 1, 2),
+f AS (SELECT w.*, (SELECT max(place) FROM v WHERE v.conv_id IS NOT DISTINCT FROM w.conv_id AND v.role = 'system' AND v.place < w.first_place) AS system_place FROM w),
+h AS (SELECT f.*, coalesce(v.n, 0) AS system_n FROM f LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND v.place = f.system_place),
+again AS (SELECT h.conv_id, v.place FROM h JOIN v ON v.conv_id IS NOT DISTINCT FROM h.conv_id
+          AND (v.place = h.system_place
+               OR v.role <> 'system' AND v.place BETWEEN h.first_place - 2 AND h.first_place - 1 AND h.first_start - v.start + h.system_n + h.own <= 512)),
+r AS (SELECT v.*, (SELECT count(*) FROM again a WHERE a.conv_id IS NOT DISTINCT FROM v.conv_id AND a.place = v.place) AS again,
+             length(role) + length(text) + 15 + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) AS chars FROM v)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
