@@ -1,15 +1,17 @@
 """Quality classifier: votes of the nearest labelled documents in a latent-semantic space.
 
-Terms are trigrams of character classes over a text's UTF-8 bytes, and words equal to the one or two before them.
-Square roots of term shares, weighted by inverse document frequency over a labelled sample, are projected on the
+Terms are trigrams of character classes over a text's UTF-8 bytes, words equal to the one or two before them, and words
+hashed to WORD_BUCKETS. Square roots of term shares, weighted by inverse document frequency over a labelled sample, are projected on the
 sample's leading singular vectors. The sample's vectors and labels are broadcast; every document's cosine with all
 of them is computed in blocks, exactly, and the NEIGHBOURS nearest vote for their label by similarity.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,17 @@ DIMENSIONS = 32
 NEIGHBOURS = 15
 #: Similarities are raised to this power before they weigh a vote.
 SHARPNESS = 8
+#: Cosines are rounded to so many places, so that ties don't depend on the order of a sum.
+DIGITS = 9
 FOLDS, HELD_OUT = 3, 1
 #: Documents whose products with the sample are computed at once.
 BLOCK_ROWS = 256
 N_CLASSES = 8
+#: Buckets of words in any case, and how much their shares weigh beside those of the other terms.
+WORD_BUCKETS = 1024
+WORD_WEIGHT = 0.5
+#: Words whose bucket a Python worker remembers.
+REMEMBERED = 50_000
 
 
 def character_classes() -> np.ndarray:
@@ -38,21 +47,47 @@ def character_classes() -> np.ndarray:
 
 
 CLASSES = character_classes()
-N_TERMS = N_CLASSES**3 + 2
+N_SHAPES = N_CLASSES**3 + 2
+N_TERMS = N_SHAPES + WORD_BUCKETS
+
+
+class WordPlaces(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        place = self[word] = zlib.crc32(word.encode()) % WORD_BUCKETS
+        return place
+
+
+@lru_cache(maxsize=1)
+def word_places() -> WordPlaces:
+    return WordPlaces()
+
+
+def roots(counts: np.ndarray) -> np.ndarray:
+    """Square roots of shares; zeros stay."""
+    n = counts.sum()
+    return np.sqrt(counts / n) if n else counts
 
 
 def term_shares(text: str | None) -> np.ndarray:
-    """Square roots of the terms' shares; zeros for a text under three bytes without repeats."""
-    out = np.zeros(N_TERMS, np.float32)
+    """Square roots of the terms' shares, of shapes and of words each; zeros where a text has none."""
     text = text or ""
+    words = text.lower().split()
+    places = np.fromiter(map(word_places().__getitem__, words), np.int64, len(words))
+    return np.concatenate([roots(shapes(text)), WORD_WEIGHT * roots(np.bincount(places, minlength=WORD_BUCKETS))]).astype(np.float32)
+
+
+def shapes(text: str) -> np.ndarray:
+    """Counts of the trigrams of character classes, and of words equal to the one or two before."""
+    out = np.zeros(N_SHAPES, np.float32)
     c = CLASSES[np.frombuffer(text.encode(), np.uint8)]
     if len(c) > 2:
         out[:-2] = np.bincount(c[:-2] * N_CLASSES**2 + c[1:-1] * N_CLASSES + c[2:], minlength=N_CLASSES**3)
     words = text.split()
     out[-2] = sum(a == b for a, b in zip(words, words[1:]))
     out[-1] = sum(a == b for a, b in zip(words, words[2:]))
-    n = out.sum()
-    return np.sqrt(out / n) if n else out
+    return out
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
@@ -67,9 +102,10 @@ def is_fold(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: dict[int, int]) -> DataFrame:
-    """(text, label) of documents that come first by hash of their id, at most ``per_label`` ids for each label.
+    """(doc_id, text, label) of documents that come first by hash of their id, at most ``per_label`` rows for each label.
 
-    Ids with several labels count with the largest one; null labels are left out.
+    Ids with several labels count with the largest one, and of several rows with an id the one whose text's hash is
+    least; null labels are left out.
     """
     each = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     each = each.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -79,7 +115,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: d
     for part in parts[1:]:
         ids = ids.union(part)
     # the limits bound this side
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return one.select("doc_id", "least.text", "label")
 
 
 @dataclass
@@ -97,15 +135,21 @@ class Neighbours:
         return v / np.where(n > 0, n, 1)
 
     def score(self, shares: np.ndarray) -> np.ndarray:
-        """Share of label 1 in the votes; the sample's share where no neighbour is similar at all."""
+        """Share of label 1 in the votes; the sample's share where no neighbour is similar at all.
+
+        Neighbours whose cosine ties for the last of the NEIGHBOURS places share what is left of them.
+        """
         if not len(self.labels):
             return np.full(len(shares), self.prior)
-        cosines = self.place(shares) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        votes = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** SHARPNESS
+        n = len(self.labels)
+        cosines = np.round(self.place(shares) @ self.vectors.T, DIGITS)
+        k = min(NEIGHBOURS, n)
+        last = np.partition(cosines, n - k, axis=1)[:, n - k, None]
+        nearer, tied = cosines > last, cosines == last
+        places = nearer + tied * ((k - nearer.sum(axis=1, keepdims=True)) / tied.sum(axis=1, keepdims=True))
+        votes = places * np.maximum(cosines, 0) ** SHARPNESS
         total = votes.sum(axis=1)
-        return np.where(total > 0, (votes * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+        return np.where(total > 0, np.minimum(1.0, votes @ self.labels / np.where(total > 0, total, 1)), self.prior)
 
 
 def fit(sample: DataFrame, dimensions: int = DIMENSIONS) -> Neighbours:
@@ -116,12 +160,12 @@ def fit(sample: DataFrame, dimensions: int = DIMENSIONS) -> Neighbours:
         for b in in_blocks(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "label": b.column("label"), "shares": [term_shares(t) for t in b.column("text").to_pylist()]}, schema=schema)
 
-    picked = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label int, shares array<float>").toArrow().to_pylist()
-    picked.sort(key=lambda r: (r["doc_id"], r["label"], r["shares"]))
-    if not picked:
+    picked = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label int, shares array<float>").toArrow()
+    if not picked.num_rows:
         return Neighbours(np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
-    shares = np.array([r["shares"] for r in picked], np.float64)
-    labels = np.array([r["label"] for r in picked], np.float64)
+    order = np.lexsort((picked["label"].to_numpy(), picked["doc_id"].to_numpy()))  # ids are different
+    shares = picked["shares"].combine_chunks().flatten().to_numpy().reshape(-1, N_TERMS)[order].astype(np.float64)
+    labels = picked["label"].to_numpy()[order].astype(np.float64)
     idf = np.log((1 + len(shares)) / (1 + (shares > 0).sum(axis=0))) + 0.05
     _, vectors = np.linalg.eigh((shares * idf).T @ (shares * idf))
     space = Neighbours(idf[:, None] * vectors[:, ::-1][:, :dimensions], np.zeros((0, 1)), labels, float(labels.mean()))
