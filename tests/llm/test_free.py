@@ -196,21 +196,79 @@ def junk(i):
 
 
 def test_quality_held_out_and_odd_rows(spark):
-    rows = [(i, good(i) if i % 4 else junk(i)) for i in range(200)] + ODD[:3]
+    rows = [(i, good(i) if i % 4 else junk(i)) for i in range(200)] + ODD
     marks = [(i, int(i % 4 > 0), 0) for i in range(200)] + [(None, 1, 0), (5, None, None), (100000, 1, 1)]
     frame = docs(spark, rows)
     out = quality_knn.score_quality(frame, labels(spark, marks)).select(F.col("row.doc_id").alias("id"), F.col("row.text").alias("text"), "held_out", "score").collect()
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
-    for r in out[:200]:
+    for r in out[:200]:  # the odd rows come after
         assert r["held_out"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1)
         assert (r["score"] >= 0.5) == bool(r["id"] % 4)
     kept = quality_knn.accepted_documents(frame, labels(spark, marks))
-    assert kept.columns == frame.columns and kept.where("doc_id % 4 = 0 and doc_id > 3").count() == 0
+    assert kept.columns == frame.columns and kept.where("doc_id % 4 = 0 and doc_id > 3 and text <> 'one'").count() == 0
     none = quality_knn.score_quality(frame, labels(spark, [])).select("score").distinct().collect()
     assert [r[0] for r in none] == [0.5]
     assert quality_knn.score_quality(docs(spark, []), labels(spark, marks)).count() == 0
 
 
+def test_votes_are_those_of_all_neighbours():
+    """Cosines and votes against loops, with ties for the last places shared."""
+    rng = np.random.default_rng(1)
+    texts = [good(i % 9) if i % 2 else junk(i % 5) for i in range(60)]
+    shares = np.array([quality_knn.term_shares(t) for t in texts], np.float64)
+    labels_ = np.array([float(i % 2 or i % 7 == 0) for i in range(60)])
+    space = quality_knn.Neighbours(rng.normal(size=(quality_knn.N_TERMS, 8)), np.zeros((0, 1)), labels_, 0.5)
+    space.vectors = space.place(shares)
+    asked = [good(100), junk(100), "", "the quick", texts[0]]
+    got = space.score(np.array([quality_knn.term_shares(t) for t in asked], np.float64))
+    for t, score in zip(asked, got):
+        v = quality_knn.term_shares(t).astype(float) @ space.weights
+        near = []
+        for u, label in zip(space.vectors, labels_):
+            size = float(np.sqrt((v * v).sum()))
+            near.append((round(float((v * u).sum() / size), quality_knn.DIGITS) if size else 0.0, label))
+        near.sort(reverse=True)
+        last = near[quality_knn.NEIGHBOURS - 1][0]
+        tied = [x for x in near if x[0] == last]
+        free = quality_knn.NEIGHBOURS - sum(x[0] > last for x in near)
+        votes = [(max(c, 0) ** quality_knn.SHARPNESS * (1 if c > last else free / len(tied)), label) for c, label in near if c >= last]
+        total = sum(w for w, _ in votes)
+        assert score == pytest.approx(sum(w * y for w, y in votes) / total if total else 0.5, abs=1e-6)
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """One labelled id on thousands of rows is one row of the sample, whatever their order."""
+    rows = [(1, f"text {i % 50}") for i in range(5000)] + [(2, "other"), (3, None)]
+    marks = [(1, 1, 1), (1, 0, 0), (2, 0, 0), (3, 0, 0)]
+    picked = [quality_knn.labelled_sample(docs(spark, r), labels(spark, marks), "quality", {0: 10, 1: 10}).collect() for r in (rows, rows[::-1])]
+    assert sorted((r["doc_id"], r["label"]) for r in picked[0]) == [(1, 1), (2, 0), (3, 0)]
+    assert sorted(map(str, picked[0])) == sorted(map(str, picked[1]))
+
+
+def test_toxicity_scores_match_loops():
+    """A document's score from each run's mean over its words' subwords."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), -0.5)
+    words = ["Scrum,", "ab", "été", "x" * 70, "\u6c34" * 30, "a/b", "--", "I"]
+    texts = [" ".join(words * 3), "one", "", None, " ".join(words[:5]), LONG[:4000]]
+    known = toxicity.WordValues(model)
+    for text, got in zip(texts, toxicity.score_texts(texts, known)):
+        ws = toxicity.words_of(text)
+        value = []
+        for w in ws:
+            data = b"<" + toxicity.normal(w).encode() + b">"
+            buckets = [zlib.crc32(data) % toxicity.BUCKETS]
+            for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1):
+                for at in range(len(data) - n + 1):
+                    code = 0
+                    for b in data[at : at + n]:
+                        code = (code * 257 + b) % 2**64
+                    buckets.append(((code + n) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BUCKET_BITS))
+            value.append(np.mean([model.values[b] for b in buckets]))
+        runs = [sum(value[at : at + toxicity.SEGMENT]) / toxicity.SEGMENT for at in range(0, max(1, len(ws) - toxicity.SEGMENT // 2), toxicity.SEGMENT // 2)] if ws else [0.0]
+        assert got == pytest.approx(1 / (1 + np.exp(-(max(runs) + model.bias))), abs=1e-9)
+
+
 def test_toxicity_catches_unseen_spellings(spark):
     rng = random.Random(2)
     words = [a + b + c for a in ("ba", "de", "fi", "go") for b in ("lu", "me", "ni") for c in ("ra", "se", "ti")]
@@ -223,10 +281,10 @@ def test_toxicity_catches_unseen_spellings(spark):
         rows.append((i, " ".join(text)))
     marks = [(i, 1, int(i % 4 == 0)) for i in range(400)]
     new = [(1000 + k, " ".join([rng.choice(words) for _ in range(60)] + [w] + [rng.choice(words) for _ in range(60)])) for k, w in enumerate(bad[-2:])]
-    frame = docs(spark, rows + new + ODD[:3])
+    frame = docs(spark, rows + new + [(i and i + 5000, t) for i, t in ODD])  # without labels
     out = toxicity.score_toxicity(frame, labels(spark, marks)).select(F.col("row.doc_id").alias("id"), "held_out", "score").collect()
     score = {r["id"]: r["score"] for r in out}
-    held = [r for r in out if r["held_out"] and r["id"] < 400]
+    held = [r for r in out[:400] if r["held_out"]]
     right = sum((r["score"] >= 0.3) == (r["id"] % 4 == 0) for r in held)
     assert right >= 0.95 * len(held) and score[1000] >= 0.3 and score[1001] >= 0.3
     assert all(0 <= r["score"] <= 1 for r in out) and score[1] < 0.3
@@ -294,6 +352,14 @@ def test_base_secrets_and_models(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_copies_of_a_text_are_one_training_text(spark):
+    """The models of a table with one text repeated thousands of times are those of the different texts."""
+    different = [(i, f"call get_value_{w}_of_item and password = hunter{i}x") for i, w in enumerate("alpha beta gamma delta".split())]
+    copies = different + [(100 + i, different[0][1]) for i in range(3000)]
+    one, many = (secret_scan.train(docs(spark, r), sample_documents=3) for r in (different, copies))
+    assert all((a.log == b.log).all() for a, b in zip(one, many))
+
+
 # --- queries and pipeline
 
 
