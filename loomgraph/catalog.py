@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.queries import audits, budgets, entities, history, lookup, migration, queues, registry, relational, retrieval, reviews, text, vectors  # noqa: F401  they register their queries
+from loomgraph.queries import audits, budgets, entities, history, lookup, migration, queues, registry, relational, retrieval, reviews, sources, text, vectors  # noqa: F401  they register their queries
 
 FLAGSHIP = "optional_enrich_collect"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,3 +54,15 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     if partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def fanned_out(nodes: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
+    """(src, dst, type): an edge for each given column that is not null, from one pass over the nodes."""
+    each = F.array(*[F.struct(F.col(c).cast("string").alias("dst"), F.lit(t).alias("type")) for t, c in columns.items()])
+    return nodes.select(F.col(key).alias("src"), F.explode(each).alias("e")).select("src", "e.dst", "e.type").where("dst is not null")
+
+
+def replaced_or_deleted(table: DataFrame, changed: DataFrame, key: str, gone: Column) -> DataFrame:
+    """``table`` without the changed rows for which ``gone`` holds, and with the others in place of the old ones."""
+    kept = table.join(changed.select(key), key, "left_anti")
+    return kept.unionByName(changed.where(~F.coalesce(gone, F.lit(False))).select(table.columns))

@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 LANGUAGES = {"py": "python", "f90": "fortran", "f": "fortran", "m": "matlab", "pro": "idl", "c": "c", "cpp": "cpp", "h": "c", "jl": "julia", "sh": "bash", "java": "java", "tdi": "tdi", "fun": "tdi"}
 KINDS = {"ipynb": "notebook", "pdf": "document", "docx": "document", "pptx": "presentation", "xlsx": "spreadsheet", "csv": "data", "h5": "data", "nc": "data", "json": "config", "yaml": "config", "xml": "config"}
 
-PATHS = "file string, path string, parent_path string, name string, data_type string, units string, documentation string, depth int, is_leaf boolean"
+PATHS = "file string, path string, parent_path string, name string, data_type string, units string, documentation string, label string, depth int, is_leaf boolean"
 
 
-def dictionary_paths(spark: SparkSession, folder: str, root: str = "IDS", child: str = "field") -> DataFrame:
-    """One row for each field of the dictionary files in a folder, with its whole path; a file is parsed in one task."""
+def whole_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, value): the files of a folder as texts."""
+    return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+
+def dictionary_paths(texts: DataFrame, root: str = "IDS", child: str = "field") -> DataFrame:
+    """One row for each field of dictionary files (file, value), with its whole path; a file is parsed in one task."""
 
     def walk(node, prefix: str, depth: int) -> Iterator[tuple]:
         name = node.get("name")
         path = f"{prefix}/{name}" if prefix else name
         inner = node.findall(child)
-        yield path, prefix or None, name, node.get("data_type"), node.get("units"), node.get("documentation"), depth, not inner
+        yield path, prefix or None, name, node.get("data_type"), node.get("units"), node.get("documentation"), node.get("cocos_label_transformation"), depth, not inner
         for x in inner:
             yield from walk(x, path, depth + 1)
 
@@ -34,26 +39,44 @@ def dictionary_paths(spark: SparkSession, folder: str, root: str = "IDS", child:
                 rows = [(file, *r) for top in ET.fromstring(text).iter(root) for r in walk(top, "", 0)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in PATHS.split(", ")])
 
-    texts = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return texts.mapInPandas(run, PATHS)
+    return texts.select("file", "value").mapInPandas(run, PATHS)
+
+
+def dictionary_conventions(texts: DataFrame) -> DataFrame:
+    """(file, convention, n_labelled): the convention that a dictionary file declares, and its labelled fields."""
+    number = F.regexp_extract("value", r"<cocos>\s*([0-9]+)\s*</cocos>", 1)
+    labels = F.regexp_count("value", F.lit(r"cocos_label_transformation=\"[^\"]"))
+    return texts.select("file", F.nullif(number, F.lit("")).cast("int").alias("convention"), labels.alias("n_labelled"))
 
 
-def notebook_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, cell, kind, text) of notebooks."""
-    schema = "cells array<struct<cell_type:string,source:array<string>>>"
-    read = spark.read.schema(schema).json(folder, multiLine=True).select(F.input_file_name().alias("file"), F.posexplode("cells").alias("cell", "c"))
+def identifier_catalogue(schemas: DataFrame) -> DataFrame:
+    """(schema, n, options): enumerations from rows (schema, options), options as JSON of {name, index, description}, by index."""
+    kind = "array<struct<name:string,index:int,description:string>>"
+    each = schemas.select("schema", F.explode(F.from_json("options", kind)).alias("o")).select("schema", "o.*").where("name is not null").distinct()
+    listed = F.sort_array(F.collect_list(F.struct("index", "name", "description")))
+    return each.groupBy("schema").agg(F.count("*").alias("n"), listed.alias("options"))
+
+
+def notebook_cells(texts: DataFrame) -> DataFrame:
+    """(file, cell, kind, text) of notebooks (file, value); what is no notebook has no cells."""
+    read = texts.select("file", F.posexplode(F.from_json("value", "cells array<struct<cell_type:string,source:array<string>>>").cells).alias("cell", "c"))
     return read.select("file", "cell", F.col("c.cell_type").alias("kind"), F.array_join("c.source", "").alias("text"))
 
 
+def json_rows(texts: DataFrame, schema: str) -> DataFrame:
+    """(file, ...): the fields of JSON documents (file, value) as columns; what can't be read gives nulls."""
+    return texts.select("file", F.from_json("value", schema).alias("d")).select("file", "d.*")
+
+
 def json_documents(spark: SparkSession, folder: str, schema: str, only: list[str] | None = None, key: str = "ids") -> DataFrame:
     """JSON documents of a folder, those of some groups only if asked for; the filter is pushed into the reader."""
     read = spark.read.schema(schema).json(folder, multiLine=True)
     return read.where(F.col(key).isin(*only)) if only else read
 
 
-def equilibria(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, psi_axis, psi_edge, field, current) of equilibrium files with fixed-width numbers."""
-    text = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("line"))
+def equilibria(texts: DataFrame) -> DataFrame:
+    """(file, psi_axis, psi_edge, field, current) of equilibrium files (file, value) with fixed-width numbers."""
+    text = texts.select("file", F.split("value", "\n").alias("line"))
     numbers = lambda k: F.regexp_extract_all(F.get("line", F.lit(k)), F.lit(r"[ +-]?[0-9]\.[0-9]+[Ee][+-][0-9]{2}"), F.lit(0))
     value = lambda k, i: F.trim(F.get(numbers(k), F.lit(i))).cast("double")
     return text.select("file", value(2, 2).alias("psi_axis"), value(2, 3).alias("psi_edge"), value(2, 4).alias("field"), value(3, 0).alias("current"))

@@ -15,7 +15,7 @@ def one(spark, column):
 
 def test_dictionary_files_flatten(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<root><IDS name="eq"><field name="time" data_type="FLT" units="s"/><field name="slice"><field name="psi" units="Wb" documentation="flux"/></field></IDS></root>')
-    rows = {r["path"]: r for r in files.dictionary_paths(spark, str(tmp_path)).collect()}
+    rows = {r["path"]: r for r in files.dictionary_paths(files.whole_files(spark, str(tmp_path))).collect()}
     assert set(rows) == {"eq", "eq/time", "eq/slice", "eq/slice/psi"}
     assert rows["eq/slice/psi"]["parent_path"] == "eq/slice" and rows["eq/slice/psi"]["is_leaf"] and not rows["eq/slice"]["is_leaf"]
 
@@ -23,12 +23,12 @@ def test_dictionary_files_flatten(spark, tmp_path):
 def test_notebooks_and_equilibria(spark, tmp_path):
     (tmp_path / "nb").mkdir()
     (tmp_path / "nb" / "x.ipynb").write_text(json.dumps({"cells": [{"cell_type": "markdown", "source": ["# a\n", "b"]}, {"cell_type": "code", "source": ["x = 1"]}]}))
-    cells = files.notebook_cells(spark, str(tmp_path / "nb")).orderBy("cell").collect()
+    cells = files.notebook_cells(files.whole_files(spark, str(tmp_path / "nb"))).orderBy("cell").collect()
     assert [(r["kind"], r["text"]) for r in cells] == [("markdown", "# a\nb"), ("code", "x = 1")]
     (tmp_path / "eq").mkdir()
     number = lambda *v: "".join(f"{x:16.9E}" for x in v)
     (tmp_path / "eq" / "g1").write_text("\n".join(["EFIT 0 65 65", number(1, 2, 3, 4, 5), number(1, 0, -0.25, 0.5, -2.5), number(1.5e6, -0.25, 0, 1, 0)]))
-    r = files.equilibria(spark, str(tmp_path / "eq")).first()
+    r = files.equilibria(files.whole_files(spark, str(tmp_path / "eq"))).first()
     assert (r["psi_axis"], r["psi_edge"], r["field"], r["current"]) == (-0.25, 0.5, -2.5, 1.5e6)
 
 
