@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.plans.shared import cut
+
 # The kinds and their patterns.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -138,9 +140,9 @@ def labelled_strings(text: str) -> tuple[list[str], list[str]]:
 def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_strings: int = SAMPLE_STRINGS) -> tuple[Markov, Markov]:
     """Models of random strings and of ordinary ones.
 
-    Reads the ``sample_documents`` texts that come first by hash, among those with a hint of a secret and among
-    all, and keeps at most ``sample_strings`` different strings of either label, in order of their own hash, so
-    the models don't depend on the order of rows.
+    Reads the ``sample_documents`` different texts that come first by hash, among those with a hint of a secret and
+    among all, and keeps at most ``sample_strings`` different strings of either label, in order of their own hash, so
+    the models depend neither on the order of rows nor on how often a text is repeated. Hashes alone are sorted.
     """
 
     def run(batches):
@@ -150,10 +152,14 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_stri
                 rows = [(s, 1) for s in dict.fromkeys(secret)] + [(s, 0) for s in dict.fromkeys(plain)]
                 yield pa.RecordBatch.from_pydict({"s": [r[0] for r in rows], "label": [r[1] for r in rows]}, schema=pa.schema([("s", pa.string()), ("label", pa.int32())]))
 
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
-    hinted = texts.where(F.regexp_like("text", F.lit(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")))
-    first = lambda d: d.orderBy("h").limit(sample_documents)
-    strings = first(hinted).union(first(texts)).mapInArrow(run, "s string, label int").distinct()
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
+    hint = F.regexp_like("text", F.lit(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"))
+    hashes = cut(texts.select("h", hint.alias("hinted")).groupBy("h").agg(F.bool_or("hinted").alias("hinted")))
+    first = lambda d: d.select("h").orderBy("h").limit(sample_documents)
+    chosen = first(hashes.where("hinted")).union(first(hashes)).distinct()
+    # the limits bound this side
+    sample = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
+    strings = cut(sample.select("text").mapInArrow(run, "s string, label int").distinct())
     kept = [[r["s"] for r in strings.where(F.col("label") == label).orderBy(F.xxhash64("s"), "s").limit(sample_strings).collect()] for label in (1, 0)]
     return Markov(kept[0] + drawn_strings()), Markov(kept[1] + ordinary_identifiers())
 
