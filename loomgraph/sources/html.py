@@ -1,5 +1,6 @@
 """HTML pages to text with sections."""
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +16,24 @@ CLOSING = {"body", "html", "head"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+# What marks the content of wiki pages, in order: where it begins, and what ends it.
+AREAS = (
+    (r'class="patternTopic">', r"</div>\s*<!--\s*/patternTopic"),
+    (r'<div id="bodyContent">', r'<div class="printfooter">'),
+    (r'(?i)<div[^>]*class="[^"]*mw-parser-output[^"]*"[^>]*>', r'(?i)</div>\s*<div[^>]*class="[^"]*printfooter'),
+)
+
+
+def content_area(page: str) -> str:
+    """The content of a wiki page without what stands around it; any other page as it is. Without an end it goes on to the page's."""
+    for begin, end in AREAS:
+        if found := re.search(begin, page):
+            rest = page[found.end() :]
+            stop = re.search(end, rest)
+            return rest[: stop.start()] if stop else rest
+    return page
+
+
 class PageText(HTMLParser):
     """Collects lines, and the lines under each heading; table cells are parted by bars."""
 
@@ -70,7 +89,7 @@ def page_text(pages: DataFrame, key: str, html: str) -> DataFrame:
         for page in column:
             parser = PageText()
             if page is not None:
-                parser.feed(page)
+                parser.feed(content_area(page))
                 parser.close()
             rows.append(parser.result() if page is not None else (None, {}))
         return pd.DataFrame(rows, columns=["text", "sections"])
