@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions import categories, conventions, extraction, paths, scores, units
+from loomgraph.functions import categories, chunks, conventions, extraction, intents, paths, scores, units
 from loomgraph.operators import fulltext, lookup, upsert, vectors
 from loomgraph.plans.shared import ensure_checkpoint_dir, table
 from loomgraph.queries.graph import GRAPH, edges, nodes
@@ -269,3 +269,29 @@ def mapping_state(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("o_orderpriority")).alias("t"), F.max("o_totalprice").alias("best"))
     own = table(spark, sf_dir, "customer").where("c_nationkey < 3").select("c_custkey").join(orders, "c_custkey", "left")
     return own.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join("t", " "), F.lit("")).alias("targets"), "best")
+
+
+# Queries, and the kind, accessor, group and terms that each must get.
+INTENT_EXAMPLES = [
+    ("eq/time_slice/psi", "path_exact", None, "eq", ""), ("core/te/data", "path_exact", "data", "core", ""), ("core/*/te", "path_partial", None, "core", ""), ("_x/value", "path_exact", "value", None, ""),
+    (" Te ", "concept", None, None, "electron temperature|te"), ("te profile", "hybrid", None, None, "electron temperature|te|profile|te profile"), ("plasma shape", "concept", None, None, "plasma shape"), ("", "concept", None, None, ""),
+]
+INTENTS = ", ".join(f"({k}, {', '.join('NULL' if x is None else repr(x) for x in e)})" for k, e in enumerate(INTENT_EXAMPLES))
+
+
+@query(f"WITH e(k, q, kind, accessor, grp, terms) AS (VALUES {INTENTS}) SELECT p.p_partkey, e.kind, e.accessor, e.grp, e.terms FROM part p JOIN e ON e.k = p.p_partkey % {len(INTENT_EXAMPLES)}")
+def query_intents(spark, sf_dir):
+    """What a query is after; the SQL lists what each example must get."""
+    texts = F.array(*[F.lit(e[0]) for e in INTENT_EXAMPLES])
+    q = table(spark, sf_dir, "part").select("p_partkey", intents.query_intent(F.get(texts, (F.col("p_partkey") % len(INTENT_EXAMPLES)).cast("int"))).alias("i"))
+    return q.select("p_partkey", "i.kind", "i.accessor", "i.grp", F.array_join("i.terms", "|").alias("terms"))
+
+
+@query("""SELECT p_partkey, c.chunk::INT AS chunk, c.text FROM part, (SELECT unnest([0, 1, 2]) AS chunk) n, LATERAL (SELECT n.chunk, CASE n.chunk WHEN 0 THEN 'import ' || lower(p_type) || chr(10) WHEN 1 THEN '@cached' || chr(10) || 'def f_' || p_partkey || '(x):' || chr(10) || '    return x' || chr(10)
+  ELSE 'class C:' || chr(10) || '    n = ' || p_size END AS text) c""")
+def code_chunks(spark, sf_dir):
+    """Source texts cut between their units."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("import "), F.lower("p_type"), F.lit("\n\n@cached\ndef f_"), k, F.lit("(x):\n    return x\n\nclass C:\n    n = "), "p_size")
+    out = chunks.chunk_rows(table(spark, sf_dir, "part").select(k, text.alias("text")), "p_partkey", "text", 45, 0, code=True)
+    return out.select("p_partkey", "chunk", "text")

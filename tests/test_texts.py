@@ -65,3 +65,16 @@ def test_content_area_of_a_wiki_page():
     assert text(content_area('<p>menu</p><div class="a mw-parser-output b"><p>kept</p></div><div class="printfooter">x</div>')) == "kept"
     assert text(content_area('<p>menu</p><div class="patternTopic"><p>kept</p></div><!-- /patternTopic--><p>x</p>')) == "kept"
     assert content_area("<p>all</p>") == "<p>all</p>"
+
+
+def test_code_is_cut_between_units():
+    rng = random.Random(2)
+    unit = lambda i: f"def f{i}(x):\n" + "\n".join("    y = x" for _ in range(rng.randint(1, 6)))
+    for text in ["", "x = 1", "\n\n", "# only\n@a\n", "\n\n".join(unit(i) for i in range(30)), "z" * 500]:
+        for size in (40, 120, 10_000):
+            out = list(chunks.code_chunks(text, size, 0))
+            assert "\n".join(t for _, _, t in out) == text
+            assert [a for a, _, _ in out] == [0, *(b + 1 for _, b, _ in out)][: len(out)]
+            assert all(len(t) + 1 <= size or "\n" not in t for _, _, t in out)
+    parts = [t for _, _, t in chunks.code_chunks("\n".join(unit(i) for i in range(30)), 200, 0)]
+    assert all(p.startswith("def ") for p in parts)
