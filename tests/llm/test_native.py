@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -102,7 +103,10 @@ def brute_terms(texts):
         for k, a, b in brute_spans(t):
             entity = (k, t[a:b].lower())
             has[-1].add(entity)
-            near |= {(entity, w) for w in terms(t[max(0, a - 80) : a])[-4:] + terms(t[b : b + 80])[:4]}
+            left, right = t[max(0, a - 81) : a], t[b : b + 81]
+            left = re.sub(r"^[0-9A-Za-z\x80-\U0010ffff]+", "", left) if a > 81 else left
+            right = re.sub(r"[0-9A-Za-z\x80-\U0010ffff]+$", "", right) if len(right) == 81 else right
+            near |= {(entity, w) for w in terms(left)[-4:] + terms(right)[:4]}
     out = [{} for _ in texts]
     for entity, w in near:
         n_entity, n_term = sum(entity in h for h in has), sum(w in x for x in words)
@@ -128,11 +132,27 @@ def test_terms_of_entities_seen_once_or_twice_become_spans(spark):
     for i, t in enumerate(texts):
         got = {t[s["start"] : s["end"]].lower(): s["label"] == "" for s in out[i]["spans"] if s["kind"] == pii.KINDS.index("term")}
         assert got == expected[i]
+    label = {s["label"] for r in out.values() for s in r["spans"] if s["kind"] == pii.KINDS.index("term")}
+    assert label <= {"", "[WORD]", "[NAME]", "[NUMBER]", "[CODE]"}
     assert "quillfax" in expected[0] and "farhapax" not in expected[0]
     assert "dorblett" in expected[1] and "dorblett" in expected[2]
     assert all(out[i]["clean_text"] == t for i, t in enumerate(texts) if t in filler)
 
 
+def test_terms_are_generalised_by_their_form(spark):
+    texts = ["Grumwelt 4711 ab12cd near eve@y.org then", "plain words here", *[f"filler{i} text" for i in range(60)]]
+    row = pii.sanitise(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), generalise_at=0.5, remove_at=2.0).where("row.doc_id = 0").first()
+    assert row["clean_text"] == "[NAME] [NUMBER] [CODE] [WORD] [EMAIL] [WORD]"
+
+
+def test_cut_words_are_no_terms(spark):
+    """A word that the context's reach cuts is not taken for another word."""
+    texts = ["zq" * 45 + "quill " + "x " * 2 + "ann@x.org" + " " + "-" * 78 + "tail" + "head" * 9, "quill", "tail", *[f"filler{i} text" for i in range(60)]]
+    out = pii.sanitise(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).where("row.doc_id = 0").first()
+    expected = brute_terms(texts)[0]
+    assert {texts[0][s["start"] : s["end"]].lower() for s in out["spans"] if s["kind"] == 4} == set(expected)
+
+
 def brute_measures(text):
     w = WORD.findall(text or "")
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -230,6 +250,46 @@ def test_windows_round_trip_and_mask_each_answer_once(spark):
     assert all(w["n_repeated"] <= 1 + chat.HISTORY for w in first)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_stay_within_the_budget(spark, seed):
+    """Whatever the sizes: over the budget only by one turn and the system turn, and history is dropped first."""
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(30):
+        longest = rng.choice([3, 30, 60, 130])
+        for i in range(rng.randint(1, 40)):
+            role = "system" if rng.random() < 0.08 or i == 0 and conv % 2 else rng.choice(["user", "assistant"])
+            rows.append((conv, i, role, " ".join([f"w{i}"] * rng.randint(0, longest)), 0))
+    budget = 100
+    out = chat.chat_windows(turns(spark, rows), budget=budget).select("*", chat.read_turns(F.col("formatted")).alias("t")).collect()
+    of = {c: [r for r in rows if r[0] == c] for c in range(30)}
+    for conv, whole in of.items():
+        ws = sorted((r for r in out if r["conv_id"] == conv), key=lambda r: r["window"])
+        system = max((len(r[3].split()) for r in whole if r[2] == "system"), default=0)
+        at = 0
+        for w in ws:
+            sizes = [len(t["text"].split()) for t in w["t"]]
+            own = len(sizes) - w["n_repeated"]
+            assert sum(sizes) == w["n_words"] and own >= 1
+            assert w["n_words"] <= budget or own == 1 or system >= budget
+            if w["n_words"] > budget:
+                assert all(t["role"] == "system" for t in w["t"][: w["n_repeated"]])
+            words = lambda ts: sum(len(t[1].split()) for t in ts)
+            earlier = [(r[2], r[3]) for r in whole[:at]]
+            want = [t for t in earlier if t[0] == "system"][-1:]
+            kept = [earlier[-k] for k in (2, 1) if k <= at and earlier[-k][0] != "system" and words(want + earlier[-k:]) + sum(sizes[w["n_repeated"] :]) <= budget]
+            assert [(t["role"], t["text"]) for t in w["t"][: w["n_repeated"]]] == want + kept
+            at += own
+        assert at == len(whole)
+
+
+def test_a_long_conversation_keeps_its_windows_small(spark):
+    rows = [(1, i, ("system" if i == 0 else "user" if i % 2 else "assistant"), f"turn {i} " + "x " * (i % 50), 0) for i in range(5000)]
+    out = chat.chat_windows(turns(spark, rows))
+    assert out.agg(F.max("n_words")).first()[0] <= chat.BUDGET
+    assert out.agg(F.sum(F.size(chat.read_turns(F.col("formatted"))) - F.col("n_repeated"))).first()[0] == 5000
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert pii.sanitise(none).count() == divergence.judge(none).count() == mixing.mix_plan(none).count() == mixing.mixed_documents(none).count() == 0
