@@ -247,3 +247,13 @@ def error_edges(nodes: DataFrame) -> DataFrame:
     fields = nodes.select("id", "parent", F.regexp_extract("name", pattern, 1).alias("of"), F.regexp_extract("name", pattern, 2).alias("error_type")).where("of <> ''")
     bases = nodes.select(F.col("id").alias("base"), "parent", F.col("name").alias("of"))
     return fields.join(bases, ["parent", "of"]).select("id", "base", "error_type")
+
+
+def edit_suggestions(asked: DataFrame, name: str, catalogue: DataFrame, same_base: Column) -> DataFrame:
+    """(name, suggestion, edits): the catalogue's ``id`` with the fewest edits, of equal ones one with the same base, then by id.
+
+    Every name meets every id, so the catalogue must be small: it is broadcast.
+    """
+    pairs = asked.crossJoin(F.broadcast(catalogue.select("id")))
+    best = F.min(F.struct(F.levenshtein(F.col(name), F.col("id")).alias("edits"), (~same_base).alias("other"), F.col("id")))
+    return pairs.groupBy(name).agg(best.alias("b")).select(name, F.col("b.id").alias("suggestion"), F.col("b.edits").alias("edits"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.shared import cut
@@ -105,3 +105,20 @@ def subtree_counts(paths: DataFrame, path: str, separator: str = "/") -> DataFra
     inner = below.select(F.col("ancestor").alias("lower")).distinct().withColumn("inner", F.lit(1))
     marked = below.join(inner, "lower", "left")
     return marked.groupBy("ancestor").agg(F.count_distinct("lower").alias("n_below"), F.count_distinct(F.when(F.col("inner").isNull(), F.col("lower"))).alias("n_leaves"))
+
+
+def presence_changes(present: DataFrame, every: DataFrame, key: str) -> DataFrame:
+    """(key, place, change): keys that are there in a version but not in the one before (added), or the reverse (removed).
+
+    ``present`` is (key, version), ``every`` (version) has all versions; places count them from 1 in their order. What is
+    there in the first version is not added. Versions are few, so they are ranked in one task and broadcast.
+    """
+    order = every.select("version").where("version is not null").distinct()
+    order = order.select("version", F.row_number().over(Window.orderBy(semver(F.col("version")))).alias("place"))
+    at = present.select(key, "version").distinct().join(F.broadcast(order), "version").select(key, "place")
+    w = Window.partitionBy(key).orderBy("place")
+    near = at.select(key, "place", F.lag("place").over(w).alias("before"), F.lead("place").over(w).alias("after")).crossJoin(F.broadcast(order.agg(F.max("place").alias("last"))))  # one row
+    came = (F.col("place") > 1) & ~F.col("before").eqNullSafe(F.col("place") - 1)
+    went = (F.col("place") < F.col("last")) & ~F.col("after").eqNullSafe(F.col("place") + 1)
+    each = F.array_compact(F.array(F.when(came, F.struct(F.col("place"), F.lit("added").alias("change"))), F.when(went, F.struct((F.col("place") + 1).alias("place"), F.lit("removed").alias("change")))))
+    return near.select(key, F.explode(each).alias("x")).select(key, "x.*")

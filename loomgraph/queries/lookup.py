@@ -305,3 +305,34 @@ def neighbours(spark, sf_dir):
     own, renames = nodes(spark, sf_dir).where(F.startswith("id", F.lit("small/brand_1"))), edges(spark, sf_dir)
     out = lookup.gathered(own.select("id", "parent"), "id", {"outgoing": (renames.withColumnRenamed("src", "id"), F.col("dst")), "incoming": (renames.withColumnRenamed("dst", "id"), F.col("src"))})
     return out.select("id", "parent", F.array_join("outgoing", " ").alias("outgoing"), F.array_join("incoming", " ").alias("incoming"))
+
+
+@query("""WITH q AS (SELECT DISTINCT p_name || 'x' AS q, split_part(p_name, ' ', 1) AS base FROM part WHERE p_partkey < 300), c AS (SELECT DISTINCT p_name AS name FROM part)
+  SELECT q, arg_min(name, (levenshtein(q, name), split_part(name, ' ', 1) <> base, name)) AS suggestion, min(levenshtein(q, name))::INT AS edits FROM q, c GROUP BY 1""")
+def edit_suggestions(spark, sf_dir):
+    """The nearest name by edits; ties go to one with the same base, then by name."""
+    part = table(spark, sf_dir, "part")
+    catalogue = part.select(F.col("p_name").alias("id")).distinct()
+    asked_for = part.where("p_partkey < 300").select(F.concat("p_name", F.lit("x")).alias("q")).distinct()
+    return lookup.edit_suggestions(asked_for, "q", catalogue, F.substring_index("q", " ", 1) == F.substring_index("id", " ", 1))
+
+
+@query("""SELECT c_custkey, n_name, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' AND n_regionkey = 2 AND c_acctbal > 0""")
+def nodes_across_groups(spark, sf_dir):
+    """Nodes of any group that fit some equalities and bounds."""
+    from loomgraph.operators import filters
+
+    groups = filters.where(table(spark, sf_dir, "nation"), {"n_regionkey": 2}).select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    own = filters.where(table(spark, sf_dir, "customer"), {"c_mktsegment": "BUILDING", "c_acctbal__gt": 0})
+    return own.join(groups, "c_nationkey").select("c_custkey", "n_name", "c_mktsegment")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false ELSE true END AS compatible, CASE p_partkey % 5 WHEN 0 THEN 1000.0 WHEN 1 THEN 1.0 WHEN 4 THEN 0.001 END::DOUBLE AS factor FROM part""")
+def unit_compatibility(spark, sf_dir):
+    """Whether one unit can be converted to another, and by which factor."""
+    from loomgraph.functions import units
+
+    pick = lambda *v: F.get(F.array(*[F.lit(x).cast("string") for x in v]), (F.col("p_partkey") % 5).cast("int"))
+    a, b = pick("keV", "J.m^-3", "m", "T", "mm"), pick("eV", "Pa", "s", "mixed", "m")
+    factor = units.converted(F.lit(1.0), a, b)
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(factor.isNotNull(), F.lit(False)).alias("compatible"), F.round(factor, 6).alias("factor"))

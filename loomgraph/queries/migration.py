@@ -155,3 +155,29 @@ def version_catalogue(spark, sf_dir):
 
     found = changes(spark, sf_dir).select("version").distinct()
     return found.select("version", F.row_number().over(Window.orderBy(versions.semver(F.col("version")))).alias("place"))
+
+
+PRESENT = """p AS (SELECT DISTINCT k, CASE version WHEN '3.9.0' THEN 1 WHEN '3.10.2' THEN 2 WHEN '3.42.0' THEN 3 WHEN '4.0.0' THEN 4 WHEN '4.0.1' THEN 5 ELSE 6 END AS v FROM changes WHERE change_type IN ('units', 'path_added'))"""
+
+
+@query(f"""{GRAPH}, {PRESENT} SELECT a.k, a.v::INT AS place, 'added' AS change FROM p a WHERE a.v > 1 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.k = a.k AND b.v = a.v - 1)
+  UNION ALL SELECT a.k, (a.v + 1)::INT, 'removed' FROM p a WHERE a.v < 6 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.k = a.k AND b.v = a.v + 1)""")
+def presence_changes(spark, sf_dir):
+    """Keys that came or went from each version to the next one, of all that have both."""
+    c = changes(spark, sf_dir)
+    present = c.where("change_type in ('units', 'path_added')").select("k", "version")
+    return versions.presence_changes(present, c.select("version"), "k")
+
+
+FIELDS = ("category", "dtype", "unit", "introduced", "deprecated", "label", "expression", "doc", "domain", "parent", "name")
+
+
+@query(f"""{GRAPH}, m AS (SELECT k, {', '.join(f"CASE WHEN k % 13 = {i} THEN 'new' ELSE {f} END AS {f}" for i, f in enumerate(FIELDS))} FROM nodes WHERE k % 17 > 0 UNION ALL SELECT -1, {', '.join("'x'" for _ in FIELDS)})
+  SELECT k, 'removed' AS change, NULL AS field, NULL AS old_value, NULL AS new_value FROM nodes WHERE k NOT IN (SELECT k FROM m) UNION ALL SELECT k, 'added', NULL, NULL, NULL FROM m WHERE k NOT IN (SELECT k FROM nodes)
+  {' '.join(f"UNION ALL SELECT m.k, 'changed', '{f}', n.{f}, m.{f} FROM m JOIN nodes n ON n.k = m.k WHERE n.{f} IS DISTINCT FROM m.{f}" for f in FIELDS)}""")
+def full_diff(spark, sf_dir):
+    """A diff of two versions over eleven fields."""
+    old = nodes(spark, sf_dir).select("k", *FIELDS)
+    new = old.where("k % 17 > 0").select("k", *[F.when(F.col("k") % 13 == i, "new").otherwise(F.col(f)).alias(f) for i, f in enumerate(FIELDS)])
+    new = new.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("k"), *[F.lit("x").alias(f) for f in FIELDS]))
+    return versions.diff(old, new, "k", FIELDS)

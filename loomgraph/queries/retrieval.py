@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import retrieval
+from loomgraph.operators import fulltext, retrieval
 from loomgraph.plans.shared import table
 from loomgraph.queries.graph import GRAPH, nodes
 from loomgraph.queries.registry import query
@@ -137,3 +137,29 @@ def query_modes(spark, sf_dir):
 def full_text_queries(spark, sf_dir):
     texts = F.array(*map(F.lit, ("plasma -wall", 'a  - b "x -y"', "-core edge -", " q f:-x")))
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.full_text_query(F.get(texts, (F.col("doc_id") % 4).cast("int"))).alias("q"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 10 = 0)
+  SELECT term, doc_id, count(*)::BIGINT AS tf, any_value(n)::INT AS length FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) GROUP BY 1, 2""")
+def postings(spark, sf_dir):
+    """The full-text index of every tenth document, as a table."""
+    return fulltext.postings(table(spark, sf_dir, "documents").where("doc_id % 10 = 0"), "doc_id", "text")
+
+
+@query("""SELECT query, vec_id FROM (SELECT a.vec_id AS query, b.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS place
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE place <= 20 AND label % 3 = 0""")
+def filtered_after_search(spark, sf_dir):
+    """A filter that comes after the cut, so a query can get fewer rows."""
+    from loomgraph.operators import vectors
+
+    rows = table(spark, sf_dir, "embeddings")
+    best = vectors.top_k(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 20)
+    return best.join(rows.where("label % 3 = 0").select("vec_id"), "vec_id", "left_semi").select("query", "vec_id")
+
+
+@query(f"""{STREAMS}, b AS (SELECT id, score FROM v ORDER BY score DESC, id LIMIT 40) SELECT n.grp, n.dtype, count(*)::BIGINT AS n, round(avg(b.score), 6) AS mean_score FROM b JOIN nodes n ON n.id = b.id WHERE n.unit = 'm' OR n.unit IS NULL GROUP BY 1, 2""")
+def hit_facets(spark, sf_dir):
+    """Hits of a search by group and type, after filters."""
+    best = retrieval.top(vector_stream(spark, sf_dir), "id", 40)
+    own = nodes(spark, sf_dir).where("unit = 'm' or unit is null").select("id", "grp", "dtype")
+    return best.join(own, "id").groupBy("grp", "dtype").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))

@@ -280,3 +280,18 @@ def reclassified(spark, sf_dir):
     """Categories revised by what edges show."""
     own = nodes(spark, sf_dir).join(edges(spark, sf_dir).select(F.col("src").alias("id")).distinct().withColumn("r", F.lit(True)), "id", "left")
     return own.select("id", F.when(F.col("r"), "renamed").when(F.contains("name", F.lit("_error_")), "error").otherwise(F.col("category")).alias("category"))
+
+
+@query("SELECT count(*)::BIGINT AS n, count(DISTINCT source)::BIGINT AS sources, count(DISTINCT lang)::BIGINT AS languages, sum(n_chars)::BIGINT AS chars, max(n_chars)::BIGINT AS longest, count_if(text IS NULL OR text = '')::BIGINT AS empty FROM documents")
+def store_statistics(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(
+        F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("languages"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty")
+    )
+
+
+@query(f"""{GRAPH}, o AS (SELECT domain, grp, parent, count(*) AS options FROM nodes GROUP BY 1, 2, 3) SELECT domain, grp, count(*)::BIGINT AS n, round(avg(options), 4) AS mean_options, max(options)::BIGINT AS most_options, count_if(options > 5)::BIGINT AS significant FROM o GROUP BY ROLLUP (domain, grp) HAVING grouping(domain) = 0""")
+def branching_summary(spark, sf_dir):
+    """Options of each enumeration by group, and of each domain in all."""
+    options = nodes(spark, sf_dir).groupBy("domain", "grp", "parent").agg(F.count("*").alias("options"))
+    out = options.rollup("domain", "grp").agg(F.grouping("domain").alias("all"), F.count("*").alias("n"), F.round(F.avg("options"), 4).alias("mean_options"), F.max("options").alias("most_options"), F.count_if(F.col("options") > 5).alias("significant"))
+    return out.where(F.col("all") == 0).drop("all")
