@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.blocks import among, forest, runs
 from loomgraph.operators.components import connected_components
 from loomgraph.plans.shared import cut
 
+#: Nodes in a block.
+BLOCK = 512
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct items; 0 for two empty arrays."""
@@ -18,29 +24,64 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def token_classes(names: DataFrame, key: str, tokens: str, least: float = 0.8) -> DataFrame:
-    """(key, class, n_links): classes of rows whose token sets overlap at or over ``least``.
+    """(key, class, n_links): classes of rows whose token sets overlap at or over ``least``, and how many rows each is linked with.
 
-    Equal sets are one node. Nodes meet on prefix tokens: with tokens in order of frequency, two sets that overlap
-    enough share one of the rarest few of each, so frequent tokens make no pairs.
+    Equal sets are one node. Nodes meet on prefix tokens: with tokens in order of frequency, two sets that overlap enough
+    share one of the rarest few of each. Under a token they are compared block by block, and a pair counts under the
+    first of its shared prefix tokens only; tasks give links that span the classes, and sums, but no pairs. Rows with a
+    null or empty set are left out.
     """
-    sets = cut(names.select(key, F.array_sort(F.array_distinct(tokens)).alias("set")).where(F.size("set") > 0))
-    nodes = cut(sets.groupBy("set").agg(F.min(key).alias("node"), F.count("*").alias("copies")))
+    sets = cut(names.select(key, F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("set")).where(F.size("set") > 0))
+    nodes = sets.groupBy("set").agg(F.count("*").alias("copies"))
+    nodes = cut(nodes.select("set", "copies", F.xxhash64("set").alias("node")))
     counts = nodes.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     spread = nodes.select("node", F.explode("set").alias("token")).join(counts, "token")
     ordered = spread.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    prefix = F.size("t") - F.ceil(F.size("t") * least).cast("int") + 1
-    keys = ordered.select("node", F.explode(F.slice("t", F.lit(1), prefix)).alias("k")).select("node", F.col("k.token").alias("token"))
-    keyed = keys.join(nodes.select("node", "set"), "node")
-    left, right = keyed.select("token", F.col("node").alias("src"), F.col("set").alias("a")), keyed.select("token", F.col("node").alias("dst"), F.col("set").alias("b"))
-    pairs = left.join(right, "token").where((F.col("src") < F.col("dst")) & (F.size("a") >= least * F.size("b")) & (F.size("b") >= least * F.size("a")))
-    links = cut(pairs.where(jaccard(F.col("a"), F.col("b")) >= least).select("src", "dst").distinct())
-    classes = connected_components(links).withColumnRenamed("id", "node")
-    sizes = nodes.select("node", "copies")
-    ends = links.union(links.select("dst", "src")).toDF("node", "other").join(sizes.withColumnRenamed("node", "other"), "other")
-    linked = ends.groupBy("node").agg(F.sum("copies").alias("to_others"))
-    out = nodes.join(classes, "node", "left").join(linked, "node", "left")
-    out = out.select("set", F.coalesce("component", "node").alias("class"), (F.col("copies") - 1 + F.coalesce("to_others", F.lit(0))).alias("n_links"))
-    return sets.join(out, "set").select(key, "class", "n_links")
+    prefix = F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * F.lit(least)).cast("int") + 1)
+    keyed = ordered.select("node", F.transform(prefix, lambda x: x["token"]).alias("prefix")).join(nodes, "node")
+    placed = keyed.select("node", "set", "copies", "prefix", F.explode("prefix").alias("place"))
+    found = cut(meet(among(placed, BLOCK), least))
+    classes = connected_components(found.where("dst is not null")).withColumnRenamed("id", "node")
+    linked = found.where("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("to_others"))
+    out = nodes.join(classes, "node", "left").join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    out = sets.join(out.select("set", "copies", "to_others", "class"), "set")
+    first = out.groupBy("class").agg(F.min(key).alias("first"))
+    return out.join(first, "class").select(key, F.col("first").alias("class"), (F.col("copies") - 1 + F.coalesce("to_others", F.lit(0))).alias("n_links"))
+
+
+def meet(rows: DataFrame, least: float) -> DataFrame:
+    """Links (src, dst, null) that span the classes of each pair of blocks, and sums (src, null, n) of linked rows."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["place", "i", "j"]):
+            token, i, j = group["place"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
+            node, copies, own = (group[c].to_numpy() for c in ("node", "copies", "own"))
+            places: dict[str, int] = {}
+            at = [[places.setdefault(t, len(places)) for t in s] for s in group["set"]]
+            bits, early = (np.zeros((len(node), len(places)), np.float32) for _ in range(2))
+            for r, (p, prefix) in enumerate(zip(at, group["prefix"])):
+                bits[r, p] = 1
+                early[r, [places[t] for t in prefix if t < token]] = 1  # shared ones make the pair count elsewhere
+            shared, sizes = bits @ bits.T, bits.sum(axis=1)
+            union = sizes[:, None] + sizes[None, :] - shared
+            hit = (shared >= np.float32(least) * union - 1e-4) & (early @ early.T == 0) & (node[:, None] != node[None, :])
+            if i != j:
+                hit &= own[:, None] != own[None, :]
+            x, y = np.nonzero(hit)
+            exact = shared[x, y].astype(np.float64) / union[x, y] >= least
+            x, y = x[exact], y[exact]
+            if not len(x):
+                continue
+            keep = forest(node[x], node[y])
+            sums = np.bincount(x, copies[y], len(node)).astype(np.int64)
+            some = np.flatnonzero(sums)
+            empty = lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node[x[keep]]), pa.array(node[y[keep]]), empty(int(keep.sum()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), empty(len(some)), pa.array(sums[some])], schema=schema)
+
+    dealt = rows.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
+    return dealt.mapInArrow(run, "src long, dst long, n long")
 
 
 def merged(df: DataFrame, key: Sequence[str], text: str, sources: str) -> DataFrame:

@@ -218,3 +218,21 @@ def test_search_of_empty_streams(spark):
     assert rows(retrieval.path_search(some, none, "id", ["red"], 5)) == [("a/red", 0.3045), ("a/value", 0.285)]
     assert retrieval.by_rank(none, "id", 5).count() == 0
     assert rows(retrieval.semantic_and_lexical(some, none, "id", 1)) == [("a/red", 0.6)]
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_token_classes_match_all_pairs(spark, monkeypatch, block):
+    """Small vocabulary, so tokens are hot; repeated sets, ties, and rows without tokens."""
+    from loomgraph.operators import duplicates
+
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    rng = random.Random(11)
+    data = [(i, rng.sample("abcdefgh", rng.randint(1, 6))) for i in range(120)] + [(500, []), (501, None), (502, ["zz", None, "zz"])]
+    got = {r["id"]: (r["class"], r["n_links"]) for r in duplicates.token_classes(spark.createDataFrame(data, "id long, t array<string>"), "id", F.col("t"), 0.6).collect()}
+    sets = {i: {x for x in t or [] if x} for i, t in data}
+    sets = {i: s for i, s in sets.items() if s}
+    near = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])} for i in sets}
+    label = {i: i for i in sets}
+    for _ in sets:
+        label = {i: min([label[i], *(label[j] for j in near[i])]) for i in sets}
+    assert got == {i: (label[i], len(near[i])) for i in sets}
