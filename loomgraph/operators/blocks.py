@@ -7,18 +7,23 @@ rows grow with a group's size over the size of a block, and a task holds two blo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.plans.shared import cut
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The rows of sorted batches, in one frame for each combination of ``keys``; a run may go on in the next batch."""
+    import pandas as pd  # in tasks only
+
     left = None
     for batch in batches:
         frame = batch.to_pandas()
