@@ -17,9 +17,7 @@ each node is sent once for each block of the other side.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.expr import let
+from loomgraph.operators.blocks import among, forest, in_blocks, runs
 from loomgraph.operators.components import connected_components
 from loomgraph.plans.shared import cut, join_counted
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 SHINGLE_WORDS = 5
 #: Similarity as a whole number of percent.
 PERCENT = 80
@@ -51,7 +47,7 @@ BLOCK_NODES = 512
 BLOCK_TEXTS = 256
 BLOCK_CELLS = 1 << 21
 #: Words whose hash a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 BLOCK_ROWS = 128
 
 
@@ -196,70 +192,8 @@ def nearest(candidates: DataFrame, k: int) -> DataFrame:
     return top.select("p.src", "p.dst").distinct()
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of sorted batches, in one frame for each combination of ``keys``; a run may go on in the next batch."""
-    import pandas as pd
-
-    left = None
-    for batch in batches:
-        frame = batch.to_pandas()
-        if left is not None:
-            frame = pd.concat([left, frame], ignore_index=True)
-        if not len(frame):
-            continue
-        k = frame[keys].to_numpy()
-        starts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1)]
-        for begin, end in zip(starts, starts[1:]):
-            yield frame.iloc[begin:end]
-        left = frame.iloc[starts[-1] :]
-    if left is not None:
-        yield left
-
-
-def forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of the edges (x, y) connect what those before them don't."""
-    parent: dict[int, int] = {}
-
-    def root(v):
-        while (up := parent.setdefault(v, v)) != v:
-            parent[v] = parent[up]
-            v = up
-        return v
-
-    keep = np.zeros(len(x), bool)
-    for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
-        p, q = root(p), root(q)
-        if p != q:
-            parent[p] = q
-            keep[k] = True
-    return keep
-
-
-def in_blocks(few: DataFrame, every: DataFrame, size: int) -> DataFrame:
-    """Both sides of each group dealt to blocks of about ``size`` rows, and each row sent to all blocks of the other side.
-
-    Sides have the columns ``place`` (the group) and node; ``few`` tells them apart in the result, whose rows of one
-    (place, i, j) are a block of either side. So no pair becomes a row.
-    """
-    blocks = lambda n: F.ceil(F.col(n) / size).cast("int")
-    count = lambda side, n: side.groupBy("place").agg(F.count("*").alias(n))
-    sizes = cut(count(few, "n").join(count(every, "m"), "place").select("place", blocks("n").alias("a"), blocks("m").alias("b")))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = few.join(sizes, "place").select(*few.columns, F.lit(True).alias("few"), own("a").alias("i"), all_of("b").alias("j"))
-    right = every.join(sizes, "place").select(*few.columns, F.lit(False).alias("few"), all_of("a").alias("i"), own("b").alias("j"))
-    return left.unionByName(right)
-
-
-def among(rows: DataFrame, size: int) -> DataFrame:
-    """Like ``in_blocks``, for groups whose rows meet each other: both blocks of a pair are one side (``few`` is null)."""
-    sizes = cut(rows.groupBy("place").agg(F.ceil(F.count("*") / size).cast("int").alias("a")))
-    dealt = rows.join(sizes, "place").withColumn("own", F.pmod(F.xxhash64("node"), F.col("a")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("a") - 1)))
-    return dealt.select(*rows.columns, F.lit(None).cast("boolean").alias("few"), F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
-
-
 def near_forests(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (src, dst) that span, in each pair of blocks, all pairs of two components within the signature distance.
+    """Pairs (src, dst) of components with nodes within the signature distance; of each pair of blocks those that span all.
 
     ``rows`` come from ``in_blocks`` or ``among``.
     """
@@ -269,7 +203,7 @@ def near_forests(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for group in runs(batches, ["place", "i", "j"]):
             bytes_of = np.array(group["signature"].tolist(), np.int64).view(np.uint8).reshape(len(group), -1)
-            node, component = group["node"].to_numpy(), group["component"].to_numpy()
+            component = group["component"].to_numpy()
             left, right = (np.flatnonzero(group["few"].isna() | (group["few"] == few)) for few in (True, False))
             found = []
             step = max(1, BLOCK_CELLS * 8 // max(1, len(right) * bytes_of.shape[1]))
@@ -279,7 +213,7 @@ def near_forests(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 near &= component[part][:, None] != component[right][None, :]
                 x, y = np.nonzero(near)
                 keep = forest(component[part[x]], component[right[y]])
-                found += [(node[part[x[keep]]], node[right[y[keep]]])]
+                found.append((component[part[x[keep]]], component[right[y[keep]]]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], schema=schema)
 
@@ -288,7 +222,7 @@ def near_forests(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def link_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, component) of the nodes that have a link; nodes are (node, signature)."""
+    """(id, component) of the nodes, which are (node, signature); a node without links is its own component."""
     keys = nodes.select("node", F.explode(keys_of(F.col("signature"))).alias("key"))
     # the lowest node leads, and the lowest and highest after mixing with the key, which differ from key to key
     drawn = F.col("node").bitwiseXOR(F.col("key"))
@@ -315,22 +249,24 @@ def link_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int)
     under_key = cut(outside.join(several, "key").select(F.col("key").alias("place"), "node", "component"))
     to_largest = cut(outside.select(F.col("largest").alias("place"), "node", "component").distinct())
     largest = members.join(to_largest.select(F.col("place").alias("component")).distinct(), "component").select(F.col("component").alias("place"), "node", "component")
-    near = cut(near_forests(among(under_key, BLOCK_NODES).unionByName(in_blocks(to_largest, largest, BLOCK_NODES)), nodes))
+    near = cut(near_forests(among(under_key, BLOCK_NODES).drop("own").unionByName(in_blocks(to_largest, largest, BLOCK_NODES)), nodes))
 
-    clusters = connected_components(links.union(near)).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
-    more = compared(clusters.join(members, "node").select("node", "cluster", "component"), docs, size, percent)
-    return connected_components(cut(links.union(more)))
+    # From here on components are the nodes of the graphs.
+    clusters = connected_components(near).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    merged = connected_components(cut(compared(members.join(clusters, "component").select("node", "cluster", "component"), docs, size, percent)))
+    last = merged.select(F.col("id").alias("component"), F.col("component").alias("last"))
+    return members.join(last, "component", "left").select(F.col("node").alias("id"), F.coalesce("last", "component").alias("component"))
 
 
 def compared(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (src, dst) between components of one cluster: all nodes outside its largest component against all its nodes.
+    """Pairs (src, dst) of linked components of one cluster: all nodes outside its largest component against all its nodes.
 
     ``members`` is (node, cluster, component). Blocks are compared in one group for each pair of them.
     """
     members = cut(members)
-    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    whole = sizes.groupBy("cluster").agg(F.count("*").alias("n"), F.max(F.struct("n", "component")).alias("top")).where("n > 1").select("cluster", F.col("top.component").alias("largest"))
-    placed = cut(members.join(cut(whole), "cluster").select(F.col("cluster").alias("place"), "node", "component", "largest"))
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))  # clusters hold several components
+    whole = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top")).select("cluster", F.col("top.component").alias("largest"))
+    placed = cut(members.join(whole, "cluster").select(F.col("cluster").alias("place"), "node", "component", "largest"))
     every = placed.drop("largest")
     rows = in_blocks(placed.where("component <> largest").drop("largest"), every, BLOCK_TEXTS)
     ids = cut(placed.select(F.col("node").alias("text_key")))
@@ -340,7 +276,7 @@ def compared(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         import pandas as pd
 
         sets = [shingle_set(t, size) for t in group["text"]]
-        node, component, is_few = (group[c].to_numpy() for c in ("node", "component", "few"))
+        component, is_few = group["component"].to_numpy(), group["few"].to_numpy()
         left, right = np.flatnonzero(is_few), np.flatnonzero(~is_few)
         if not len(left) or not len(right):
             return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
@@ -364,7 +300,7 @@ def compared(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         hit = (100 * shared >= percent * union) & (component[left][:, None] != component[right][None, :])
         x, y = np.nonzero(hit)
         keep = forest(component[left[x]], component[right[y]])
-        return pd.DataFrame({"src": node[left[x[keep]]].astype("int64"), "dst": node[right[y[keep]]].astype("int64")})
+        return pd.DataFrame({"src": component[left[x[keep]]].astype("int64"), "dst": component[right[y[keep]]].astype("int64")})
 
     return rows.groupBy("place", "i", "j").applyInPandas(compare, "src long, dst long")
 
@@ -384,8 +320,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     nodes = filled.groupBy("set_key").agg(F.min("text_key").alias("node"), F.min("doc_id").alias("first_doc"), F.min_by("signature", "text_key").alias("signature"))
     nodes = cut(nodes)
     linked = link_components(nodes.select("node", "signature"), docs, shingle_words, percent)
-    placed = nodes.join(linked.withColumnRenamed("id", "node"), "node", "left").select("set_key", "first_doc", F.coalesce("component", "node").alias("component"))
-    placed = cut(placed)
+    placed = cut(nodes.join(linked.withColumnRenamed("id", "node"), "node").select("set_key", "first_doc", "component"))
     # written before the join, so that Spark can split a large component's rows among tasks
     lowest = cut(placed.groupBy("component").agg(F.min("first_doc").alias("component_id")))
     sets = cut(placed.join(lowest, "component").select("set_key", "component_id"))
