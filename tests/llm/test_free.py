@@ -91,6 +91,30 @@ def test_bins_take_the_tightest_fit_and_close_the_fullest():
     assert [bins.put(n) for n in (9, 8, 7, 1)] == [(0, 0), (1, 0), (2, 0), (1, 8)]
 
 
+@pytest.mark.parametrize("most", [1, 3, 20])
+def test_placement_is_plain_best_fit(most):
+    """Against a list of open bins: tightest fit, of equal ones the last used; the fullest closes when one too many would be open."""
+    rng = random.Random(most)
+    lengths = [rng.choice([1, 2, 3, 7, 30, 50, 64, rng.randint(1, 64)]) for _ in range(3000)]
+    bins, made, stamp, open_ = packing.OpenBins(64, most), 0, 0, []  # open: [free, stamp, bin]
+    for n in lengths:
+        fits = [b for b in open_ if b[0] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b[0], -b[1]))
+        else:
+            if len(open_) == most:
+                open_.remove(min(open_, key=lambda b: (b[0], -b[1])))
+            b = [64, 0, made]
+            made += 1
+            open_.append(b)
+        assert bins.put(n) == (b[2], 64 - b[0])
+        stamp += 1
+        b[0], b[1] = b[0] - n, stamp
+        if not b[0]:
+            open_.remove(b)
+    assert bins.made == made
+
+
 def test_packing_is_whole_and_gapless(spark):
     rows = ODD + [(100 + i, " ".join(["word"] * (i * 37 % 1900))) for i in range(120)]
     pieces = packing.token_pieces(docs(spark, rows), TOKENIZER, with_ids=True)
@@ -175,6 +199,26 @@ def test_signatures_within_the_distance_share_a_key(spark):
         assert r["e"] == r["n"] and r["same"]
 
 
+def test_links_inside_a_large_family_are_found(spark):
+    """10,000 texts that are more than half one passage, so all share keys, and 300 planted pairs between them far from any lead."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows, linked = [], {}
+    for i in range(10_000):
+        own = [f"w{i}x{k}" for k in range(45)]
+        rows.append((i, " ".join(passage + own)))
+        if i < 300:
+            for k in rng.sample(range(45), 4):
+                own[k] = f"v{i}x{k}"
+            rows.append((20_000 + i, " ".join(passage + own)))
+            linked[20_000 + i] = i
+    sets = {d: {tuple(w[k : k + 2]) for w in [t.split()] for k in range(len(w) - 1)} for d, t in rows if d < 300 or d >= 20_000}
+    alike = {b: a for b, a in linked.items() if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(alike) > 200
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, rows), 2, 80).collect()}
+    assert {d: c for d, c in got.items() if d != c} == alike
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text), (3, text), (3, text), (9, text + " more"), (6, "other text of its own here"), (None, "no id but words of its own"), (7, None), (8, "")]
@@ -182,6 +226,9 @@ def test_one_of_each_group_stays(spark):
     assert out.columns == docs(spark, rows).columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "6", "7", "8", "None"]
     assert near_dup.without_near_duplicates(docs(spark, [])).count() == 0
+    named = docs(spark, rows).withColumn("near_dup_row", F.lit(7))
+    left = near_dup.without_near_duplicates(named)
+    assert left.columns == named.columns and {r["near_dup_row"] for r in left.collect()} == {7}
 
 
 # --- classifiers
@@ -382,6 +429,32 @@ def test_pipeline_stages_keep_their_promises(spark, sf_dir):
     assert pieces.where("piece = 0").count() == mixed.count()
 
 
+def landed(spark, folder, rows, marks):
+    """A folder of tables, and the rows in the order of their ids."""
+    docs(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    labels(spark, marks).write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_the_whole_pipeline_against_its_parts(spark, tmp_path):
+    """run() on odd rows: what the last stage packs are the tokens of the texts that plain versions of the stages leave."""
+    rows = [(i, good(i) if i % 4 else junk(i)) for i in range(100, 160)] + [(i + 1000, good(i) + " extra") for i in range(100, 104)] + [(i and i + 5000, t) for i, t in ODD if t != LONG]
+    marks = [(i, int(i % 4 > 0), 0) for i in range(100, 160)] + [(None, 1, None), (101, None, 0)]
+    folder = landed(spark, tmp_path / "some", rows, marks)
+    out = corpus_pipeline.run(spark, folder).collect()
+    accepted = [(r["doc_id"], r["text"]) for r in quality_knn.accepted_documents(docs(spark, rows), labels(spark, marks)).collect()]
+    assert not [i for i, t in accepted if t == junk(i or 0)]
+    kept = [d for d, _, c in brute_components(accepted, 5, 80) if d == c]
+    assert {str(r["doc_id"]) for r in out} <= set(kept)
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == len(out) and sum(r["length"] for r in out) > 0
+    texts = dict(accepted)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for r in out:
+        if r["doc_id"] is not None and texts.get(r["doc_id"]) and r["piece"] == 0:
+            assert r["length"] <= min(packing.CAPACITY, len(tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1)
+    assert corpus_pipeline.run(spark, landed(spark, tmp_path / "none", [], [])).count() == 0
+
+
 def test_free_queries_cover_all_documents(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op1_avi_media", "op3_minhash_near_dup", "op4_quality_neighbours", "op6_secret_scan", "op10_toxicity"):
