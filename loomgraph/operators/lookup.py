@@ -199,7 +199,9 @@ def related_buckets(anchors: DataFrame, names: DataFrame, alike: Mapping[str, st
     parts = []
     for bucket, column in alike.items():
         own = anchors.join(names.select(F.col("id").alias("anchor"), F.col(column).alias("_v")), "anchor")
-        others = names.select(F.col("id").alias("name"), F.col(column).alias("_v"))
+        # an anchor's bucket needs the first k + 1 names of its value at most, as one of them may be the anchor itself
+        others = names.select(F.col("id").alias("name"), F.col(column).alias("_v")).where("_v is not null").distinct()
+        others = others.withColumn("_n", F.row_number().over(Window.partitionBy("_v").orderBy("name"))).where(F.col("_n") <= k + 1).drop("_n")
         parts.append(own.join(others, "_v").where("name <> anchor").select("anchor", F.lit(bucket).alias("bucket"), "name"))
     for bucket, edges in links.items():
         out = edges.select(F.col("src").alias("anchor"), F.col("dst").alias("name"))
