@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, divergence, media, mixing, near_dup, packing, pii, quality_knn, secret_scan, toxicity
+from loomgraph.llm import chat, divergence, importance, media, mixing, near_dup, packing, pii, quality_knn, secret_scan, token_links, toxicity
 from loomgraph.plans.shared import table
 
 
@@ -88,7 +88,8 @@ w AS (SELECT *, {words} AS w, [{", ".join(classes)}] AS classes FROM d),
 g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1),
 v AS (SELECT r, sum(least(3, coalesce(after - i, 3)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM s) GROUP BY r),
-l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
 m AS (SELECT w.r, doc_id, lang, len(w)::BIGINT AS n_words, (length(t) - classes[2])::BIGINT AS word_chars, classes[4]::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words, classes, w AS w
       FROM w JOIN l USING (r) LEFT JOIN v ON v.r = w.r),
@@ -211,6 +212,40 @@ FROM r GROUP BY conv_id
 """
 
 
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
+#: crc32 of each different word by a table that is made bit by bit.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, i AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS c FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT r, unnest(w) AS w FROM d),
+words AS (SELECT DISTINCT w FROM (SELECT w FROM x UNION ALL SELECT w FROM b)),
+hex AS (SELECT w, hex(encode(w)) AS h FROM words),
+h AS (SELECT w, xor(4294967295, list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+        lambda a, y: xor(c[(xor(a, y) & 255) + 1], a >> 8), 4294967295::BIGINT)) % 10000 AS k FROM hex, crc),
+s AS (SELECT k, count(*) AS n FROM x JOIN h USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM b JOIN h USING (w) GROUP BY k),
+g AS (SELECT i AS k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+        / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM range(10000) r(i) LEFT JOIN s ON s.k = i LEFT JOIN t ON t.k = i),
+e AS (SELECT r, sum(gain)::BIGINT AS weight FROM x JOIN h USING (w) JOIN g USING (k) GROUP BY r),
+f AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN e USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM f WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM f LEFT JOIN o USING (r)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_avi_media": op1_avi_media,
@@ -223,8 +258,10 @@ def queries() -> dict:
         "op8_mix_sources": op8_mix_sources,
         "op9_chat_windows": op9_chat_windows,
         "op10_toxicity": op10_toxicity,
+        "op11_token_links": op11_token_links,
+        "op12_importance_resampling": op12_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": op7_sql(), "op8_mix_sources": OP8_SQL, "op9_chat_windows": OP9_SQL}
+    return {"op7_quality_rules": op7_sql(), "op8_mix_sources": OP8_SQL, "op9_chat_windows": OP9_SQL, "op12_importance_resampling": OP12_SQL}
