@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, divergence, importance, media, mixing, near_dup, packing, pii, quality_knn, secret_scan, token_links, toxicity
+from loomgraph.llm import chat, divergence, graph_search, importance, media, mixing, near_dup, packing, pii, quality_knn, secret_scan, token_links, toxicity
 from loomgraph.plans.shared import table
 
 
@@ -246,6 +246,21 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN
 """
 
 
+def op13_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_search.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+#: The exact nearest; on small tables the walks find all of them.
+OP13_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.v, v.v) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_avi_media": op1_avi_media,
@@ -260,8 +275,9 @@ def queries() -> dict:
         "op10_toxicity": op10_toxicity,
         "op11_token_links": op11_token_links,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_graph_search": op13_graph_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": op7_sql(), "op8_mix_sources": OP8_SQL, "op9_chat_windows": OP9_SQL, "op12_importance_resampling": OP12_SQL}
+    return {"op7_quality_rules": op7_sql(), "op8_mix_sources": OP8_SQL, "op9_chat_windows": OP9_SQL, "op12_importance_resampling": OP12_SQL, "op13_graph_search": OP13_SQL}
