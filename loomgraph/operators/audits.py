@@ -39,7 +39,7 @@ def audit(name: Column, description: Column, unit: Column, known_units: Sequence
     """Array of issues of one name: placeholders, repeated tokens, unknown units, tautologies, spelling, processing, length."""
     tokens = F.split(name, "_")
     words = F.filter(F.split(F.lower(F.coalesce(description, F.lit(""))), r"[^a-z]+"), lambda w: w != "")
-    repeated = F.filter(F.zip_with(tokens, F.slice(tokens, 2, 1_000), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
+    repeated = F.filter(F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
     spelling = F.filter(F.array_distinct(F.concat(tokens, words)), lambda w: w.isin(*SPELLINGS))
     same = F.array_join(words, "_") == F.lower(name)
     checks = [

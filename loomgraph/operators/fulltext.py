@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.expr import let
 from loomgraph.plans.shared import cut
 
 K1, B = 1.2, 0.75
@@ -75,26 +76,49 @@ def query_words(text: str) -> list[str]:
     return re.split(r"[_\s,]+", text)
 
 
-def ngrams(w: Column, n: int) -> Column:
-    """All runs of ``n`` words, joined by a space."""
-    last = F.size(w) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+#: Different n-grams that a task counts before it gives them out.
+COUNTED_NGRAMS = 500_000
+
+
+def ngram_counts(docs: DataFrame, text: str, sizes: Sequence[int]) -> DataFrame:
+    """(theme, size, n, n_docs): runs of ``sizes`` words, how often they stand in the texts and in how many of them.
+
+    A task counts its own n-grams before they are shuffled, and gives them out whenever it holds COUNTED_NGRAMS.
+    """
+    names, kinds = ["theme", "size", "n", "n_docs"], [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+
+    def given(n: Counter, n_docs: Counter) -> pa.RecordBatch:
+        columns = list(n), [g.count(" ") + 1 for g in n], list(n.values()), [n_docs[g] for g in n]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, n_docs = Counter(), Counter()
+        for batch in batches:
+            for words in batch.column(0):
+                words = words.as_py().split(" ")
+                found = Counter(" ".join(g) for k in sizes for g in zip(*(words[i:] for i in range(k))))
+                n.update(found)
+                n_docs.update(found.keys())
+                if len(n) >= COUNTED_NGRAMS:
+                    yield given(n, n_docs)
+                    n, n_docs = Counter(), Counter()
+        yield given(n, n_docs)
+
+    # tokens hold no space; texts are dealt out evenly, as n-grams are many times their size
+    listed = docs.select(F.col(text).alias("words")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select(F.array_join(tokens(F.col("words")), " ").alias("words"))
+    each = listed.mapInArrow(run, "theme string, size int, n long, n_docs long")
+    return each.groupBy("theme", "size").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def themes(docs: DataFrame, text: str, least: int = 2) -> DataFrame:
     """(theme, size, n, n_docs, weight): word pairs and triples that occur at least twice, count * (ln(N / df) + 1), triples * 1.2.
 
-    A document's n-grams are sorted, and the first of equal ones counts the document, so one shuffle of partial sums
-    gives both counts. Null texts count as documents without words.
+    Null texts count as documents without words.
     """
     n_docs = docs.count()
-    marked = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("theme"), F.when((i > 0) & (F.get(g, i - 1) == x), 0).otherwise(1).alias("first")))
-    every = let(tokens(F.col(text)), lambda w: F.sort_array(F.concat(ngrams(w, 2), ngrams(w, 3))))
-    each = docs.select(F.explode(let(every, marked)).alias("x")).select("x.*")
-    kept = each.groupBy("theme").agg(F.count("*").alias("n"), F.sum("first").alias("n_docs")).where(F.col("n") >= least)
-    size = F.size(F.split("theme", " "))
-    factor = F.when(size == 3, 1.2).otherwise(1.0)
-    return kept.select("theme", size.alias("size"), "n", "n_docs", (F.col("n") * (F.log(F.lit(float(n_docs)) / F.col("n_docs")) + 1) * factor).alias("weight"))
+    kept = ngram_counts(docs, text, (2, 3)).where(F.col("n") >= least)
+    factor = F.when(F.col("size") == 3, 1.2).otherwise(1.0)
+    return kept.select("theme", "size", "n", "n_docs", (F.col("n") * (F.log(F.lit(float(n_docs)) / F.col("n_docs")) + 1) * factor).alias("weight"))
 
 
 def different_themes(found: DataFrame, k: int, most: int = 2000) -> DataFrame:

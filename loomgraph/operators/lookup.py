@@ -104,7 +104,7 @@ def exclusion_reason(path: Column, grids: bool = False, errors: bool = False, me
     segments, name = F.split(F.lower(path), "/"), F.element_at(F.split(path, "/"), -1)
     rules = [F.when(F.contains(path, F.lit(p)), "metadata") for p in patterns]
     if not metadata:
-        rules.append(F.when(F.arrays_overlap(F.slice(segments, 2, 1_000_000), F.array(*map(F.lit, METADATA_SUBTREES))), "metadata"))
+        rules.append(F.when(F.arrays_overlap(F.slice(segments, F.lit(2), F.size(segments)), F.array(*map(F.lit, METADATA_SUBTREES))), "metadata"))
     if not grids:
         rules.append(F.when(F.arrays_overlap(segments, F.array(*map(F.lit, GRID_MARKERS))), "ggd"))
     if not errors:

@@ -236,17 +236,26 @@ def blocked_jaccard_classes(spark, sf_dir):
     return duplicates.token_classes(part, "p_partkey", F.col("tokens"), 0.6)
 
 
-@query("""SELECT a.convention AS from_convention, b.convention AS to_convention, label, round(CASE label WHEN 'ip_like' THEN a.rpz * a.bp * b.rpz * b.bp WHEN 'b0_like' THEN a.rpz * b.rpz WHEN 'tor_angle_like' THEN a.rpz * b.rpz
-  WHEN 'pol_angle_like' THEN a.rtp * b.rtp WHEN 'q_like' THEN a.rtp * a.rpz * b.rtp * b.rpz WHEN 'psi_like' THEN a.bp * b.bp * pow(2 * pi(), a.e - b.e) WHEN 'dodpsi_like' THEN 1 / (a.bp * b.bp * pow(2 * pi(), a.e - b.e)) ELSE 1 END::DOUBLE, 6) AS factor
-  FROM (VALUES (1,1,0,1,1),(2,1,0,-1,1),(3,-1,0,1,-1),(4,-1,0,-1,-1),(5,1,0,1,-1),(6,1,0,-1,-1),(7,-1,0,1,1),(8,-1,0,-1,1),(11,1,1,1,1),(12,1,1,-1,1),(13,-1,1,1,-1),(14,-1,1,-1,-1),(15,1,1,1,-1),(16,1,1,-1,-1),(17,-1,1,1,1),(18,-1,1,-1,1)) a(convention, bp, e, rpz, rtp)
-  CROSS JOIN (VALUES (1,1,0,1,1),(2,1,0,-1,1),(3,-1,0,1,-1),(4,-1,0,-1,-1),(5,1,0,1,-1),(6,1,0,-1,-1),(7,-1,0,1,1),(8,-1,0,-1,1),(11,1,1,1,1),(12,1,1,-1,1),(13,-1,1,1,-1),(14,-1,1,-1,-1),(15,1,1,1,-1),(16,1,1,-1,-1),(17,-1,1,1,1),(18,-1,1,-1,1)) b(convention, bp, e, rpz, rtp)
-  CROSS JOIN (SELECT unnest(['one_like','ip_like','b0_like','tor_angle_like','pol_angle_like','q_like','psi_like','dodpsi_like']) AS label)""")
+CONVENTION_TABLE = """(VALUES (1,1,0,1,1),(2,1,0,-1,1),(3,-1,0,1,-1),(4,-1,0,-1,-1),(5,1,0,1,-1),(6,1,0,-1,-1),(7,-1,0,1,1),(8,-1,0,-1,1),(11,1,1,1,1),(12,1,1,-1,1),(13,-1,1,1,-1),(14,-1,1,-1,-1),(15,1,1,1,-1),(16,1,1,-1,-1),(17,-1,1,1,1),(18,-1,1,-1,1))"""
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS value, ['one_like','ip_like','b0_like','tor_angle_like','pol_angle_like','q_like','psi_like','dodpsi_like'][l_partkey % 8 + 1] AS label,
+    l_linenumber + CASE WHEN l_suppkey % 2 = 0 THEN 10 ELSE 0 END AS from_convention, l_quantity::INT % 8 + 11 AS to_convention FROM lineitem)
+  SELECT l_orderkey, l_linenumber, label, r.from_convention::INT AS from_convention, r.to_convention::INT AS to_convention, round(value * CASE label WHEN 'ip_like' THEN a.rpz * a.bp * b.rpz * b.bp WHEN 'b0_like' THEN a.rpz * b.rpz WHEN 'tor_angle_like' THEN a.rpz * b.rpz
+    WHEN 'pol_angle_like' THEN a.rtp * b.rtp WHEN 'q_like' THEN a.rtp * a.rpz * b.rtp * b.rpz WHEN 'psi_like' THEN a.bp * b.bp * pow(2 * pi(), a.e - b.e) WHEN 'dodpsi_like' THEN 1 / (a.bp * b.bp * pow(2 * pi(), a.e - b.e)) ELSE 1 END::DOUBLE, 4) AS value
+  FROM r JOIN {CONVENTION_TABLE} a(convention, bp, e, rpz, rtp) ON a.convention = r.from_convention JOIN {CONVENTION_TABLE} b(convention, bp, e, rpz, rtp) ON b.convention = r.to_convention""")
 def convention_factors(spark, sf_dir):
-    """All factors between the 16 conventions, for the eight labels: a fixed table of 2,048 rows."""
-    p = conventions.parameters(spark).select(F.struct("*").alias("p"))
-    pairs = p.select(F.col("p").alias("a")).crossJoin(F.broadcast(p.select(F.col("p").alias("b"))))
-    labelled = pairs.withColumn("label", F.explode(F.array(*[F.lit(x) for x in conventions.LABELS])))
-    return labelled.select(F.col("a.convention").alias("from_convention"), F.col("b.convention").alias("to_convention"), "label", F.round(conventions.factor(F.col("label"), "a", "b"), 6).alias("factor"))
+    """Labelled quantities of every line, changed from the line's convention to another."""
+    label = F.get(F.array(*[F.lit(x) for x in conventions.LABELS]), (F.col("l_partkey") % 8).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", label.alias("label"), F.col("l_extendedprice").alias("value"),
+        (F.col("l_linenumber") + F.when(F.col("l_suppkey") % 2 == 0, 10).otherwise(0)).cast("int").alias("from_convention"), (F.col("l_quantity").cast("int") % 8 + 11).cast("int").alias("to_convention"),
+    )
+    p = conventions.parameters(spark)  # 16 rows
+    both = rows.join(F.broadcast(p.select(F.col("convention").alias("from_convention"), F.struct("*").alias("a"))), "from_convention")
+    both = both.join(F.broadcast(p.select(F.col("convention").alias("to_convention"), F.struct("*").alias("b"))), "to_convention")
+    changed = F.col("value") * conventions.factor(F.col("label"), "a", "b")
+    return both.select("l_orderkey", "l_linenumber", "label", "from_convention", "to_convention", F.round(changed, 4).alias("value"))
 
 
 @query("""SELECT p_partkey, round(least(1.0, greatest(p_size / 40.0::DOUBLE, p_retailprice / 2000)), 6) AS max_score,

@@ -139,11 +139,11 @@ def full_text_queries(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.full_text_query(F.get(texts, (F.col("doc_id") % 4).cast("int"))).alias("q"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 10 = 0)
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)
   SELECT term, doc_id, count(*)::BIGINT AS tf, any_value(n)::INT AS length FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) GROUP BY 1, 2""")
 def postings(spark, sf_dir):
-    """The full-text index of every tenth document, as a table."""
-    return fulltext.postings(table(spark, sf_dir, "documents").where("doc_id % 10 = 0"), "doc_id", "text")
+    """The full-text index of all documents, as a table."""
+    return fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("""SELECT query, vec_id FROM (SELECT a.vec_id AS query, b.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS place

@@ -54,8 +54,9 @@ def dictionary_documents(spark, sf_dir):
     """What a dictionary is transformed to: one document for each group, without error fields."""
     own = nodes(spark, sf_dir)
     kept = own.where(lookup.exclusion_reason(F.concat_ws("/", "parent", "name")).isNull())
-    listed = F.sort_array(F.collect_list(F.concat("id", F.lit(":"), F.coalesce("unit", F.lit("")))))
-    return kept.groupBy("grp").agg(F.count("*").alias("n"), F.sha2(F.array_join(listed, "|"), 256).alias("digest"))
+    listed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("unit", F.lit("")).alias("unit"))))
+    written = F.transform(listed, lambda x: F.concat(x["id"], F.lit(":"), x["unit"]))
+    return kept.groupBy("grp").agg(F.count("*").alias("n"), F.sha2(F.array_join(written, "|"), 256).alias("digest"))
 
 
 @query("""SELECT 's' || (p_size % 5) AS schema, count(DISTINCT p_name)::BIGINT AS n, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names FROM part GROUP BY 1""")
@@ -82,12 +83,12 @@ def json_documents(spark, sf_dir):
     return files.json_rows(d, "ids string, n_chars long").where(F.col("ids").isin("en", "de"))
 
 
-@query("SELECT event_id::VARCHAR AS file, round(value / 100, 3)::DOUBLE AS psi_axis, -0.5::DOUBLE AS psi_edge, 2.5::DOUBLE AS field, (CASE WHEN event_id % 2 = 0 THEN -1e6 ELSE 1e6 END)::DOUBLE AS current FROM events")
+@query("SELECT event_id::VARCHAR AS file, floor(value) / 1000 AS psi_axis, -0.5::DOUBLE AS psi_edge, 2.5::DOUBLE AS field, (CASE WHEN event_id % 2 = 0 THEN -1e6 ELSE 1e6 END)::DOUBLE AS current FROM events")
 def equilibria(spark, sf_dir):
     """Numbers of fixed width read from equilibrium files."""
     number = lambda c: F.lpad(F.format_string("%.9E", c.cast("double")), 16, " ")
     zero = F.lit(0.0)
-    rows = [[zero] * 5, [zero, zero, F.round(F.col("value") / 100, 3), F.lit(-0.5), F.lit(2.5)], [F.when(F.col("event_id") % 2 == 0, -1e6).otherwise(1e6), zero, zero, zero, zero]]
+    rows = [[zero] * 5, [zero, zero, F.floor("value") / 1000, F.lit(-0.5), F.lit(2.5)], [F.when(F.col("event_id") % 2 == 0, -1e6).otherwise(1e6), zero, zero, zero, zero]]
     body = F.concat_ws("\n", F.lit("EFIT 0 65 65"), *[F.concat(*[number(c) for c in r]) for r in rows])
     return files.equilibria(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("file"), body.alias("value")))
 
