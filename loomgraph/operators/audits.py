@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names as naming
-from loomgraph.operators.components import connected_components
-from loomgraph.operators.vectors import cosine
+from loomgraph.operators.duplicates import close_classes, close_pairs
 
 # Endings that name a way of processing; spellings; sets of forms of which a domain should use one.
 PROCESSING = (
@@ -64,20 +63,13 @@ def is_critical(issues: Column, critical: Sequence[str] = CRITICAL) -> Column:
 
 
 def synonyms(names: DataFrame, vector: str, least: float = SYNONYM) -> DataFrame:
-    """(a, b, similarity): names of one domain and unit whose vectors are closer than ``least``; unknown units are never alike.
-
-    Pairs are formed only inside a block of domain and unit, which must be small; see ``connected_components`` for classes.
-    """
-    own = names.where(F.col("unit").isNotNull() & F.col(vector).isNotNull()).select("domain", "unit", F.col("id").alias("a"), F.col(vector).alias("va"))
-    other = own.select("domain", "unit", F.col("a").alias("b"), F.col("va").alias("vb"))
-    pairs = own.join(other, ["domain", "unit"]).where("a < b").withColumn("similarity", cosine(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("similarity") > least).select("a", "b", "similarity")
+    """(a, b, similarity): names of one domain and unit whose vectors are closer than ``least``; unknown units are never alike."""
+    return close_pairs(names, "id", vector, ("domain", "unit"), least)
 
 
 def synonym_classes(names: DataFrame, vector: str, least: float = SYNONYM) -> DataFrame:
-    """(id, component) of the names that have a synonym."""
-    pairs = synonyms(names, vector, least)
-    return connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    """(id, class, n_links): classes of synonyms, without a row for each pair."""
+    return close_classes(names, "id", vector, ("domain", "unit"), least)
 
 
 def mixed_positions(names: DataFrame, forms: Mapping[str, Sequence[str]] = POSITION_FORMS) -> DataFrame:

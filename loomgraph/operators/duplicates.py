@@ -1,8 +1,10 @@
-"""Duplicate names: blocked candidate pairs, token overlap, classes, merging and conflicts."""
+"""Duplicate names: blocked candidate pairs, token overlap, close vectors, classes, merging and conflicts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +13,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.blocks import among, forest, runs
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.vectors import unit
 from loomgraph.plans.shared import cut
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Nodes in a block.
 BLOCK = 512
 
@@ -84,6 +90,77 @@ def meet(rows: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long, n long")
 
 
+def unit_vectors(names: DataFrame, key: str, vector: str, same: Sequence[str]) -> DataFrame:
+    """(place, key, v): unit vectors of the rows that have a key, a vector other than zero and all columns of ``same``."""
+    told = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (key, vector, *same)])
+    place = F.to_json(F.array(*[F.col(c).cast("string") for c in same]))
+    rows = names.where(told).select(place.alias("place"), F.col(key).alias("key"), F.transform(unit(F.col(vector)), lambda x: x + 0.0).alias("v"))
+    return rows.where(F.exists("v", lambda x: x != 0))
+
+
+def close_blocks(rows: DataFrame, least: float, found: Callable[[np.ndarray, np.ndarray, pd.DataFrame, np.ndarray], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """What ``found`` makes of the rows (x, y) of each two blocks whose cosines exceed ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["place", "i", "j"]):
+            v, own = np.stack(group["v"].to_list()), group["own"].to_numpy()
+            cosines = v @ v.T
+            hit = (cosines > least) & ~np.eye(len(v), dtype=bool)
+            if group["i"].iloc[0] != group["j"].iloc[0]:
+                hit &= own[:, None] != own[None, :]
+            x, y = np.nonzero(hit)
+            if len(x):
+                yield from found(x, y, group, cosines)
+
+    dealt = among(rows, BLOCK).repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
+    return dealt.mapInArrow(run, ddl)
+
+
+def close_pairs(names: DataFrame, key: str, vector: str, same: Sequence[str], least: float) -> DataFrame:
+    """(a, b, similarity): rows that agree in the columns ``same`` and whose vectors' cosine exceeds ``least``, a < b.
+
+    Vectors are compared block by block, so only the pairs that are the result become rows; where these are many, take
+    ``close_classes``. Rows that lack anything are left out; all vectors of a block must be of one length.
+    """
+    kind = names.schema[key].dataType.simpleString()
+
+    def found(x: np.ndarray, y: np.ndarray, group: pd.DataFrame, cosines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node = group["node"].to_numpy()
+        kept = node[x] < node[y]
+        x, y = x[kept], y[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(cosines[x, y])], names=["a", "b", "similarity"])
+
+    rows = unit_vectors(names, key, vector, same).withColumnRenamed("key", "node")
+    return close_blocks(rows, least, found, f"a {kind}, b {kind}, similarity double")
+
+
+def close_classes(names: DataFrame, key: str, vector: str, same: Sequence[str], least: float) -> DataFrame:
+    """(key, class, n_links): classes of rows linked as in ``close_pairs``, and how many rows each is linked with; alone they are their own class.
+
+    Equal vectors are one node; tasks give links that span the classes, and sums, but no pairs.
+    """
+    rows = cut(unit_vectors(names, key, vector, same))
+    nodes = cut(rows.groupBy("place", "v").agg(F.count("*").alias("copies"), F.min("key").alias("node")))
+    kind = names.schema[key].dataType.simpleString()
+
+    def found(x: np.ndarray, y: np.ndarray, group: pd.DataFrame, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
+        keep = forest(x, y)
+        sums = np.bincount(x, copies[y], len(node)).astype(np.int64)
+        some = np.flatnonzero(sums)
+        type_ = pa.array(node).type
+        ends = [(node[x[keep]], pa.array(node[y[keep]], type_), pa.nulls(int(keep.sum()), pa.int64())), (node[some], pa.nulls(len(some), type_), pa.array(sums[some]))]
+        for src, dst, n in ends:
+            yield pa.RecordBatch.from_arrays([pa.array(src, type_), dst, n], names=["src", "dst", "n"])
+
+    links = cut(close_blocks(nodes, least, found, f"src {kind}, dst {kind}, n long"))
+    classes = connected_components(links.where("dst is not null").select("src", "dst")).withColumnRenamed("id", "node")
+    linked = links.where("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("to_others"))
+    told = nodes.join(classes, "node", "left").join(linked, "node", "left")
+    out = rows.join(told.select("place", "v", "copies", "to_others", F.coalesce("component", "node").alias("class")), ["place", "v"])
+    return out.select(F.col("key").alias(key), "class", (F.col("copies") - 1 + F.coalesce("to_others", F.lit(0))).alias("n_links"))
+
+
 def merged(df: DataFrame, key: Sequence[str], text: str, sources: str) -> DataFrame:
     """One row for each key: the longest text (ties by text) and all sources, sorted."""
     longest = F.max(F.struct(F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"), F.col(text).alias("text")))["text"]

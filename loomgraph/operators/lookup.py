@@ -12,11 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import fuzzy
 from loomgraph.operators.migration import alive
 from loomgraph.operators.versions import ancestors
+from loomgraph.plans.shared import cut
 
-#: Suggestions need this similarity, in percent of the longer text.
-LEAST_SIMILARITY = 60
+# The weighted ratio that a suggested group and a suggested path need.
+LEAST_GROUP, LEAST_PATH = 60, 50
 # Segments that mark subtrees and names left out of search, by reason.
 METADATA_SUBTREES = ("ids_properties", "code")
 GRID_MARKERS = ("ggd", "grids_ggd", "grid_subset")
@@ -24,34 +26,25 @@ ERROR_SUFFIXES = ("_error_upper", "_error_lower", "_error_index")
 STRINGS = "array<string>"
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """100 for equal texts, less for each edit, as a share of the longer one."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, F.round(100 * (1 - F.levenshtein(a, b) / longest), 2)).otherwise(F.lit(100.0))
-
-
-def nearest_names(asked: DataFrame, name: str, known: DataFrame, k: int, least: float = LEAST_SIMILARITY, same: str | None = None) -> DataFrame:
-    """(name, suggestions): up to ``k`` known ids most similar to each name asked for, best first, ties by id.
+def suggest_paths(missing: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
+    """(path, suggestions): up to ``k`` paths of the same group with the best weighted ratio, best first, ties by id.
 
-    With ``same`` only ids that share that column are compared; otherwise ``known`` must be small, as every name
-    meets every id.
+    A group that isn't known is corrected to the nearest one first, in any case of letters; where none is near, there are
+    no suggestions. Null paths are left out, repeated ones answered once.
     """
-    pairs = asked.join(known, same) if same else asked.crossJoin(F.broadcast(known))
-    scored = pairs.withColumn("similarity", similarity(F.col(name), F.col("id"))).where(F.col("similarity") >= least)
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy(name).orderBy(F.desc("similarity"), "id"))).where(F.col("place") <= k)
-    return best.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("s")).select(name, F.transform("s", lambda x: x["id"]).alias("suggestions"))
-
-
-def suggest_paths(missing: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
-    """(path, suggestions): similar paths of the same group; a group that isn't known is corrected to the nearest one first."""
-    groups = nodes.select(F.col("grp").alias("id")).distinct()
-    first = F.split("path", "/")[0]
-    asked = missing.select("path", first.alias("grp"))
-    unknown = asked.join(groups.withColumnRenamed("id", "grp"), "grp", "left_anti")
-    fixed = nearest_names(unknown.select("grp").distinct(), "grp", groups, 1).select("grp", F.get("suggestions", F.lit(0)).alias("right"))
-    corrected = asked.join(fixed, "grp", "left").select("path", F.coalesce("right", "grp").alias("grp"), F.concat(F.coalesce("right", "grp"), F.expr("substring(path, length(grp) + 1)")).alias("wanted"))
-    near = nearest_names(corrected.select("wanted", "grp").distinct(), "wanted", nodes.select("grp", "id"), k, same="grp")
-    return corrected.join(near, "wanted").select("path", "suggestions")
+    groups = cut(nodes.select("grp").where("grp is not null").distinct())
+    asked = missing.select("path", F.split("path", "/")[0].alias("grp")).where("path is not null").distinct()
+    unknown = asked.join(groups, "grp", "left_anti").select(F.lower("grp").alias("name"), F.lit("").alias("same"))
+    fixed = fuzzy.nearest(unknown, groups.select(F.lower("grp").alias("id"), F.lit("").alias("same")), 1, LEAST_GROUP)
+    by_lower = groups.groupBy(F.lower("grp").alias("id")).agg(F.min("grp").alias("right"))
+    fixed = fixed.join(by_lower, "id").select(F.col("name").alias("low"), "right")
+    right = F.coalesce("right", "grp")
+    corrected = asked.withColumn("low", F.lower("grp")).join(groups.select("grp", F.lit(True).alias("there")), "grp", "left").join(fixed, "low", "left")
+    corrected = corrected.withColumn("right", F.when(F.col("there"), F.col("grp")).otherwise(F.col("right")))
+    corrected = cut(corrected.select("path", right.alias("same"), F.concat(right, F.expr("substring(path, length(grp) + 1)")).alias("name")))
+    near = fuzzy.nearest(corrected, nodes.select("id", F.col("grp").alias("same")), k, LEAST_PATH)
+    listed = near.groupBy("name", "same").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("s"))
+    return corrected.join(listed, ["name", "same"]).select("path", F.transform("s", lambda x: x["id"]).alias("suggestions"))
 
 
 def check_paths(asked: DataFrame, nodes: DataFrame, edges: DataFrame, version: Column | None = None, k: int = 3) -> DataFrame:
@@ -252,10 +245,5 @@ def error_edges(nodes: DataFrame) -> DataFrame:
 
 
 def edit_suggestions(asked: DataFrame, name: str, catalogue: DataFrame, same_base: Column) -> DataFrame:
-    """(name, suggestion, edits): the catalogue's ``id`` with the fewest edits, of equal ones one with the same base, then by id.
-
-    Every name meets every id, so the catalogue must be small: it is broadcast.
-    """
-    pairs = asked.crossJoin(F.broadcast(catalogue.select("id")))
-    best = F.min(F.struct(F.levenshtein(F.col(name), F.col("id")).alias("edits"), (~same_base).alias("other"), F.col("id")))
-    return pairs.groupBy(name).agg(best.alias("b")).select(name, F.col("b.id").alias("suggestion"), F.col("b.edits").alias("edits"))
+    """(name, suggestion, edits): the catalogue's ``id`` with the fewest edits, of equal ones one with the same base, then by id."""
+    return fuzzy.fewest_edits(asked, catalogue, ~same_base, name).withColumnRenamed("id", "suggestion")

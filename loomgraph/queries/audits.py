@@ -33,9 +33,20 @@ VECTORS = "(SELECT vec_id AS id, embedding, label % 7 AS domain, CASE vec_id % 4
 @query(f"SELECT a.id AS a, b.id AS b, round({COSINE}, 5) AS similarity FROM {VECTORS} a JOIN {VECTORS} b ON a.domain = b.domain AND a.unit = b.unit AND a.id < b.id WHERE {COSINE} > 0.3")
 def synonym_pairs(spark, sf_dir):
     """Names of one domain and unit that are closer than a threshold."""
+    return audits.synonyms(named_vectors(spark, sf_dir), "embedding", 0.3).withColumn("similarity", F.round("similarity", 5))
+
+
+def named_vectors(spark, sf_dir):
     k = F.col("vec_id")
-    own = table(spark, sf_dir, "embeddings").select(k.alias("id"), "embedding", (F.col("label") % 7).alias("domain"), F.when(k % 2 == 0, "m").when(k % 4 == 1, "s").alias("unit"))
-    return audits.synonyms(own, "embedding", 0.3).withColumn("similarity", F.round("similarity", 5))
+    return table(spark, sf_dir, "embeddings").select(k.alias("id"), "embedding", (F.col("label") % 7).alias("domain"), F.when(k % 2 == 0, "m").when(k % 4 == 1, "s").alias("unit"))
+
+
+@query(f"""WITH RECURSIVE v AS {VECTORS}, l AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.domain = b.domain AND a.unit = b.unit AND a.id <> b.id WHERE {COSINE} > 0.2),
+  r AS (SELECT id, id AS class FROM v WHERE unit IS NOT NULL UNION SELECT l.dst, r.class FROM r JOIN l ON l.src = r.id WHERE r.class < l.dst), c AS (SELECT id, min(class) AS class FROM r GROUP BY 1)
+  SELECT c.id, c.class, (SELECT count(*) FROM l WHERE l.src = c.id)::BIGINT AS n_links FROM c""")
+def synonym_classes(spark, sf_dir):
+    """Classes of names of one domain and unit that are linked by their vectors, with the number of links of each."""
+    return audits.synonym_classes(named_vectors(spark, sf_dir), "embedding", 0.2)
 
 
 POSITION = "CASE k % 4 WHEN 0 THEN 'on_axis' WHEN 1 THEN CASE WHEN k % 10 < 5 THEN 'at_magnetic_axis' ELSE 'on_axis' END WHEN 2 THEN 'at_boundary' END"

@@ -12,10 +12,15 @@ from loomgraph.queries.registry import query
 
 #: Paths asked for: every seventh node's, some of them misspelt or of a misspelt group.
 ASKED = "CASE k % 4 WHEN 0 THEN id WHEN 1 THEN replace(id, '_', '-') WHEN 2 THEN concat('x', id) ELSE concat(id, '/none') END"
-SIMILAR = "CASE WHEN greatest(length({0}), length({1})) > 0 THEN round(100 * (1 - levenshtein({0}, {1})::DOUBLE / greatest(length({0}), length({1}))), 2) ELSE 100 END"
+# The plain ratio by the longest common subsequence, whose table's rows are the bits of one number; ids here have no words, and parts never win.
+BITS = "list_reduce(list_prepend((1::HUGEINT << length({0})) - 1, list_transform(string_split({1}, ''), lambda c: coalesce({2}[c], 0::HUGEINT))), lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length({0})) - 1))"
+RATIO = "round(200.0::DOUBLE * (length({0}) - bit_count(" + BITS + ")) / (length({0}) + length({1})), 6)"
+PLACES = "map_from_entries([(c, list_sum([1::HUGEINT << (i - 1) FOR i IN range(1, length({0}) + 1) IF {0}[i] = c])::HUGEINT) FOR c IN list_distinct(string_split({0}, ''))])"
 SUGGESTED = f"""asked AS (SELECT DISTINCT {ASKED} AS path FROM nodes WHERE k % 7 = 3), f AS (SELECT path, string_split(path, '/')[1] AS grp FROM asked WHERE path NOT IN (SELECT id FROM nodes)),
-  g AS (SELECT DISTINCT grp FROM nodes), c AS (SELECT f.path, coalesce(f2.grp, (SELECT arg_min(g.grp, ({SIMILAR.format('f.grp', 'g.grp')} * -1, g.grp)) FROM g WHERE {SIMILAR.format('f.grp', 'g.grp')} >= 60)) AS grp, f.grp AS was FROM f LEFT JOIN g f2 ON f2.grp = f.grp),
-  s AS (SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY {SIMILAR.format('w', 'id')} DESC, id) AS place FROM (SELECT c.path, c.grp || substr(c.path, length(c.was) + 1) AS w, n.id FROM c JOIN nodes n ON n.grp = c.grp) WHERE {SIMILAR.format('w', 'id')} >= 60)"""
+  g AS (SELECT DISTINCT grp FROM nodes), u AS (SELECT grp AS was, {PLACES.format('grp')} AS m FROM (SELECT DISTINCT grp FROM f WHERE grp NOT IN (SELECT grp FROM g))),
+  x AS (SELECT was, arg_min(grp, (-r, grp)) AS grp FROM (SELECT was, grp, {RATIO.format('was', 'grp', 'm')} AS r FROM u, g) WHERE r >= 60 GROUP BY 1),
+  c AS (SELECT path, w, grp, {PLACES.format('w')} AS m FROM (SELECT f.path, coalesce(x.grp, f.grp) AS grp, coalesce(x.grp, f.grp) || substr(f.path, length(f.grp) + 1) AS w FROM f LEFT JOIN x ON x.was = f.grp)),
+  s AS (SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY r DESC, id) AS place FROM (SELECT c.path, n.id, {RATIO.format('w', 'n.id', 'm')} AS r FROM c JOIN nodes n ON n.grp = c.grp) WHERE r >= 50)"""
 
 
 def asked(spark, sf_dir):
@@ -24,7 +29,7 @@ def asked(spark, sf_dir):
 
 @query(f"{GRAPH}, {SUGGESTED} SELECT path, string_agg(id, ' ' ORDER BY place) AS suggestions FROM s WHERE place <= 3 GROUP BY 1")
 def suggest_paths(spark, sf_dir):
-    """Nearest ids by edits in the same group, after a misspelt group is corrected."""
+    """Nearest ids by weighted ratio in the same group, after a misspelt group is corrected."""
     own = nodes(spark, sf_dir)
     missing = asked(spark, sf_dir).join(own.select(F.col("id").alias("path")), "path", "left_anti")
     return lookup.suggest_paths(missing, own).withColumn("suggestions", F.array_join("suggestions", " "))
@@ -33,13 +38,13 @@ def suggest_paths(spark, sf_dir):
 @query(f"""{GRAPH}, {SUGGESTED}, a AS (SELECT path FROM asked UNION SELECT src FROM edges),
   t AS (SELECT * FROM nodes WHERE coalesce(introduced <> '4.1.0', true) AND coalesce(deprecated NOT IN ('3.10.2', '4.0.0'), true)),
   r AS (SELECT src, min(dst) AS dst FROM edges GROUP BY 1)
-  SELECT a.path, t.id IS NOT NULL AS found, t.grp, t.dtype, t.unit, CASE WHEN t.id IS NULL THEN r.dst END AS renamed_to, CASE WHEN t.id IS NULL THEN (SELECT introduced FROM nodes n WHERE n.id = r.dst) END AS rename_version
+  SELECT a.path, coalesce((SELECT string_agg(s.id, ' ' ORDER BY place) FROM s WHERE s.path = a.path AND place <= 3 AND t.id IS NULL AND r.dst IS NULL), '') AS suggestions, t.id IS NOT NULL AS found, t.grp, t.dtype, t.unit, CASE WHEN t.id IS NULL THEN r.dst END AS renamed_to, CASE WHEN t.id IS NULL THEN (SELECT introduced FROM nodes n WHERE n.id = r.dst) END AS rename_version
   FROM a LEFT JOIN t ON t.id = a.path LEFT JOIN r ON r.src = a.path""")
 def check_paths(spark, sf_dir):
     """Existence in a version, renames, and for the rest suggestions (see suggest_paths)."""
     own, renames = nodes(spark, sf_dir), edges(spark, sf_dir)
     paths = asked(spark, sf_dir).union(renames.select("src")).distinct()
-    return lookup.check_paths(paths, own, renames, F.lit("4.0.1")).drop("suggestions")
+    return lookup.check_paths(paths, own, renames, F.lit("4.0.1")).withColumn("suggestions", F.array_join("suggestions", " "))
 
 
 @query(f"""{GRAPH}, p AS (SELECT DISTINCT parent AS prefix FROM nodes UNION SELECT DISTINCT grp FROM nodes UNION SELECT 'none'),
