@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.syntax import SYNTAXES, unit_lines
+
 
 def chunks(text: str, size: int = 10_000, overlap: int = 200, separator: str = "\n") -> Iterator[tuple[int, int, str]]:
     """(first line, last line, text) of each chunk.
@@ -51,13 +53,13 @@ def code_units(text: str) -> list[list[str]]:
     return units
 
 
-def code_chunks(text: str, size: int = 10_000, overlap: int = 10) -> Iterator[tuple[int, int, str]]:
+def code_chunks(text: str, size: int = 10_000, overlap: int = 10, language: str | None = None) -> Iterator[tuple[int, int, str]]:
     """(first line, last line, text) of chunks that end between units of code; the next repeats the last ``overlap`` lines.
 
-    A unit over ``size`` is cut like text, without lines repeated before it.
+    A unit over ``size`` is cut like text, without lines repeated before it. A language that isn't known goes by indentation.
     """
     start, lines, filled = 0, [], 0
-    for unit in code_units(text):
+    for unit in unit_lines(text, language) if language in SYNTAXES else code_units(text):
         n = sum(map(len, unit)) + len(unit)
         if lines and filled + n > size:
             yield start, start + len(lines) - 1, "\n".join(lines)
@@ -75,18 +77,19 @@ def code_chunks(text: str, size: int = 10_000, overlap: int = 10) -> Iterator[tu
         yield start, start + len(lines) - 1, "\n".join(lines)
 
 
-def chunk_rows(df: DataFrame, key: str, text: str, size: int = 10_000, overlap: int = 200, separator: str = "\n", code: bool = False) -> DataFrame:
+def chunk_rows(df: DataFrame, key: str, text: str, size: int = 10_000, overlap: int = 200, separator: str = "\n", code: bool = False, language: str | None = None) -> DataFrame:
     """(key, chunk, start_line, end_line, text) for every row; a null text gives no chunks.
 
-    With ``code`` chunks end between units of code and ``overlap`` counts lines.
+    With ``code`` chunks end between units of code and ``overlap`` counts lines; ``language`` names the column that has the language.
     """
-    cut = (lambda t: code_chunks(t, size, overlap)) if code else (lambda t: chunks(t, size, overlap, separator))
+    cut = (lambda t, x: code_chunks(t, size, overlap, x)) if code else (lambda t, x: chunks(t, size, overlap, separator))
     schema = pa.schema([(key, pa.int64()), ("chunk", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("text", pa.string())])
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                rows = [(k, n, *c) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t is not None for n, c in enumerate(cut(t))]
+                rows = [(k, n, *c) for k, t, x in zip(*(part.column(c).to_pylist() for c in range(3))) if t is not None for n, c in enumerate(cut(t, x))]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, chunk int, start_line int, end_line int, text string")
+    spoken = F.col(language) if language else F.lit(None).cast("string")
+    return df.select(F.col(key).cast("long").alias(key), F.col(text), spoken.alias("spoken")).mapInArrow(run, f"{key} long, chunk int, start_line int, end_line int, text string")

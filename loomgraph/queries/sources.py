@@ -93,6 +93,38 @@ def equilibria(spark, sf_dir):
     return files.equilibria(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("file"), body.alias("value")))
 
 
+def equilibrium_texts(spark, sf_dir):
+    """Files of 3 x 2 points; every seventh ends early, every eleventh has no sizes. Numbers stand without spaces between them."""
+    number = lambda c: F.lpad(F.format_string("%.9E", c.cast("double")), 16, " ")
+    k = F.col("event_id")
+    values = F.concat(
+        F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: (k % 50 + i) / 4), F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: -(k % 9) - i),
+        F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (k % 7) * i / 8), F.array(*[F.lit(x).cast("double") for x in (1, 1.5, 2)]),
+    )
+    lines = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda r: F.array_join(F.transform(F.slice(values, r * 5 + 1, F.lit(5)), number), ""))
+    points = F.concat(F.lit("\n    2    1\n"), F.array_join(F.transform(F.array(*[F.lit(float(x)) for x in (1, 2, 3, 4)]), number), ""), F.lit("\n"), F.array_join(F.transform(F.array(F.lit(9.0), F.lit(-8.0)), number), ""))
+    head = F.when(k % 11 == 0, "EFIT").otherwise("EFIT   01/02  #1   0   3   2")
+    body = F.when(k % 7 == 0, F.array_join(F.slice(lines, 1, 8), "\n")).otherwise(F.concat(F.array_join(lines, "\n"), points))
+    return table(spark, sf_dir, "events").select(k.cast("string").alias("file"), F.concat(head, F.lit("\n"), body).alias("value"))
+
+
+EQ = "(SELECT event_id AS k, CASE WHEN event_id % 11 = 0 THEN 'header' WHEN event_id % 7 = 0 THEN 'short: 40 of 41' END AS error FROM events)"
+
+
+@query(f"""SELECT k::VARCHAR AS file, error, CASE WHEN error IS NULL THEN (k % 50 + 7) / 4 END AS psi_axis, CASE WHEN error IS NULL THEN (k % 50 + 10) / 4 END AS current, CASE WHEN error IS NULL THEN -(k % 9) - 3 END::DOUBLE AS first_pressure,
+  CASE WHEN error IS NULL THEN 5 * (k % 7) / 8 END AS last_flux, CASE WHEN error IS NULL THEN 2 END::DOUBLE AS last_safety, CASE WHEN error IS NULL THEN 3.0 END::DOUBLE AS boundary_r, CASE WHEN error IS NULL THEN -8.0 END::DOUBLE AS limiter_z FROM {EQ}""")
+def whole_equilibria(spark, sf_dir):
+    """Whole equilibrium files: scalars, profiles, flux, boundary and limiter, and what is wrong with bad ones."""
+    out = files.whole_equilibria(equilibrium_texts(spark, sf_dir))
+    return out.select("file", "error", "psi_axis", "current", F.get("pressure", F.lit(0)).alias("first_pressure"), F.element_at("flux", -1).alias("last_flux"), F.element_at("safety_factor", -1).alias("last_safety"), F.get("boundary", F.lit(1))["r"].alias("boundary_r"), F.get("limiter", F.lit(0))["z"].alias("limiter_z"))
+
+
+@query(f"""SELECT k::VARCHAR AS file, i::INT AS i, j::INT AS j, (k % 50 + 3) / 4 + (k % 50) / 8 * i AS r, (k % 50 + 4) / 4 - (k % 50 + 1) / 8 + (k % 50 + 1) / 4 * j AS z, (k % 7) * (j * 3 + i) / 8 AS psi FROM {EQ}, range(3) a(i), range(2) b(j) WHERE error IS NULL""")
+def flux_grid(spark, sf_dir):
+    """The flux of each file as rows of its grid."""
+    return files.flux_grid(files.whole_equilibria(equilibrium_texts(spark, sf_dir)))
+
+
 @query("""SELECT p_partkey, '<h2>' || p_name || '</h2>' || chr(10) || '<li>a <b>' || lower(p_type) || '</b></li>' || chr(10) || '<a href="T' || p_size || '">see</a> <code>x</code>' AS html FROM part""")
 def markup_to_html(spark, sf_dir):
     text = F.concat(F.lit("---++ "), "p_name", F.lit("\n   * a *"), F.lower("p_type"), F.lit("*\n[[T"), "p_size", F.lit("][see]] =x="))
@@ -296,3 +328,27 @@ def code_chunks(spark, sf_dir):
     text = F.concat(F.lit("import "), F.lower("p_type"), F.lit("\n\n@cached\ndef f_"), k, F.lit("(x):\n    return x\n\nclass C:\n    n = "), "p_size")
     out = chunks.chunk_rows(table(spark, sf_dir, "part").select(k, text.alias("text")), "p_partkey", "text", 45, 0, code=True)
     return out.select("p_partkey", "chunk", "text")
+
+
+# Two units in each language; strings and comments hold what would begin or end one.
+SOURCES = {
+    "python": ["# of {k}\n@kept(\n    1)\ndef f_{k}(a):\n    \"\"\"x\ndef no():\n\"\"\"\n    return [a,\na]\n", "class C_{k}:\n    t = '#('\n\n    def g(self):  # it does nothing at all, and says so\n        pass"],
+    "c": ["/* } of\n   {k} */\nint f_{k}(int a,\n  int b)\n{{\n  if (a) {{ puts(\"}}\"); }}\n  return '{{';\n}}\n", "// next, and last of all that is here\nstatic int n_{k} = 1; /* never {{ changed */"],
+    "fortran": ["! of {k}\nsubroutine f_{k}(a)\n  if (a > 0) then ! end\n    print *, 'end if'\n  end if\n  do i = 1, &\n   end_of\n  enddo\nEND SUBROUTINE\n", "real function g_{k}(x)\n  g = x\nend"],
+}
+PIECES = [(n, x, k, t) for n, (x, parts) in enumerate(SOURCES.items()) for k, t in enumerate(parts)]
+def source_text(parts: list[str]):
+    return F.replace(F.lit("\n".join(parts).replace("{{", "{").replace("}}", "}")), F.lit("{k}"), F.col("p_partkey").cast("string"))
+
+
+def quoted(text: str) -> str:
+    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in text.replace("{{", "{").replace("}}", "}").split("\n"))
+
+
+@query("SELECT p_partkey, e.chunk::INT AS chunk, replace(e.text, '{k}', p_partkey::VARCHAR) AS text FROM part p JOIN (VALUES " + ", ".join(f"({n}, {k}, {quoted(t)})" for n, _, k, t in PIECES) + ") e(n, chunk, text) ON e.n = p.p_partkey % 3")
+def code_chunks_by_language(spark, sf_dir):
+    """Source texts of three languages cut between their units, which brackets, strings and comments don't mislead."""
+    texts, names = [source_text(parts) for parts in SOURCES.values()], list(SOURCES)
+    pick = lambda values: F.when(F.col("p_partkey") % 3 == 0, values[0]).when(F.col("p_partkey") % 3 == 1, values[1]).otherwise(values[2])
+    rows = table(spark, sf_dir, "part").select("p_partkey", pick(texts).alias("text"), pick([F.lit(x) for x in names]).alias("language"))
+    return chunks.chunk_rows(rows, "p_partkey", "text", 140, 0, code=True, language="language").select("p_partkey", "chunk", "text")

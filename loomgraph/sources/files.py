@@ -82,6 +82,57 @@ def equilibria(texts: DataFrame) -> DataFrame:
     return text.select("file", value(2, 2).alias("psi_axis"), value(2, 3).alias("psi_edge"), value(2, 4).alias("field"), value(3, 0).alias("current"))
 
 
+#: The numbers that stand before the profiles of an equilibrium file, those of its format that have a meaning.
+EQUILIBRIUM_SCALARS = {"r_size": 0, "z_size": 1, "r_centre": 2, "r_left": 3, "z_middle": 4, "r_axis": 5, "z_axis": 6, "psi_axis": 7, "psi_edge": 8, "field": 9, "current": 10}
+SCALARS = 20
+#: The profiles after them, in order; the flux on the grid comes before the last.
+PROFILES = ("poloidal_current", "pressure", "current_slope", "pressure_slope")
+NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[EeDd][+-]?[0-9]+)?"
+
+
+def whole_equilibria(texts: DataFrame) -> DataFrame:
+    """One row for each equilibrium file (file, value): title, nr, nz, scalars, profiles, flux, safety factor, boundary, limiter, error.
+
+    The first line ends with the numbers of points; then all numbers follow in a row, of fixed width and not always with a space
+    between them: scalars, profiles of nr values, the flux as nz rows of nr values, the safety factor, two counts and as many
+    points (r, z) of boundary and limiter. ``error`` says what is wrong with a file: ``header`` without numbers of points, ``short``
+    with the numbers there and needed; the rest is null then. Counts that are missing mean no points. Null texts are ``header``.
+    """
+    head = F.substring_index(F.coalesce("value", F.lit("")), "\n", 1)
+    size = F.regexp_extract_all(head, F.lit(r"[0-9]+"), F.lit(0))
+    body = F.translate(F.expr("substring(value, length(head) + 2)"), "Dd", "EE")
+    rows = texts.select("file", "value", head.alias("head"), F.regexp_like(head, F.lit(r"(?:^|\s)[0-9]+\s+[0-9]+\s*$")).alias("sized"), size.alias("size"))
+    rows = rows.withColumns({"nr": F.when(F.col("sized"), F.try_element_at("size", F.lit(-2)).cast("int")), "nz": F.when(F.col("sized"), F.try_element_at("size", F.lit(-1)).cast("int"))})
+    rows = rows.select("file", "nr", "nz", F.trim(F.regexp_replace("head", r"(?:\s+[0-9]+){2,3}\s*$", "")).alias("title"), F.transform(F.regexp_extract_all(body, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double")).alias("numbers"))
+    rows = rows.select("file", "nr", "nz", "title", F.explode(F.array("numbers")).alias("x"))  # so that the numbers are read once
+    n, m, x = F.col("nr"), F.col("nz"), F.col("x")
+    tail = SCALARS + (len(PROFILES) + 1) * n + n * m
+    rows = rows.withColumn("error", F.when(n.isNull() | (n < 1) | (m < 1), "header").when(F.size(x) < tail, F.format_string("short: %d of %d", F.size(x), tail)))
+    fine = lambda c: F.when(F.col("error").isNull(), c)
+    count = lambda k: F.coalesce(F.get(x, tail + k).cast("int"), F.lit(0))
+    points = lambda start, k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.get(x, start + 2 * i).alias("r"), F.get(x, start + 2 * i + 1).alias("z")))
+    none = F.array().cast("array<struct<r:double,z:double>>")
+    rows = rows.withColumns({"n_boundary": count(0), "n_limiter": count(1)})
+    boundary = F.when(F.col("n_boundary") > 0, points(tail + 2, F.col("n_boundary"))).otherwise(none)
+    limiter = F.when(F.col("n_limiter") > 0, points(tail + 2 + 2 * F.col("n_boundary"), F.col("n_limiter"))).otherwise(none)
+    part = lambda start, length: F.slice(x, (start + 1).cast("int"), length)
+    return rows.select(
+        "file", "title", "nr", "nz",
+        *[fine(F.get(x, F.lit(k))).alias(name) for name, k in EQUILIBRIUM_SCALARS.items()],
+        *[fine(part(SCALARS + k * n, n)).alias(name) for k, name in enumerate(PROFILES)],
+        fine(part(SCALARS + len(PROFILES) * n, n * m)).alias("flux"), fine(part(tail - n, n)).alias("safety_factor"),
+        fine(boundary).alias("boundary"), fine(limiter).alias("limiter"), "error",
+    )
+
+
+def flux_grid(equilibria: DataFrame) -> DataFrame:
+    """(file, i, j, r, z, psi): the flux of ``whole_equilibria`` as rows, with the place of each point; files with errors have none."""
+    cells = equilibria.where("error is null").select("file", "nr", "nz", "r_left", "r_size", "z_middle", "z_size", F.posexplode("flux").alias("k", "psi"))
+    i, j = F.col("k") % F.col("nr"), F.floor(F.col("k") / F.col("nr")).cast("int")
+    step = lambda size, n: F.when(F.col(n) > 1, F.col(size) / (F.col(n) - 1)).otherwise(F.lit(0.0))
+    return cells.select("file", i.alias("i"), j.alias("j"), (F.col("r_left") + step("r_size", "nr") * i).alias("r"), (F.col("z_middle") - F.col("z_size") / 2 + step("z_size", "nz") * j).alias("z"), "psi")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
