@@ -115,17 +115,18 @@ def unit_lines(text: str, language: str) -> list[list[str]]:
     matches = lambda pattern, code: bool(pattern) and re.match(pattern, code, flags) is not None
     units: list[list[str]] = [[]]
     ahead: list[str] = []  # comments and decorators of a unit to come
-    depth, continued = 0, False
+    depth, continued, decorating = 0, False, False
     for line, bare, inside in bare_lines(text, syntax):
         code = bare.strip()
         free = depth == 0 and not inside and not continued
         if (free or (ahead and inside and depth == 0)) and not code and line.strip():
             ahead.append(line)
             continue
-        if free and code.startswith("@") and syntax.by_indent and not line[:1].isspace():
+        if decorating or (free and code.startswith("@") and syntax.by_indent and not line[:1].isspace()):
             ahead.append(line)
             depth += sum(map(code.count, "([{")) - sum(map(code.count, ")]}"))
             continued = re.search(syntax.continued, code) is not None
+            decorating = depth > 0 or continued
             continue
         own = free and bool(code) and not (syntax.by_indent and line[:1].isspace()) and not matches(syntax.goes_on, code)
         if own and any(x.strip() for x in units[-1]):

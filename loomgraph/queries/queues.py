@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import table
+from loomgraph.operators import commits
+from loomgraph.plans.shared import ensure_checkpoint_dir, table
 from loomgraph.queries.registry import query
 from loomgraph.streaming import leases
 
@@ -37,6 +40,30 @@ def lease_claim(spark, sf_dir):
     return after.where("token = 'mine'").select("id")
 
 
+@query(f"""WITH q AS (SELECT event_id AS id, value, event_type = 'error' AS done, CASE WHEN event_type = 'purchase' THEN ts END AS c FROM events)
+  SELECT id, CASE WHEN place <= 40 THEN 'a' ELSE 'b' END AS token FROM (SELECT id, row_number() OVER (ORDER BY value DESC, id) AS place FROM q WHERE NOT done AND (c IS NULL OR c < TIMESTAMP '{NOW}' - INTERVAL 300 SECOND)) WHERE place <= 80""")
+def atomic_claims(spark, sf_dir):
+    """Two claims of forty rows each, one after the other, on a queue kept in a folder."""
+    folder = f"{ensure_checkpoint_dir(spark)}/queue-{uuid.uuid4().hex}"
+    commits.begin(queue(spark, sf_dir), folder)
+    for token in "ab":
+        leases.claim_atomically(spark, folder, token, now(), 40, 300, [F.desc("value"), F.col("id")])
+    return commits.current(spark, folder).where(F.col("token").isin("a", "b")).select("id", "token")
+
+
+@query("""SELECT 'orders' AS name, l_orderkey AS a, min(l_suppkey) AS b FROM lineitem GROUP BY 2 UNION ALL SELECT 'parts', l_partkey, count(*) FROM lineitem GROUP BY 2
+  UNION ALL SELECT 'supplies', l_suppkey, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""")
+def published_scan(spark, sf_dir):
+    """A scan's rows fanned out to tables of entities and links, published at once and read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}"
+    scan = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    tables = commits.scan_tables(scan, {"orders": ("l_orderkey", ["l_suppkey"]), "parts": ("l_partkey", [])}, {"supplies": ("l_suppkey", "l_partkey")})
+    commits.write_tables(spark, folder, tables)
+    read = {name: commits.read_table(spark, folder, name) for name in tables}
+    rows = [read[n].select(F.lit(n).alias("name"), F.col(a).alias("a"), F.col(b).alias("b")) for n, a, b in (("orders", "id", "l_suppkey"), ("parts", "id", "n"), ("supplies", "src", "dst"))]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 @query(f"""SELECT event_id AS id, CASE WHEN event_type = 'purchase' AND ts >= TIMESTAMP '{NOW}' - INTERVAL 300 SECOND AND ts <= TIMESTAMP '{NOW}' THEN 'old' END AS token FROM events""")
 def reset_stale_claims(spark, sf_dir):
     return leases.reset_stale(queue(spark, sf_dir), now(), 300).select("id", "token")

@@ -12,7 +12,7 @@ from loomgraph.plans.shared import ensure_checkpoint_dir, table
 from loomgraph.queries.graph import GRAPH, edges, nodes
 from loomgraph.queries.queues import NOW, now, queue
 from loomgraph.queries.registry import query
-from loomgraph.sources import files
+from loomgraph.sources import dictionary, files
 from loomgraph.streaming import leases
 
 
@@ -59,6 +59,56 @@ def dictionary_documents(spark, sf_dir):
     return kept.groupBy("grp").agg(F.count("*").alias("n"), F.sha2(F.array_join(written, "|"), 256).alias("digest"))
 
 
+def nested_texts(spark, sf_dir):
+    """Dictionary files with nested structures: some documented, with units that refer elsewhere, coordinates, bounds and states."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf_dir, "part").select(F.lower("p_type").alias("grp"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("brand"), k, "p_name", size)
+    attribute = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))).otherwise("")
+    unit = F.when(size % 7 == 0, "m^dimension").when(size % 7 == 1, "units given by coordinate_system(:)/coordinate(phi)/units").when(size % 7 == 2, "units given by process").when(size % 7 == 3, "T.m").when(size % 7 == 4, "1")
+    field = F.concat(
+        F.when(size % 10 == 0, "<coordinate").otherwise("<field"), F.lit(' name="f'), k, F.when(k % 13 == 0, "_error_upper").otherwise(""), F.lit('" data_type="FLT_1D"'), attribute("units", unit), attribute("documentation", F.when(k % 3 > 0, F.col("p_name"))),
+        attribute("coordinate1", F.when(k % 2 == 0, "time")), attribute("coordinate2", F.when(k % 4 == 0, "1...N")), attribute("min", F.when(k % 5 == 0, k)), attribute("lifecycle_status", F.when(k % 9 == 0, "obsolescent")),
+        attribute("introduced_after", F.when(k % 6 == 0, "3.2.0")), attribute("doc_identifier", F.when(k % 8 == 0, "x/y_identifier.xml")), F.lit("/>"),
+    )
+    brands = part.groupBy("grp", "brand").agg(F.concat(F.lit('<field name="'), "brand", F.lit('" data_type="STRUCTURE" units="Pa" documentation="About '), "brand", F.lit('!" lifecycle_status="alpha"><part>'), F.array_join(F.sort_array(F.collect_list(field)), ""), F.lit("</part></field>")).alias("x"))
+    body = F.concat(F.lit('<root><IDS name="'), "grp", F.lit('" documentation="All of '), "grp", F.lit('">'), F.array_join(F.sort_array(F.collect_list("x")), ""), F.lit("</IDS></root>"))
+    return brands.groupBy("grp").agg(body.alias("value")).select(F.col("grp").alias("file"), "value")
+
+
+UNITS_OF = "CASE p_size % 7 WHEN 0 THEN CASE WHEN k % 4 = 0 THEN 'm^2' WHEN k % 2 = 0 THEN 'm' ELSE 'm^3' END WHEN 1 THEN 'rad' WHEN 3 THEN 'T.m' WHEN 4 THEN '1' ELSE '' END"
+GIVEN_UNITS = "CASE p_size % 7 WHEN 0 THEN 'm^dimension' WHEN 1 THEN 'units given by coordinate_system(:)/coordinate(phi)/units' WHEN 2 THEN 'units given by process' WHEN 3 THEN 'T.m' WHEN 4 THEN '1' END"
+NESTED = f"""(SELECT grp, grp || '/' || brand || '/f' || k AS path, CASE WHEN k % 3 > 0 THEN p_name || '. Within ' || grp || ' IDS: All of ' || grp || '. Within ' || brand || ' container: About ' || brand || '!' ELSE 'About ' || brand || '! Within ' || grp || ' IDS: All of ' || grp || '.' END AS documentation,
+  {UNITS_OF} AS units, concat_ws(',', CASE WHEN k % 2 = 0 THEN 'time' END, CASE WHEN k % 4 = 0 THEN '1...N' END) AS coordinates, CASE WHEN k % 5 = 0 THEN k::VARCHAR END AS min_value, p_size % 7 IN (0, 1, 2, 3) AS units_required,
+  CASE WHEN k % 9 = 0 THEN 'obsolescent' ELSE 'alpha' END AS inherited_status, coalesce({GIVEN_UNITS}, 'Pa') AS inherited_units, CASE WHEN k % 6 = 0 THEN '3.2.0' END AS introduced_after_version, CASE WHEN k % 8 = 0 THEN 'x/y_identifier.xml' END AS identifier_schema FROM {OWN} WHERE k % 13 > 0
+  UNION ALL SELECT DISTINCT grp, grp || '/' || brand, 'About ' || brand || '! Within ' || grp || ' IDS: All of ' || grp || '.', 'Pa', '', NULL, true, 'alpha', 'Pa', NULL, NULL FROM {OWN})"""
+
+
+@query(f"SELECT * FROM {NESTED}")
+def dictionary_extracts(spark, sf_dir):
+    """What the extractors find for each field, with what it inherits from the elements above; error fields are left out."""
+    out = dictionary.extracted(dictionary.elements(nested_texts(spark, sf_dir)))
+    return out.select("grp", "path", "documentation", "units", F.array_join("coordinates", ",").alias("coordinates"), "min_value", "units_required", "inherited_status", "inherited_units", "introduced_after_version", "identifier_schema")
+
+
+@query(f"""SELECT grp, 'All of ' || grp AS description, 3::INT AS max_depth, count(*)::BIGINT AS leaf_count, round((1 + count(DISTINCT brand) + count_if(k % 3 > 0)) / (1 + count(DISTINCT brand) + count(*))::DOUBLE, 6) AS coverage FROM {OWN} GROUP BY 1""")
+def dictionary_groups(spark, sf_dir):
+    out = dictionary.group_info(dictionary.elements(nested_texts(spark, sf_dir)))
+    return out.select("grp", "description", "max_depth", "leaf_count", F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"SELECT grp, 'f' || k || CASE WHEN k % 13 = 0 THEN '_error_upper' ELSE '' END AS name, CASE WHEN k % 3 > 0 THEN p_name ELSE '' END AS description, coalesce({GIVEN_UNITS}, '') AS units FROM {OWN} WHERE p_size % 10 = 0")
+def coordinate_systems(spark, sf_dir):
+    return dictionary.coordinate_systems(dictionary.elements(nested_texts(spark, sf_dir))).drop("file")
+
+
+@query(f"""SELECT grp, key, count(*)::BIGINT AS n, string_agg(path, ' ' ORDER BY path) AS paths FROM (SELECT grp, path, CASE WHEN units NOT IN ('', '1', 'mixed') THEN 'units_' || replace(replace(units, '/', '_'), '.', '_') WHEN coordinates <> '' THEN 'coordinates_' || replace(coordinates, ',', '_')
+  WHEN len(string_split(path, '/')) >= 3 THEN 'structure_' || string_split(path, '/')[2] ELSE 'misc' END AS key FROM {NESTED}) GROUP BY 1, 2 HAVING count(*) > 1""")
+def semantic_groups(spark, sf_dir):
+    """Fields of a group that belong together by units, coordinates or place."""
+    fields = dictionary.extracted(dictionary.elements(nested_texts(spark, sf_dir)))
+    return dictionary.semantic_groups(fields).withColumn("paths", F.array_join("paths", " "))
+
+
 @query("""SELECT 's' || (p_size % 5) AS schema, count(DISTINCT p_name)::BIGINT AS n, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names FROM part GROUP BY 1""")
 def identifier_catalogue(spark, sf_dir):
     part = table(spark, sf_dir, "part")

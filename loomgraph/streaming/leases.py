@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomgraph.operators import commits
 from loomgraph.plans.shared import cut
 
 STATUS = ("pending", "claimed", "done", "failed")
@@ -53,6 +54,22 @@ def claim_group(queue: DataFrame, token: str, now: Column, n: int, seconds: int,
     return out.withColumns({"token": F.when(hit, F.col("new_token")).otherwise(F.col("token")), "claimed_at": F.when(hit, now).otherwise(F.col("claimed_at"))}).drop("new_token")
 
 
+def claim_atomically(spark: SparkSession, folder: str, token: str, now: Column, n: int, seconds: int, order: Sequence[Column] = (), group: Sequence[str] = ()) -> DataFrame:
+    """Claim rows of a queue kept in a folder (see ``commits``) and read them back: two claimers never hold the same row.
+
+    With ``group`` the rows after the first one share its first non-null group column. A claimer that was overtaken picks again among
+    what is still free.
+    """
+
+    def picked(queue: DataFrame) -> DataFrame:
+        queue = cut(queue)
+        after = claim_group(queue, token, now, n, seconds, group) if group else claim(queue, token, now, n, seconds, order)
+        return after.where(F.col("token") == token).join(queue.where(F.col("token") == token).select("id"), "id", "left_anti")
+
+    commits.transact(spark, folder, picked)
+    return commits.current(spark, folder).where(F.col("token") == token)
+
+
 def reset_stale(queue: DataFrame, now: Column, seconds: int) -> DataFrame:
     """Claims older than allowed, or from the future, are freed."""
     stale = F.col("claimed_at").isNotNull() & (is_free(F.col("claimed_at"), now, seconds) | (F.col("claimed_at") > now))
