@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import conventions, names
-from loomgraph.operators import audits
+from loomgraph.operators import audits, name_checks
 from loomgraph.plans.shared import table
 from loomgraph.queries.graph import GRAPH, nodes
 from loomgraph.queries.registry import query
@@ -233,3 +233,74 @@ def convention_changes(spark, sf_dir):
     own = nodes(spark, sf_dir).select("id", label.alias("label"))
     out = conventions.change_factors(own, 17, 1)
     return out.withColumn("factor", F.round("factor", 6))
+
+
+# Names made of the parts' own words: what stands before and behind them decides which checks they fail.
+BEFORE = ("", "amplitude_of_", "max_", "cumulative_", "radial_coordinate_of_surface_normal_", "stokes_vector_", "position_of_", "diamagnetic_component_of_", "measurement_time_of_")
+BEHIND = ("", "_harmonics", "_ggd", "_due_to_ohmic", "_due_to_startup_phase", "_field", "_density", "_time_averaged", "_at_separatrix", "_per_toroidal_mode_number", "_profile", "_of_x_position", "_polarimeter", "_at_wall_surface", "_magnetic_field", "_on_ggd", "_to_b_ratio")
+COMPOSED = f"""(SELECT p_partkey AS k, [{', '.join(repr(b) for b in BEFORE)}][k % {len(BEFORE)} + 1] || replace(p_name, ' ', '_') || CASE WHEN k % 19 = 0 THEN '_' || string_split(p_name, ' ')[2] ELSE '' END || [{', '.join(repr(b) for b in BEHIND)}][k % {len(BEHIND)} + 1] AS id,
+  CASE WHEN k % 5 = 0 THEN 'The Fourier Mode of it' WHEN k % 5 = 1 THEN 'In COCOS 11' END AS description, CASE WHEN k % 4 = 0 THEN 'm^-3' WHEN k % 4 = 1 THEN 'Pa' WHEN k % 4 = 2 THEN '1' END AS unit, CASE WHEN k % 2 = 0 THEN 'a/ggd/b' END AS source_path, CASE WHEN k % 3 = 0 THEN 'psi_like' END AS label FROM part)"""
+# The same in SQL's own words: conditions on the whole name.
+CONDITIONS = {
+    "tautology": "regexp_matches(id, '(^|_)position_of_([a-z0-9_]*_)?position$') AND len(string_split(id, '_of_')) > 1 AND list_contains(list_transform(range(1, len(string_split(id, '_of_'))), lambda i: string_split(string_split(id, '_of_')[i], '_')[-1] = 'position' AND string_split(string_split(id, '_of_')[i + 1], '_')[-1] = 'position'), true)",
+    "spectral_suffix": "suffix(id, '_harmonics')",
+    "abbreviation": "contains('_' || id || '_', '_max_')",
+    "spectral_description": "contains(lower(description), 'fourier mode') AND NOT regexp_matches(id, 'mode_|_amplitude|fourier|harmonic|spectral')",
+    "representation": "regexp_matches(id, '_ggd(_|$)')",
+    "due_to_event": "contains(id, '_due_to_startup')",
+    "due_to_adjective": "suffix(id, '_due_to_ohmic')",
+    "bare_field": "suffix(id, '_field') AND NOT suffix(id, 'magnetic_field')",
+    "density_unit": "contains(id, '_density') AND unit = 'Pa' AND NOT regexp_matches(id, '^(measurement_time_of_|position_of_)')",
+    "coordinate_of_vector": "contains(id, 'radial_coordinate_of_surface_normal_')",
+    "aggregator_order": "suffix(id, '_time_averaged')",
+    "named_feature": "suffix(id, '_at_separatrix')",
+    "diamagnetic_component": "contains(id, 'diamagnetic_component_of_')",
+    "part_prefix": "starts_with(id, 'amplitude_of_')",
+    "mode_number": "suffix(id, '_per_toroidal_mode_number')",
+    "cumulative": "starts_with(id, 'cumulative_')",
+    "ratio_form": "suffix(id, '_to_b_ratio')",
+    "profile_suffix": "suffix(id, '_profile')",
+    "adjacent_duplicate": "list_contains(list_transform(range(1, len(t)), lambda i: t[i] = t[i + 1]), true)",
+    "repeated_token": "len(list_filter(t, lambda x: x NOT IN ('of', 'at', 'per', 'due', 'to'))) > len(list_distinct(list_filter(t, lambda x: x NOT IN ('of', 'at', 'per', 'due', 'to'))))",
+    "length": "length(id) > 70",
+    "instrument_observable": "contains(id, 'polarimeter') AND contains(id, 'stokes_vector')",
+    "position_redundancy": "contains(id, '_at_wall_surface')",
+    "convention_mention": "label IS NOT NULL AND NOT coalesce(contains(description, 'COCOS 11'), false)",
+}
+NOT_CRITICAL = ("ratio_form", "profile_suffix", "repeated_token", "length", "instrument_observable", "position_redundancy", "convention_mention")
+FOUND = f"(SELECT id, list_filter([{', '.join(f'CASE WHEN {c} THEN {n!r} END' for n, c in CONDITIONS.items())}], lambda x: x IS NOT NULL) AS checks FROM (SELECT *, string_split(id, '_') AS t FROM {COMPOSED}))"
+
+
+def composed_names(spark, sf_dir):
+    k = F.col("p_partkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    again = F.when(k % 19 == 0, F.concat(F.lit("_"), F.split("p_name", " ")[1])).otherwise("")
+    return table(spark, sf_dir, "part").select(
+        F.concat(pick(BEFORE), F.replace("p_name", F.lit(" "), F.lit("_")), again, pick(BEHIND)).alias("id"),
+        F.when(k % 5 == 0, "The Fourier Mode of it").when(k % 5 == 1, "In COCOS 11").alias("description"),
+        F.when(k % 4 == 0, "m^-3").when(k % 4 == 1, "Pa").when(k % 4 == 2, "1").alias("unit"),
+        F.when(k % 2 == 0, "a/ggd/b").alias("source_path"), F.when(k % 3 == 0, "psi_like").alias("label"),
+    )
+
+
+@query(f"SELECT id, array_to_string(checks, ',') AS checks, len(list_filter(checks, lambda x: x NOT IN {NOT_CRITICAL})) > 0 AS critical FROM {FOUND}")
+def name_checks_found(spark, sf_dir):
+    """The checks that each composed name fails, and whether any is critical."""
+    out = name_checks.checked(composed_names(spark, sf_dir))
+    return out.select("id", F.array_join(F.transform("issues", lambda x: x["check"]), ",").alias("checks"), "critical")
+
+
+@query(f'SELECT "check", "check" NOT IN {NOT_CRITICAL} AS critical, count(*)::BIGINT AS n, min(id) AS first, max(id) AS last FROM (SELECT id, unnest(checks) AS "check" FROM {FOUND}) GROUP BY 1')
+def name_issue_counts(spark, sf_dir):
+    return name_checks.issue_counts(name_checks.checked(composed_names(spark, sf_dir)))
+
+
+GRAMMAR = {"size": ("small", "large", "tiny"), "thing": ("bolt", "nut", "widget"), "place": ("at_separatrix", "at_wall_surface"), "average": ("time_averaged", "time")}
+
+
+@query(f"""WITH s AS (SELECT id, k, string_split(CASE WHEN regexp_matches(id, '_(at_separatrix|at_wall_surface|time_averaged)$') THEN replace(regexp_replace(id, '_(at_separatrix|at_wall_surface|time_averaged)$', ''), '_', ' ') || ' ' || regexp_extract(id, '_(at_separatrix|at_wall_surface|time_averaged)$', 1) ELSE replace(id, '_', ' ') END, ' ') AS w FROM {COMPOSED})
+  SELECT id, array_to_string(list_transform(w, lambda x: CASE WHEN x IN ('small', 'large', 'tiny') THEN 'size' WHEN x IN ('bolt', 'nut', 'widget') THEN 'thing' WHEN x IN ('at_separatrix', 'at_wall_surface') THEN 'place' WHEN x IN ('time_averaged', 'time') THEN 'average' ELSE 'unknown' END || ':' || x), ' ') AS segments FROM s""")
+def name_segments(spark, sf_dir):
+    """Composed names parsed to segments by the longest match."""
+    out = name_checks.parsed(composed_names(spark, sf_dir), GRAMMAR)
+    return out.select("id", F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["kind"], s["text"])), " ").alias("segments"))
