@@ -54,8 +54,33 @@ def pending_work(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.bool_or(F.col("value") > 300).alias("waits"))
 
 
-@query()
+# Lines with their ends, cut hard where they are over 1,000 characters, and then added to a segment one after the other while they fit.
+SEGMENTS = """lines AS (SELECT doc_id, unnest(range(len(l))) AS line, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')),
+  whole AS (SELECT doc_id, line, l[line + 1] || CASE WHEN line + 1 < len(l) THEN chr(10) ELSE '' END AS t FROM lines),
+  cut AS (SELECT doc_id, line, part, substr(t, part * 1000 + 1, 1000) AS t FROM (SELECT *, unnest(range(0, (length(t) + 999) // 1000)) AS part FROM whole WHERE t <> '')),
+  pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, part) AS i, t FROM cut),
+  added AS (SELECT doc_id, i, 0 AS place, length(t) AS filled FROM pieces WHERE i = 1 UNION ALL
+    SELECT p.doc_id, p.i, CASE WHEN a.filled + length(p.t) <= 1000 THEN place ELSE place + 1 END, CASE WHEN a.filled + length(p.t) <= 1000 THEN a.filled + length(p.t) ELSE length(p.t) END FROM added a JOIN pieces p ON p.doc_id = a.doc_id AND p.i = a.i + 1),
+  segments AS (SELECT a.doc_id, a.place, string_agg(p.t, '' ORDER BY p.i) AS segment FROM added a JOIN pieces p ON p.doc_id = a.doc_id AND p.i = a.i GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT doc_id, place::INT AS place, segment FROM segments")
 def text_segments(spark, sf_dir):
     """Texts cut at line ends into segments of at most 1,000 characters."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", F.posexplode(budgets.segments(F.col("text"), 1000)).alias("place", "segment"))
+
+
+LETTERS = "etaoinsr"
+SHARES = ", ".join(f"(length(segment) - length(replace(segment, '{c}', '')))::DOUBLE / length(segment) AS x{k}" for k, c in enumerate(LETTERS))
+
+
+@query(f"""WITH RECURSIVE {SEGMENTS}, v AS (SELECT doc_id, {SHARES} FROM segments), m AS (SELECT doc_id, count(*) AS n, {', '.join(f'avg(x{k}) AS x{k}' for k in range(len(LETTERS)))} FROM v GROUP BY 1)
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_segments, round({' + '.join(f'{k + 1} * x{k}' for k in range(len(LETTERS)))}, 6)::DOUBLE AS weighted FROM documents d LEFT JOIN m USING (doc_id)""")
+def segment_embeddings(spark, sf_dir):
+    """Vectors of long texts as means of their segments' vectors, here shares of some letters."""
+    share = lambda t, c: (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))) / F.length(t)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = budgets.embedded(docs, "doc_id", "text", lambda t: F.array(*[share(t, c) for c in LETTERS]), 1000)
+    weighted = F.aggregate(F.transform("embedding", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("doc_id", "n_segments", F.round(weighted, 6).alias("weighted"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +81,10 @@ def after_watermark(rows: DataFrame, at: str, seen: DataFrame) -> tuple[DataFram
     return new.drop("watermark"), last
 
 
+#: Characters that are embedded at once.
+MOST_CHARS = 4000
+
+
 def segments(text: Column, most: int) -> Column:
     """A text as segments of at most ``most`` characters, cut at line ends where that is possible.
 
@@ -92,3 +96,28 @@ def segments(text: Column, most: int) -> Column:
     fits = lambda a, x: F.length(a["open"]) + F.length(x) <= most
     step = lambda a, x: F.when(fits(a, x), F.struct(a["done"].alias("done"), F.concat(a["open"], x).alias("open"))).otherwise(F.struct(F.array_append(a["done"], a["open"]).alias("done"), x.alias("open")))
     return F.aggregate(pieces, start, step, lambda a: F.filter(F.array_append(a["done"], a["open"]), lambda x: x != ""))
+
+
+def averaged_vectors(parts: DataFrame, key: str, vector: str, weight: Column | None = None) -> DataFrame:
+    """(key, n, vector): the mean of the parts' vectors by position, each counting by ``weight`` (1 if not given).
+
+    Places are averaged apart, so no row gathers a long text's vectors. Parts without key or vector, or with a weight that
+    is null or not above 0, are left out; a place that only longer vectors have is averaged over those.
+    """
+    told = parts.select(key, F.col(vector).alias("v"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w")).where(F.col(key).isNotNull() & F.col("v").isNotNull() & (F.col("w") > 0))
+    places = told.select(key, "w", F.posexplode("v").alias("at", "x"))
+    means = places.groupBy(key, "at").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"), F.count("*").alias("n"))
+    joined = means.groupBy(key).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "m"))).alias("p"))
+    return joined.select(key, "n", F.transform("p", lambda p: p["m"]).alias(vector))
+
+
+def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[Column], Column], most: int = MOST_CHARS, by_length: bool = False) -> DataFrame:
+    """``rows`` with ``n_segments`` and ``embedding``: texts over ``most`` characters are cut, each segment is embedded, and the vectors averaged.
+
+    ``embed`` makes a vector of a text's column. With ``by_length`` a segment counts by its characters. Keys must differ; null and empty
+    texts have no segments and a null embedding.
+    """
+    parts = rows.select(key, F.explode(segments(F.col(text), most)).alias("segment"))
+    vectors = parts.select(key, embed(F.col("segment")).alias("embedding"), F.length("segment").alias("chars"))
+    means = averaged_vectors(vectors, key, "embedding", F.col("chars") if by_length else None).withColumnRenamed("n", "n_segments")
+    return rows.join(means, key, "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))

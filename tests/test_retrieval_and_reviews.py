@@ -174,6 +174,15 @@ def test_segments_are_whole_and_small(spark):
             assert "".join(r["s"]) == r["t"] and all(0 < len(x) <= 10 for x in r["s"])
 
 
+def test_vectors_of_segments_are_averaged(spark):
+    rows = spark.createDataFrame([(1, "aa\nbbbb\n"), (2, "x"), (3, None), (4, "")], "id long, text string")
+    vector = lambda t: F.array(F.length(t).cast("double"), F.lit(1.0))
+    plain = {r["id"]: (r["n_segments"], r["embedding"]) for r in budgets.embedded(rows, "id", "text", vector, 5).collect()}
+    assert plain == {1: (2, [4.0, 1.0]), 2: (1, [1.0, 1.0]), 3: (0, None), 4: (0, None)}
+    long = {r["id"]: r["embedding"] for r in budgets.embedded(rows, "id", "text", vector, 5, by_length=True).collect()}
+    assert long[1] == [(3 * 3 + 5 * 5) / 8, 1.0]
+
+
 def test_watermark_of_nothing_takes_all(spark):
     new, last = budgets.after_watermark(spark.range(5), "id", spark.createDataFrame([], "watermark long"))
     assert new.count() == 5 and last.first()[0] == 4
