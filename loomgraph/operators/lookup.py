@@ -244,6 +244,23 @@ def error_edges(nodes: DataFrame) -> DataFrame:
     return fields.join(bases, ["parent", "of"]).select("id", "base", "error_type")
 
 
+def section_nodes(sections: DataFrame, nodes: DataFrame, edges: DataFrame, epoch_fields: Sequence[str]) -> DataFrame:
+    """(section, id, sort_key): the nodes of each structural section in an epoch, to be listed by sort_key and id.
+
+    ``sections`` is (section, epoch, facility, system, source, epoch_field, via). With ``via`` the nodes are those that the epoch
+    points to by that relation; else those of the facility, system and data source whose column ``epoch_field``, one of
+    ``epoch_fields``, is the epoch. ``nodes`` has id, sort_key, facility, system, source and the epoch fields, ``edges`` is (src, relation, dst).
+    """
+    linked = sections.where("via is not null").select("section", F.col("epoch").alias("src"), F.col("via").alias("relation"))
+    by_edge = linked.join(edges, ["src", "relation"]).select("section", F.col("dst").alias("id")).distinct().join(nodes.select("id", "sort_key"), "id")
+    # one row of a node for each of its epochs, so that sections meet them by equality
+    told = F.explode(F.array(*[F.struct(F.lit(f).alias("epoch_field"), F.col(f).alias("epoch")) for f in epoch_fields]))
+    placed = nodes.select("id", "sort_key", "facility", "system", "source", told.alias("e")).select("id", "sort_key", "facility", "system", "source", "e.*")
+    keys = ["facility", "system", "source", "epoch_field", "epoch"]
+    by_field = sections.where("via is null").select("section", *keys).join(placed, keys)
+    return by_field.select("section", "id", "sort_key").unionByName(by_edge.select("section", "id", "sort_key"))
+
+
 def edit_suggestions(asked: DataFrame, name: str, catalogue: DataFrame, same_base: Column) -> DataFrame:
     """(name, suggestion, edits): the catalogue's ``id`` with the fewest edits, of equal ones one with the same base, then by id."""
     return fuzzy.fewest_edits(asked, catalogue, ~same_base, name).withColumnRenamed("id", "suggestion")

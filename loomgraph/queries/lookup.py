@@ -341,3 +341,20 @@ def unit_compatibility(spark, sf_dir):
     a, b = pick("keV", "J.m^-3", "m", "T", "mm"), pick("eV", "Pa", "s", "mixed", "m")
     factor = units.converted(F.lit(1.0), a, b)
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(factor.isNotNull(), F.lit(False)).alias("compatible"), F.round(factor, 6).alias("factor"))
+
+
+@query(f"""{GRAPH} SELECT 'field:' || grp || ':' || v AS section, id, k AS sort_key FROM nodes JOIN (SELECT unnest(['3.42.0', '4.0.0']) AS v) ON introduced = v WHERE domain = 'domain_1'
+  UNION ALL SELECT 'gone:' || grp, id, k FROM nodes WHERE deprecated = '4.1.0' AND domain = 'domain_2' UNION ALL SELECT 'via:' || src, dst, (SELECT k FROM nodes WHERE id = dst) FROM edges""")
+def section_nodes(spark, sf_dir):
+    """Nodes of structural sections, by system, source and epoch, or by what an epoch points to."""
+    own = nodes(spark, sf_dir).select("id", F.col("k").alias("sort_key"), F.lit("f").alias("facility"), F.col("grp").alias("system"), F.col("domain").alias("source"), "introduced", "deprecated")
+    groups = own.select("system").distinct()
+    null = F.lit(None).cast("string")
+    row = lambda df, section, epoch, system, source, field, via: df.select(section.alias("section"), epoch.alias("epoch"), F.lit("f").alias("facility"), system.alias("system"), source.alias("source"), field.alias("epoch_field"), via.alias("via"))
+    g = F.col("system")
+    sections = row(groups, F.concat(F.lit("gone:"), g), F.lit("4.1.0"), g, F.lit("domain_2"), F.lit("deprecated"), null)
+    for v in ("3.42.0", "4.0.0"):
+        sections = sections.unionByName(row(groups, F.concat(F.lit("field:"), g, F.lit(":" + v)), F.lit(v), g, F.lit("domain_1"), F.lit("introduced"), null))
+    renames = edges(spark, sf_dir).select("src", F.lit("renamed_to").alias("relation"), "dst")
+    sections = sections.unionByName(row(renames.select("src").distinct(), F.concat(F.lit("via:"), "src"), F.col("src"), null, null, null, F.lit("renamed_to")))
+    return lookup.section_nodes(sections, own, renames, ("introduced", "deprecated"))

@@ -212,11 +212,25 @@ def node_categories(spark, sf_dir):
 
 
 @query(f"""{GRAPH} SELECT id, CASE WHEN k % 6 = 0 THEN 'identifier' WHEN k % 5 = 0 AND category <> 'error' AND coalesce(unit, '') NOT IN ('', '-', 'mixed') THEN category WHEN k % 5 = 0 AND category <> 'error' THEN 'coordinate'
-  WHEN category = 'quantity' AND dtype = 'STRUCTURE' AND coalesce(unit, '') NOT IN ('', '-', 'mixed') THEN 'structural' ELSE category END AS category FROM nodes""")
+  WHEN category = 'quantity' AND dtype = 'STRUCTURE' AND coalesce(unit, '') NOT IN ('', '-', 'mixed') THEN 'structural' ELSE category END AS category FROM nodes
+  UNION ALL SELECT parent, CASE WHEN count_if(category IN ('quantity', 'coordinate', 'structural')) > 0 THEN 'quantity' ELSE 'structural' END FROM nodes GROUP BY 1
+  UNION ALL SELECT DISTINCT parent || '/bare', 'structural' FROM nodes UNION ALL SELECT DISTINCT parent || '_fit/x', 'fit_artifact' FROM nodes UNION ALL SELECT DISTINCT parent || '_fit', 'quantity' FROM nodes""")
 def revised_categories(spark, sf_dir):
-    """Categories after a look at identifier schemas, coordinate targets and children; no node here has children."""
+    """Categories after a look at identifier schemas, coordinate targets and children.
+
+    Beside the nodes there are their parents, structures that hold data or none, and what stands inside of fits.
+    """
     own = nodes(spark, sf_dir)
-    return categories.reclassified(own, own.where("k % 6 = 0"), own.where("k % 5 = 0"))
+    columns = ["id", "parent", "name", "category", "dtype", "unit"]
+    up = own.select("parent").distinct()
+    made = lambda id_, parent, name, dtype: up.select(id_.alias("id"), parent.alias("parent"), F.lit(name).alias("name"), F.lit("quantity").alias("category"), F.lit(dtype).alias("dtype"), F.lit("Pa").alias("unit"))
+    p, none = F.col("parent"), F.lit(None).cast("string")
+    fit = F.concat(p, F.lit("_fit"))
+    every = [made(p, none, "brand", "STRUCTURE"), made(F.concat(p, F.lit("/bare")), none, "bare", "STRUCTURE"), made(F.concat(fit, F.lit("/x")), fit, "x", "FLT_1D"), made(fit, none, "fit", "STRUCTURE")]
+    whole = own.select(columns)
+    for part in every:
+        whole = whole.unionByName(part)
+    return categories.reclassified(whole, own.where("k % 6 = 0"), own.where("k % 5 = 0"))
 
 
 @query(f"""{GRAPH} SELECT id AS src, parent AS dst, 'in_parent' AS type FROM nodes UNION ALL SELECT id, grp, 'in_group' FROM nodes UNION ALL SELECT id, unit, 'has_unit' FROM nodes WHERE unit IS NOT NULL UNION ALL SELECT id, introduced, 'introduced_in' FROM nodes WHERE introduced IS NOT NULL
