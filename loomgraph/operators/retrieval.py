@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import fusion
+from loomgraph.operators import fusion, vectors
 
 # Last segments that only give access to a quantity.
 ACCESSORS = ("value", "data", "time", "validity", "fit", "coefficients")
@@ -148,3 +148,49 @@ def full_text_query(query: Column) -> Column:
     parts = F.split(query, '"', -1)
     closed = lambda i: (i % 2 == 1) & (i < F.size(parts) - 1)
     return F.trim(F.array_join(F.transform(parts, lambda x, i: F.when(closed(i), x).otherwise(plain(x))), '"'))
+
+
+def chunk_search(chunks: DataFrame, queries: DataFrame, key: str, vector: str, k: int, facility: str | None = None, groups: Sequence[str] | None = None, least: float = 0.5) -> DataFrame:
+    """(query, key, similarity, facility, groups, ...): code chunks near each query's vector, with all columns but the vector.
+
+    Chunks of other facilities, and those related to none of ``groups``, are left out before the search, those below ``least`` after it,
+    so a query can get fewer than ``k``. Null facilities and groups fit no filter.
+    """
+    kept = chunks
+    if facility is not None:
+        kept = kept.where(F.col("facility") == facility)
+    if groups:
+        kept = kept.where(F.arrays_overlap("groups", F.array(*map(F.lit, groups))))
+    near = vectors.top_k(kept, queries, key, vector, k).where(F.col("similarity") >= least)
+    return near.drop("place").join(kept.drop(vector), key)
+
+
+def code_by_files(chunks: DataFrame, queries: DataFrame, examples: DataFrame, files: DataFrame, key: str, vector: str, k: int, facility: str | None = None, letters: int = 500) -> DataFrame:
+    """(query, key, similarity, text, function, source_file): the nearest chunks, then the file of each one's example.
+
+    The search takes all chunks; only after it those are left out whose example's file isn't of ``facility``, if one is given. Texts are
+    cut to ``letters``. ``examples`` is (example, source_file), ``files`` (file, facility).
+    """
+    near = vectors.top_k(chunks, queries, key, vector, k).drop("place")
+    told = near.join(chunks.drop(vector), key).join(examples, "example", "left")
+    if facility is not None:
+        own = files.where(F.col("facility") == facility).select(F.col("file").alias("source_file")).distinct()
+        told = told.join(own, "source_file", "left_semi")
+    return told.select("query", key, "similarity", F.substring("text", 1, letters).alias("text"), "function", "source_file")
+
+
+def node_search(nodes: DataFrame, queries: DataFrame, clusters: DataFrame, key: str, vector: str, k: int, searchable: Sequence[str], group: str | None = None, deprecated: bool = False) -> DataFrame:
+    """(query, key, similarity, ..., clusters): dictionary nodes near each query's vector, with the labels of their clusters.
+
+    Only nodes of a searchable category take part, of one group if it is given, and of those that are deprecated only if asked for.
+    ``clusters`` is (key, label); labels are distinct and sorted, none give an empty array.
+    """
+    kept = nodes.where(F.col("category").isin(*searchable))
+    if group is not None:
+        kept = kept.where(F.col("grp") == group)
+    if not deprecated:
+        kept = kept.where(F.col("deprecated").isNull())
+    near = vectors.top_k(kept, queries, key, vector, k).drop("place")
+    labels = clusters.join(near.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.sort_array(F.collect_set("label")).alias("clusters"))
+    out = near.join(kept.drop(vector), key).join(labels, key, "left")
+    return out.withColumn("clusters", F.coalesce("clusters", F.array().cast("array<string>")))

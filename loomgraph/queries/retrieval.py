@@ -163,3 +163,50 @@ def hit_facets(spark, sf_dir):
     best = retrieval.top(vector_stream(spark, sf_dir), "id", 40)
     own = nodes(spark, sf_dir).where("unit = 'm' or unit is null").select("id", "grp", "dtype")
     return best.join(own, "id").groupBy("grp", "dtype").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+CHUNKS = "(SELECT vec_id, embedding, 'f' || (vec_id % 3) AS facility, ['g' || (label % 4), 'g' || (label % 3)] AS groups, 'fun' || (vec_id % 9) AS function, CASE WHEN vec_id % 7 > 0 THEN vec_id % 50 END AS example, repeat('x', (vec_id % 900)::INT) AS text FROM embeddings)"
+NEAR = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+def code_chunk_vectors(spark, sf_dir):
+    v, label = F.col("vec_id"), F.col("label")
+    own = table(spark, sf_dir, "embeddings")
+    return own.select(
+        "vec_id", "embedding", F.concat(F.lit("f"), v % 3).alias("facility"), F.array(F.concat(F.lit("g"), label % 4), F.concat(F.lit("g"), label % 3)).alias("groups"),
+        F.concat(F.lit("fun"), v % 9).alias("function"), F.when(v % 7 > 0, v % 50).alias("example"), F.repeat(F.lit("x"), (v % 900).cast("int")).alias("text"),
+    )
+
+
+@query(f"""SELECT query, vec_id, round(s, 5) AS similarity, function, groups FROM (SELECT a.vec_id AS query, b.vec_id, b.function, array_to_string(b.groups, ' ') AS groups, {NEAR} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {NEAR} DESC, b.vec_id) AS place
+  FROM embeddings a JOIN {CHUNKS} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND b.facility = 'f1' AND list_has_any(b.groups, ['g1', 'g3'])) WHERE place <= 10 AND s >= 0.1""")
+def code_chunk_search(spark, sf_dir):
+    """Chunks near each query, of one facility and related to one of two groups."""
+    chunks = code_chunk_vectors(spark, sf_dir)
+    out = retrieval.chunk_search(chunks, chunks.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, "f1", ["g1", "g3"], 0.1)
+    return out.select("query", "vec_id", F.round("similarity", 5).alias("similarity"), "function", F.array_join("groups", " ").alias("groups"))
+
+
+@query(f"""WITH e AS (SELECT k AS example, 'file' || (k % 20) AS source_file FROM range(40) r(k)), n AS (SELECT a.vec_id AS query, b.vec_id, b.example, b.function, b.text, {NEAR} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {NEAR} DESC, b.vec_id) AS place FROM embeddings a JOIN {CHUNKS} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+  SELECT query, vec_id, round(s, 5) AS similarity, length(substr(text, 1, 500)) AS letters, function, source_file FROM n JOIN e USING (example) WHERE place <= 10 AND substr(source_file, 5)::INT % 2 = 0""")
+def code_by_files(spark, sf_dir):
+    """Chunks near each query, and of these the ones whose example's file is of one facility."""
+    chunks = code_chunk_vectors(spark, sf_dir)
+    k = F.col("vec_id") % 50
+    examples = chunks.select(k.alias("example"), F.concat(F.lit("file"), k % 20).alias("source_file")).where("example < 40").distinct()
+    files = examples.select(F.col("source_file").alias("file"), F.when(F.substring("source_file", 5, 9).cast("int") % 2 == 0, "even").otherwise("odd").alias("facility")).distinct()
+    out = retrieval.code_by_files(chunks, chunks.where("vec_id % 20 = 0"), examples, files, "vec_id", "embedding", 10, "even")
+    return out.select("query", "vec_id", F.round("similarity", 5).alias("similarity"), F.length("text").cast("long").alias("letters"), "function", "source_file")
+
+
+@query(f"""WITH d AS (SELECT vec_id, embedding, 'g' || (label % 2) AS grp, CASE vec_id % 4 WHEN 0 THEN 'quantity' WHEN 1 THEN 'coordinate' WHEN 2 THEN 'error' END AS category, CASE WHEN vec_id % 5 = 0 THEN '4.0.0' END AS deprecated FROM embeddings),
+  n AS (SELECT a.vec_id AS query, b.vec_id, b.category, {NEAR} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {NEAR} DESC, b.vec_id) AS place FROM embeddings a JOIN d b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND category IN ('quantity', 'coordinate') AND grp = 'g1' AND deprecated IS NULL)
+  SELECT query, vec_id, round(s, 5) AS similarity, category, concat_ws(' ', CASE WHEN vec_id % 2 = 0 THEN 'even' END, CASE WHEN vec_id % 3 = 0 THEN 'third' END) AS clusters FROM n WHERE place <= 8""")
+def node_search(spark, sf_dir):
+    """Dictionary nodes near each query that are searchable, of one group and not deprecated, with their clusters."""
+    v = F.col("vec_id")
+    category = F.when(v % 4 == 0, "quantity").when(v % 4 == 1, "coordinate").when(v % 4 == 2, "error")
+    own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.concat(F.lit("g"), F.col("label") % 2).alias("grp"), category.alias("category"), F.when(v % 5 == 0, "4.0.0").alias("deprecated"))
+    clusters = own.where("vec_id % 2 = 0").select("vec_id", F.lit("even").alias("label")).union(own.where("vec_id % 3 = 0").select("vec_id", F.lit("third")))
+    out = retrieval.node_search(own, own.where("vec_id % 20 = 0"), clusters, "vec_id", "embedding", 8, ("quantity", "coordinate"), "g1")
+    return out.select("query", "vec_id", F.round("similarity", 5).alias("similarity"), "category", F.array_join("clusters", " ").alias("clusters"))

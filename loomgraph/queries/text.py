@@ -82,6 +82,22 @@ def ngram_themes(spark, sf_dir):
     return fulltext.themes(table(spark, sf_dir, "documents"), "text").withColumn("weight", F.round("weight", 4))
 
 
+THEMES = f"""w AS (SELECT doc_id, {TOKENS} AS w FROM documents), p AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS theme, 2 AS k FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)
+  UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 3 FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+  themes AS (SELECT theme, round(count(*) * (ln((SELECT count(*) FROM documents) / count(DISTINCT doc_id)::DOUBLE) + 1) * CASE WHEN k = 3 THEN 1.2::DOUBLE ELSE 1 END, 4)::DOUBLE AS weight FROM p GROUP BY theme, k HAVING count(*) >= 2)"""
+
+
+@query(f"""WITH RECURSIVE {THEMES}, t AS (SELECT row_number() OVER (ORDER BY weight DESC, theme) AS i, theme, weight, list_distinct(string_split(theme, ' ')) AS words FROM themes QUALIFY i <= 2000),
+  r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, 0 AS n, false AS taken UNION ALL
+    SELECT t.i, CASE WHEN ok AND n < 60 THEN list_distinct(list_concat(seen, words)) ELSE seen END, CASE WHEN ok AND n < 60 THEN n + 1 ELSE n END, ok AND n < 60
+    FROM (SELECT r.*, len(list_intersect(t.words, r.seen)) < floor(len(t.words) / 2) + 1 AS ok FROM r JOIN t ON t.i = r.i + 1) r JOIN t ON t.i = r.i + 1)
+  SELECT (n - 1)::INT AS place, theme, weight FROM r JOIN t USING (i) WHERE taken""")
+def theme_report(spark, sf_dir):
+    """The sixty heaviest themes without those that mostly repeat words of heavier ones."""
+    found = fulltext.themes(table(spark, sf_dir, "documents"), "text").withColumn("weight", F.round("weight", 4))
+    return fulltext.different_themes(found, 60)
+
+
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\\.[0-9]+'))), ',') AS numbers, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(text), '[A-Z]{2,}/[A-Z0-9]+'))), ',') AS pairs FROM documents""")
 def regex_extract_entities(spark, sf_dir):
     distinct = lambda c, p: F.array_join(F.sort_array(F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))), ",")
