@@ -191,3 +191,18 @@ def fewest_edits(asked: DataFrame, known: DataFrame, tie: Column, name: str = "n
     pairs = alike.union(others.select("name", "id")).withColumnRenamed("name", name)
     best = F.min(F.struct(F.levenshtein(name, "id").alias("edits"), tie.alias("tie"), F.col("id")))
     return pairs.groupBy(name).agg(best.alias("b")).select(name, "b.id", "b.edits")
+
+
+def containing(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, id): the ids that contain a name. Such an id holds all of the name's grams, so a name meets only those with its rarest one.
+
+    ``asked`` is (name), ``known`` (id). A name without a gram meets all ids; nulls are left out, and what repeats counts once.
+    """
+    everywhere = F.lit("").alias("same")
+    asked = asked.select("name", everywhere).where("name is not null").distinct()
+    known = cut(known.select("id", everywhere).where("id is not null").distinct())
+    index = cut(indexed(known))
+    names = cut(rarest_first(asked, index))
+    found = holding(names.where(F.size("g") > 0), F.slice("g", F.lit(1), F.lit(1)), index).select("name", "id")
+    short = meeting(names.where(F.size("g") == 0).select("name", "same"), known).select("name", "id")
+    return found.union(short).where(F.contains("id", F.col("name")))

@@ -108,13 +108,17 @@ def exclusion_reason(path: Column, grids: bool = False, errors: bool = False, me
 def resolve(asked: DataFrame, name: str, steps: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
     """(name, method, matches): for each name the matches of the first step that has any.
 
-    A step is (method, table of (key, value), how): ``equal`` joins the name with the key, ``within`` looks for the name in
-    the key; a table that is looked through so must be small.
+    A step is (method, table of (key, value), how): ``equal`` joins the name with the key, ``within`` finds the keys that
+    contain the name, by the rarest of its pairs of characters.
     """
     found = None
     for rank, (method, table, how) in enumerate(steps):
         own = table.select(F.col("key").alias("_key"), F.col("value").alias("_value")).where("_key is not null and _value is not null")
-        hit = asked.join(own, F.col(name) == F.col("_key")) if how == "equal" else asked.join(F.broadcast(own), F.contains(F.col("_key"), F.col(name)))
+        if how == "equal":
+            hit = asked.join(own, F.col(name) == F.col("_key"))
+        else:
+            pairs = fuzzy.containing(asked.select(F.col(name).alias("name")), own.select(F.col("_key").alias("id")))
+            hit = pairs.select(F.col("name").alias(name), F.col("id").alias("_key")).join(own, "_key")
         part = hit.select(name, F.lit(rank).alias("rank"), F.lit(method).alias("method"), "_value")
         found = part if found is None else found.unionByName(part)
     listed = found.groupBy(name, "rank", "method").agg(F.sort_array(F.collect_set("_value")).alias("matches"))

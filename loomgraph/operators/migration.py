@@ -132,11 +132,13 @@ def backfilled_labels(nodes: DataFrame, reference: DataFrame, flipped: DataFrame
 def history(changes: DataFrame, nodes: DataFrame, most: int = HISTORY_ROWS) -> DataFrame:
     """(id, n_changes, changes): each node's first changes by version, and how many there are.
 
-    Rows are ranked before they are collected, so a node with very many changes never builds a long list.
+    Rows are ranked before they are collected, and a task passes on the first of its own only, so a node with very many changes
+    neither builds a long list nor fills a task.
     """
     first = Window.partitionBy("node_id").orderBy(semver(F.col("version")), "id")
-    ranked = changes.select("node_id", "id", "version", "change_type", F.row_number().over(first).alias("place"), F.count("*").over(Window.partitionBy("node_id")).alias("n"))
-    listed = ranked.where(F.col("place") <= most).groupBy("node_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "version", "change_type"))).alias("c"))
+    counted = changes.groupBy("node_id").agg(F.count("*").alias("n"))
+    ranked = changes.select("node_id", "id", "version", "change_type", F.row_number().over(first).alias("place")).where(F.col("place") <= most)
+    listed = ranked.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("place", "version", "change_type"))).alias("c")).join(counted, "node_id")
     text = F.transform("c", lambda x: F.concat_ws(" ", x["version"], x["change_type"]))
     out = nodes.select("id").join(listed.withColumnRenamed("node_id", "id"), "id", "left")
     return out.select("id", F.coalesce("n", F.lit(0)).alias("n_changes"), F.coalesce(text, F.array().cast("array<string>")).alias("changes"))

@@ -116,10 +116,11 @@ def three_streams(vector: DataFrame, keyword: DataFrame, grammar: DataFrame, key
 
 
 def with_members(clusters: DataFrame, members: DataFrame, most: int = 50) -> DataFrame:
-    """Clusters with their first ``most`` members and how many there are; members are ranked before they are collected."""
-    placed = members.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy("member")))
-    listed = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("place") <= most, F.col("member")))).alias("members"))
-    return clusters.join(listed, "cluster", "left")
+    """Clusters with their first ``most`` members and how many there are; a task passes on the first of its own only, and sums."""
+    counted = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    placed = members.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy("member"))).where(F.col("place") <= most)
+    listed = placed.groupBy("cluster").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    return clusters.join(counted.join(listed, "cluster"), "cluster", "left")
 
 
 def search_mode(query: Column) -> Column:

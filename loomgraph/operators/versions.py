@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.plans.shared import cut
+from loomgraph.plans.shared import cut, join_counted
 
 # What kind of change a field's change is; others are named after the field.
 CHANGE_TYPES = {
@@ -111,11 +111,12 @@ def presence_changes(present: DataFrame, every: DataFrame, key: str) -> DataFram
     """(key, place, change): keys that are there in a version but not in the one before (added), or the reverse (removed).
 
     ``present`` is (key, version), ``every`` (version) has all versions; places count them from 1 in their order. What is
-    there in the first version is not added. Versions are few, so they are ranked in one task and broadcast.
+    there in the first version is not added. Versions are few, so they are ranked in one task; they are counted before they are broadcast.
     """
     order = every.select("version").where("version is not null").distinct()
     order = order.select("version", F.row_number().over(Window.orderBy(semver(F.col("version")))).alias("place"))
-    at = present.select(key, "version").distinct().join(F.broadcast(order), "version").select(key, "place")
+    at = present.select(key, "version").distinct()
+    at = join_counted(at, order, "version", "inner").select(key, "place")
     w = Window.partitionBy(key).orderBy("place")
     near = at.select(key, "place", F.lag("place").over(w).alias("before"), F.lead("place").over(w).alias("after")).crossJoin(F.broadcast(order.agg(F.max("place").alias("last"))))  # one row
     came = (F.col("place") > 1) & ~F.col("before").eqNullSafe(F.col("place") - 1)

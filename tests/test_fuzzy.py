@@ -92,3 +92,13 @@ def test_fewest_edits_equals_all_against_all(spark):
     tie = F.substring_index("q", " ", 1) != F.substring_index("id", " ", 1)
     found = fuzzy.fewest_edits(spark.createDataFrame([(a,) for a in asked], "q string"), spark.createDataFrame([(i,) for i in known], "id string"), tie, "q")
     assert {r["q"]: (r["edits"], r["id"]) for r in found.collect()} == {q: (d, i) for q, (d, _, i) in want.items()}
+
+
+def test_containing_equals_all_against_all(spark):
+    rng = random.Random(5)
+    known = ["".join(rng.choices("abc", k=rng.randint(0, 8))) for _ in range(80)] + [None]
+    asked = ["".join(rng.choices("abcz", k=rng.randint(0, 4))) for _ in range(60)] + ["", None]
+    found = fuzzy.containing(spark.createDataFrame([(a,) for a in asked], "name string"), spark.createDataFrame([(i,) for i in known], "id string"))
+    want = {(a, i) for a in asked if a is not None for i in known if i is not None and a in i}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
