@@ -157,7 +157,7 @@ def version_catalogue(spark, sf_dir):
     return found.select("version", F.row_number().over(Window.orderBy(versions.semver(F.col("version")))).alias("place"))
 
 
-PRESENT = """p AS (SELECT DISTINCT k, CASE version WHEN '3.9.0' THEN 1 WHEN '3.10.2' THEN 2 WHEN '3.42.0' THEN 3 WHEN '4.0.0' THEN 4 WHEN '4.0.1' THEN 5 ELSE 6 END AS v FROM changes WHERE change_type IN ('units', 'path_added'))"""
+PRESENT = """p AS (SELECT DISTINCT k, CASE version WHEN '3.9.0' THEN 1 WHEN '3.10.2' THEN 2 WHEN '3.42.0' THEN 3 WHEN '4.0.0' THEN 4 WHEN '4.0.1' THEN 5 ELSE 6 END AS v FROM changes WHERE level = 'breaking')"""
 
 
 @query(f"""{GRAPH}, {PRESENT} SELECT a.k, a.v::INT AS place, 'added' AS change FROM p a WHERE a.v > 1 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.k = a.k AND b.v = a.v - 1)
@@ -165,7 +165,7 @@ PRESENT = """p AS (SELECT DISTINCT k, CASE version WHEN '3.9.0' THEN 1 WHEN '3.1
 def presence_changes(spark, sf_dir):
     """Keys that came or went from each version to the next one, of all that have both."""
     c = changes(spark, sf_dir)
-    present = c.where("change_type in ('units', 'path_added')").select("k", "version")
+    present = c.where("level = 'breaking'").select("k", "version")
     return versions.presence_changes(present, c.select("version"), "k")
 
 
