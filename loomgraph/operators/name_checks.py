@@ -53,6 +53,27 @@ CONNECTIVES = ("of", "at", "per", "due", "to", "in", "by", "for", "along", "from
 INSTRUMENTS = ("polarimeter", "interferometer", "radiometer", "spectrometer")
 OBSERVABLES = ("stokes_vector", "stokes_parameter", "degree_of_polarization")
 MOST_LETTERS = 70
+RATE_TEXTS = ("instantaneous change", "instantaneous signed change", "rate of change", "time derivative", "time rate of change", "signed change in", "temporal derivative", "per unit time")
+WEAK_RATE_TEXTS = ("signed change in", "per unit time")
+RATE_NAMES = ("tendency_of_", "change_in_", "rate_of_change_of_", "time_derivative_of_")
+INSTANT = ("instant_change_", "instantaneous_change_")
+SHAPED = (
+    "poloidal", "toroidal", "equilibrium", "magnetic", "plasma", "field", "geometry", "space", "grid", "mesh", "domain", "cross[- ]section", "plane", "surface", "volume", "configuration",
+)
+PROVENANCE = ("measured", "reconstructed", "fitted", "computed", "calculated")
+BRITISH = {
+    "normalised": "normalized", "polarised": "polarized", "ionised": "ionized", "centre": "center", "fibre": "fiber", "metre": "meter", "colour": "color", "behaviour": "behavior", "modelled": "modeled",
+    "catalogue": "catalog",
+}
+DEFINING = ("is", "are", "denotes", "represents", "where", "defined", "being", "given by", "expressed as", "known as")
+UNITS_IN_BRACKETS = ("eV", "m", "A", "T", "Pa", "Wb", "K", "rad", "s", "W", "V")
+CONSTANTS = (
+    r"\\pi", r"\\alpha", r"\\beta", r"\\gamma", r"\\delta", r"\\epsilon", r"\\mu", r"\\lambda", r"\\sigma", r"\\tau", r"\\omega", r"\\Omega", r"\\mu_0", r"\\mu_\{0\}", r"\\epsilon_0", r"\\epsilon_\{0\}",
+    r"\\hbar", "k_B", r"k_\{B\}",
+)
+PLACED_BY = ("at", "in", "on", "for")
+#: Numbers, powers and products of them, signs of operations, and constants with a factor or a divisor need no definition.
+PLAIN_SYMBOL = r"[^A-Za-z]?|(?:[\d.+-]+\s*\\times\s*)?[\d.+-]*(?:\s*\^\s*\{?-?\d+\}?)?|\\times|\\cdot|(?:\d+(?:\.\d+)?\s*)?(?:" + "|".join(CONSTANTS) + r")(?:\s*/\s*\d+)?"
 
 
 class Name(NamedTuple):
@@ -125,6 +146,42 @@ def tautology(n: Name) -> Column:
     return F.get(same, F.lit(0))
 
 
+def rate_drift(n: Name) -> Column:
+    """A description of a rate under a name without its mark; a flux is one per unit time by itself."""
+    text = F.lower(n.description)
+    strong = matches(text, either([t for t in RATE_TEXTS if t not in WEAK_RATE_TEXTS]))
+    rate = strong | (matches(text, either(WEAK_RATE_TEXTS)) & ~F.contains(n.id, F.lit("_flux")))
+    instant = F.when(text != "", first_group(n.id, "^(" + "|".join(INSTANT) + ")"))
+    return F.coalesce(instant, found(rate & ~matches(n.id, either(RATE_NAMES)), "the name has no mark of a rate"))
+
+
+def storage_shape(n: Name) -> Column:
+    exempt = matches(n.description, r"(?i)\b[0-3]d\s+" + either(SHAPED))
+    return F.when(~exempt, first_group(n.description, r"\b([0-3][dD])\b"))
+
+
+def provenance(n: Name) -> Column:
+    """A verb of how the value came about that the source's path doesn't have."""
+    of_source = F.split(F.replace(n.source, F.lit("/"), F.lit("_")), "_")
+    return F.get(F.filter(F.array(*map(F.lit, PROVENANCE)), lambda v: F.array_contains(n.tokens, v) & ~F.array_contains(of_source, v)), F.lit(0))
+
+
+def undefined_symbol(n: Name) -> Column:
+    """The first symbol between dollars without a defining word or a unit in its sentence, the one before or the two behind."""
+    text = n.documentation
+    symbols = F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"\$\$[^$]+\$\$", " "), F.lit(r"\$([^$]+)\$"), F.lit(1)))
+    sentences = F.split(text, r"(?<=[.!?])\s+")
+    words, units = r"\b" + either(DEFINING) + r"\b", r"\([^)]*" + either(UNITS_IN_BRACKETS) + r"[^)]*\)"
+    defines = F.transform(sentences, lambda s: matches(F.lower(s), words) | matches(s, units))
+
+    def undefined(symbol: Column) -> Column:
+        at = F.array_position(F.transform(sentences, lambda s: F.contains(s, F.concat(F.lit("$"), symbol, F.lit("$")))), True).cast("int")
+        start = F.greatest(at - 1, F.lit(1))
+        return ~matches(F.trim(symbol), "^(?:" + PLAIN_SYMBOL + ")$") & (at > 0) & ~F.exists(F.slice(defines, start, at + 3 - start), lambda x: x)
+
+    return F.get(F.filter(symbols, undefined), F.lit(0))
+
+
 #: By name; those that are critical keep a name out.
 CHECKS: Mapping[str, Check] = {
     "generic_noun": Check(True, lambda n: found(((F.size(n.tokens) == 1) & n.id.isin(*GENERIC)) | ((F.size(n.tokens) == 2) & F.element_at(n.tokens, -1).isin(*GENERIC) & n.tokens[0].isin(*GENERIC_QUALIFIERS)), n.id)),
@@ -144,7 +201,7 @@ CHECKS: Mapping[str, Check] = {
     "part_prefix": Check(True, lambda n: first_group(n.id, "^(" + "|".join(PARTS_OF) + ")")),
     "mode_number": Check(True, lambda n: first_group(n.id, "(" + "|".join(MODE_ENDINGS) + ")$")),
     "cumulative": Check(True, lambda n: F.when(~matches(n.id, "^" + either(META_PREFIXES)) & ~matches(n.id, either(META_PARTS)), F.get(F.filter(F.array(*map(F.lit, CUMULATIVE)), lambda c: F.array_contains(n.tokens, c)), F.lit(0)))),
-    "ratio_form": Check(False, lambda n: found(matches(n.id, "^.+_to_.+_ratio$") & ~matches(n.id, "^ratio_of_.*_to_"), F.regexp_replace(n.id, "^(.+?)_to_(.+?)_ratio$", "ratio_of_$1_to_$2"))),
+    "ratio_form": Check(True, lambda n: found(matches(n.id, "^.+_to_.+_ratio$") & ~matches(n.id, "^ratio_of_.*_to_"), F.regexp_replace(n.id, "^(.+?)_to_(.+?)_ratio$", "ratio_of_$1_to_$2"))),
     "profile_suffix": Check(False, lambda n: found(F.endswith(n.id, F.lit("_profile")) & ~matches(n.id, either(SHAPES) + "$"), F.regexp_replace(n.id, "_profile$", ""))),
     "adjacent_duplicate": Check(True, duplicate_neighbours),
     "repeated_token": Check(False, lambda n: repeated(content_tokens(n))),
@@ -152,6 +209,13 @@ CHECKS: Mapping[str, Check] = {
     "instrument_observable": Check(False, lambda n: found(matches(n.id, either(INSTRUMENTS)) & matches(n.id, either(OBSERVABLES)), n.id)),
     "position_redundancy": Check(False, lambda n: found(matches(n.id, "(?:^|_)(?:at|on)_wall_surface"), F.regexp_replace(n.id, "wall_surface", "wall"))),
     "convention_mention": Check(False, lambda n: found((n.label != "") & ~matches(F.concat_ws(" ", n.documentation, n.description), r"(?i)COCOS\s*\d"), n.label)),
+    "rate_description": Check(False, rate_drift),
+    "storage_shape": Check(False, storage_shape),
+    "provenance_verb": Check(False, provenance),
+    "british_spelling": Check(False, lambda n: first_group(F.lower(F.concat_ws("\n", F.replace(n.id, F.lit("_"), F.lit(" ")), n.description, n.documentation)), r"\b(" + "|".join(BRITISH) + r")\b")),
+    "undefined_symbol": Check(True, undefined_symbol),
+    "reference_suffix": Check(True, lambda n: first_group(n.id, "_(reference|reference_waveform)$")),
+    "placed_process": Check(False, lambda n: first_group(n.id, "^.*?_due_to_.*?_(" + "|".join(PLACED_BY) + ")_")),
 }
 
 

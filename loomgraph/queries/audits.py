@@ -267,7 +267,7 @@ CONDITIONS = {
     "position_redundancy": "contains(id, '_at_wall_surface')",
     "convention_mention": "label IS NOT NULL AND NOT coalesce(contains(description, 'COCOS 11'), false)",
 }
-NOT_CRITICAL = ("ratio_form", "profile_suffix", "repeated_token", "length", "instrument_observable", "position_redundancy", "convention_mention")
+NOT_CRITICAL = ("profile_suffix", "repeated_token", "length", "instrument_observable", "position_redundancy", "convention_mention")
 FOUND = f"(SELECT id, list_filter([{', '.join(f'CASE WHEN {c} THEN {n!r} END' for n, c in CONDITIONS.items())}], lambda x: x IS NOT NULL) AS checks FROM (SELECT *, string_split(id, '_') AS t FROM {COMPOSED}))"
 
 
@@ -304,3 +304,36 @@ def name_segments(spark, sf_dir):
     """Composed names parsed to segments by the longest match."""
     out = name_checks.parsed(composed_names(spark, sf_dir), GRAMMAR)
     return out.select("id", F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["kind"], s["text"])), " ").alias("segments"))
+
+
+# Names with prose about them, in which the parts' own words are the symbols.
+PROSE_ENDS = ("", "_reference", "_measured", "_due_to_waves_at_wall", "_flux", "_normalised", "_fitted", "_reference_waveform", "_due_to_waves")
+ABOUT = ("Rate of change of {}", "{} per unit time", "Array in 2D of {}", "2D plasma with {}", "Colour of {}", "Plainly {}", "Temporal derivative of {}")
+DOCUMENTED = ("${}$ is a size.", "One. ${}$ grows. Two.", "No symbol for {}.", "It has $2$ and {}.", "${}$ grows. Then. Then. It is late.", "It are two. ${}$ grows.", "As ${}$ (in keV) grows. $x$ falls.", "$x$ falls. ${}$ (in keV) grows.")
+FIRST_WORD, SECOND_WORD = "string_split(p_name, ' ')[1]", "string_split(p_name, ' ')[2]"
+PROSE = f"""(SELECT replace(p_name, ' ', '_') || [{', '.join(map(repr, PROSE_ENDS))}][p_partkey % {len(PROSE_ENDS)} + 1] AS id, replace([{', '.join(map(repr, ABOUT))}][p_partkey % {len(ABOUT)} + 1], '{{}}', {FIRST_WORD}) AS description,
+  replace([{', '.join(map(repr, DOCUMENTED))}][p_partkey % {len(DOCUMENTED)} + 1], '{{}}', {SECOND_WORD}) AS documentation, CASE WHEN p_partkey % 4 = 0 THEN 'a/fitted/b' WHEN p_partkey % 4 = 1 THEN 'a/b_measured' ELSE '' END AS source FROM part)"""
+DEFINED = "list_contains(list_transform(list_slice(sentences, greatest(list_position(list_transform(sentences, lambda y: contains(y, x)), true) - 1, 1), list_position(list_transform(sentences, lambda y: contains(y, x)), true) + 2), lambda z: regexp_matches(lower(z), '(^|[^a-z])(is|are)([^a-z]|$)') OR contains(z, '(in keV)')), true)"
+PROSE_CONDITIONS = {
+    "rate_description": "regexp_matches(lower(description), 'rate of change|temporal derivative') OR (contains(description, 'per unit time') AND NOT contains(id, '_flux'))",
+    "storage_shape": "contains(description, '2D') AND NOT contains(description, '2D plasma')",
+    "provenance_verb": "(list_contains(string_split(id, '_'), 'measured') AND NOT contains(source, 'measured')) OR (list_contains(string_split(id, '_'), 'fitted') AND NOT contains(source, 'fitted'))",
+    "british_spelling": "suffix(id, '_normalised') OR starts_with(description, 'Colour ')",
+    "undefined_symbol": f"len(list_filter(regexp_extract_all(documentation, '[$][a-z]+[$]'), lambda x: NOT {DEFINED})) > 0",
+    "reference_suffix": "suffix(id, '_reference') OR suffix(id, '_reference_waveform')",
+    "placed_process": "contains(id, '_due_to_waves_at_')",
+}
+
+
+@query(f"""SELECT id, description, documentation, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {n!r} END' for n, c in PROSE_CONDITIONS.items())}], lambda w: w IS NOT NULL), ',') AS checks
+  FROM (SELECT *, string_split(documentation, '. ') AS sentences FROM {PROSE})""")
+def prose_checks(spark, sf_dir):
+    """The checks of names against what is written about them."""
+    k, words = F.col("p_partkey"), F.split("p_name", " ")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    names = table(spark, sf_dir, "part").select(
+        F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), pick(PROSE_ENDS)).alias("id"), F.replace(pick(ABOUT), F.lit("{}"), words[0]).alias("description"),
+        F.replace(pick(DOCUMENTED), F.lit("{}"), words[1]).alias("documentation"), F.when(k % 4 == 0, "a/fitted/b").when(k % 4 == 1, "a/b_measured").alias("source_path"),
+    )
+    out = name_checks.checked(names, {c: name_checks.CHECKS[c] for c in PROSE_CONDITIONS})
+    return out.select("id", "description", "documentation", F.array_join(F.transform("issues", lambda x: x["check"]), ",").alias("checks"))

@@ -31,6 +31,10 @@ CASES = {
     "repeated_token": (["flux_x_flux"], ["beam_beam_rate", "width_of_width_b"[:8]]),
     "length": (["x" * 71], ["x" * 70]),
     "instrument_observable": (["stokes_vector_of_polarimeter"], ["stokes_vector", "angle_of_polarimeter"]),
+    "provenance_verb": (["measured_flux", "flux_fitted"], ["measurement", "fit_of_flux"]),
+    "british_spelling": (["normalised_flux", "fibre"], ["normalized_flux", "fibres"]),
+    "reference_suffix": (["flux_reference", "flux_reference_waveform"], ["reference_flux", "reference"]),
+    "placed_process": (["heat_due_to_waves_at_edge", "heat_due_to_waves_for_ions"], ["heat_at_edge_due_to_waves", "heat_due_to_waves"]),
     "position_redundancy": (["flux_at_wall_surface", "on_wall_surface"], ["flux_at_wall"]),
 }
 
@@ -46,10 +50,28 @@ def test_every_check_has_names_that_pass_and_fail(spark):
     for check, (fail, passed) in CASES.items():
         assert all(check in found[n] for n in fail), check
         assert not any(check in found[n] for n in passed), check
-    assert set(CASES) | {"density_unit", "convention_mention"} == set(name_checks.CHECKS) and len(name_checks.CHECKS) >= 25
+    assert set(CASES) | {"density_unit", "convention_mention", "rate_description", "storage_shape", "undefined_symbol"} == set(name_checks.CHECKS)
+
+
+@pytest.mark.parametrize(
+    "check, column, cases",
+    [
+        ("rate_description", "description", [("flux", "Rate of Change of it", True), ("heat_flux", "heat per unit time", False), ("heat", "heat per unit time", True), ("heat_flux", "its time derivative", True),
+            ("tendency_of_heat", "rate of change", False), ("instant_change_of_heat", "heat", True), ("instant_change_of_heat", None, False), ("heat", "signed", False)]),
+        ("storage_shape", "description", [("a", "a 2D array", True), ("a", "3d", True), ("a", "2D poloidal plane", False), ("a", "4D", False), ("a", "x2D", False), ("a", None, False)]),
+        ("undefined_symbol", "documentation", [("a", "$q$ grows.", True), ("a", "$q$ is large.", False), ("a", "Here $q$. It grows. This is it.", False), ("a", "Here $q$. It. Grows. This is it.", True),
+            ("a", "It is. $q$ grows.", False), ("a", "$q$ (in eV).", False), ("a", "$2\\pi$ and $10^{21}$ and $2.5\\times10^{19}$ and $\\mu_0/2$ and $+$.", False), ("a", "$$q$$ grows.", False), ("a", "$ q $ grows!", True),
+            ("a", "This grows.", False), ("a", "cost: $", False), ("a", "$q$ isolates.", True), ("a", "", False), ("a", None, False), ("a", "$p$ is set. One. Two. Three. $q$ grows.", True)]),
+    ],
+)
+def test_checks_of_prose(spark, check, column, cases):
+    for name, text, fails in cases:
+        assert (check in issues(spark, [name], **{column: text})[name]) == fails, (name, text)
 
 
 def test_checks_on_other_columns(spark):
+    assert "provenance_verb" not in issues(spark, ["measured_flux"], source_path="a/flux_measured/b")["measured_flux"]
+    assert "british_spelling" in issues(spark, ["flux"], description="Centre of it")["flux"]
     assert "density_unit" in issues(spark, ["ion_density"], unit="kg")["ion_density"]
     for unit in ("m^-3", "1", None):
         assert "density_unit" not in issues(spark, ["ion_density"], unit=unit)["ion_density"]
