@@ -99,6 +99,39 @@ def coverage_report(nodes: DataFrame, covered: DataFrame, categories: Sequence[s
     )
 
 
+def eligible_leaves(nodes: DataFrame, categories: Sequence[str], without_groups: Sequence[str] = ()) -> DataFrame:
+    """Nodes that can be named: of a category, described, no structure (nor of unknown type), and of no group left out."""
+    leaf = F.col("category").isin(*categories) & (F.col("doc") != "") & ~F.col("dtype").isin("STRUCTURE", "STRUCT_ARRAY") & F.col("grp").isNotNull()
+    return nodes.where(leaf & ~F.col("grp").isin(*without_groups))
+
+
+def coverage_counts(leaves: DataFrame, with_errors: DataFrame, covered: DataFrame, names: DataFrame, by_rule: str) -> DataFrame:
+    """(measure, bucket, n): leaves in all and by category, domain and kind, names in all and by status and validation, and what is left.
+
+    ``leaves`` has id, category, domain and kind, ``names`` status, validation and model; ``with_errors`` and ``covered`` have ids, repeated
+    or not. Names of the model ``by_rule`` are siblings for errors. A total is there even if it is 0; a bucket that is null is ``none``.
+    Leaves and names are counted by their groups first, so that each row is shuffled once at most.
+    """
+    marks = with_errors.select("id", F.lit(True).alias("errors"), F.lit(False).alias("named")).unionAll(covered.select("id", F.lit(False), F.lit(True)))
+    marks = marks.where("id IS NOT NULL").groupBy("id").agg(F.max("errors").alias("errors"), F.max("named").alias("named"))
+    open_ = ~F.coalesce("named", F.lit(False))
+    own = leaves.select("id", "category", "domain", "kind").join(marks, "id", "left").groupBy("category", "domain", "kind")
+    own = own.agg(F.count("*").alias("n"), F.count_if("errors").alias("errors"), F.count_if(open_).alias("open"), F.count_if(open_ & F.col("errors")).alias("open_errors"))
+    minted = names.groupBy("status", "validation", "model").agg(F.count("*").alias("n"))
+
+    def rows(df: DataFrame, totals: Mapping[str, Column], buckets: Mapping[str, str]) -> DataFrame:
+        each = [(m, F.lit(""), n) for m, n in totals.items()] + [(m, F.coalesce(F.col(c).cast("string"), F.lit("none")), F.col("n")) for m, c in buckets.items()]
+        return df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), b.alias("bucket"), n.cast("long").alias("n")) for m, b, n in each])))
+
+    of_leaves = {"eligible": F.col("n"), "eligible_with_errors": F.col("errors"), "to_compose": F.col("open"), "to_compose_with_errors": F.col("open_errors"), "expected_siblings": 3 * F.col("open_errors")}
+    of_names = {"names": F.col("n"), "error_siblings": F.when(F.col("model") == by_rule, F.col("n")).otherwise(0)}
+    parts = rows(own, of_leaves, {"eligible_by_category": "category", "eligible_by_domain": "domain", "eligible_by_kind": "kind"})
+    parts = parts.unionAll(rows(minted, of_names, {"names_by_status": "status", "names_by_validation": "validation"}))
+    parts = parts.unionAll(rows(marks.agg(F.count_if("named").alias("n")), {"covered": F.col("n")}, {}))
+    zeros = rows(leaves.sparkSession.range(1), {m: F.lit(0) for m in (*of_leaves, *of_names)}, {})
+    return parts.unionAll(zeros).groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+
+
 def source_coverage(sources: DataFrame, mappings: DataFrame, by: str) -> DataFrame:
     """By group: sources, those mapped, those with several targets, and the share mapped in percent; a source counts once."""
     targets = mappings.groupBy("source").agg(F.count_distinct("target").alias("t"))

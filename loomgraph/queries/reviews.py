@@ -73,6 +73,26 @@ def coverage_report(spark, sf_dir):
     return out.withColumns({"cost_per_name": F.round("cost_per_name", 4), "estimated_cost": F.round("estimated_cost", 2)})
 
 
+KIND = "CASE k % 4 WHEN 0 THEN 'dynamic' WHEN 1 THEN 'static' WHEN 2 THEN 'constant' END"
+OF_NAMES = {"status": "CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'drafted' END", "validation": "CASE WHEN o_orderkey % 5 < 3 THEN 'valid' WHEN o_orderkey % 5 = 3 THEN 'quarantined' END", "model": "CASE WHEN o_orderkey % 7 = 0 THEN 'rule' ELSE 'm' || (o_orderkey % 3) END"}
+BUCKETS = {"eligible_by_category": ("category", "e"), "eligible_by_domain": ("domain", "e"), "eligible_by_kind": ("kind", "e"), "names_by_status": ("status", "m"), "names_by_validation": ("validation", "m")}
+TOTALS = {
+    "eligible": "count(*) FROM e", "eligible_with_errors": "count_if(errors) FROM e", "to_compose": "count_if(NOT has) FROM e", "to_compose_with_errors": "count_if(errors AND NOT has) FROM e",
+    "expected_siblings": "3 * count_if(errors AND NOT has) FROM e", "names": "count(*) FROM m", "error_siblings": "count_if(model = 'rule') FROM m", "covered": "count(DISTINCT src) FROM edges",
+}
+
+
+@query(f"""{GRAPH}, e AS (SELECT category, domain, {KIND} AS kind, EXISTS (SELECT 1 FROM edges WHERE src = n.id) AS has, EXISTS (SELECT 1 FROM changes c WHERE c.node_id = n.id AND c.level = 'breaking') AS errors FROM nodes n
+    WHERE category IN ('quantity', 'coordinate') AND dtype NOT IN ('STRUCTURE', 'STRUCT_ARRAY') AND doc <> '' AND grp <> 'promo'), m AS (SELECT {', '.join(f'{v} AS {c}' for c, v in OF_NAMES.items())} FROM orders)
+  {' UNION ALL '.join([f"SELECT '{t}' AS measure, '' AS bucket, ({v.split(' FROM ')[0]})::BIGINT AS n FROM {v.split(' FROM ')[1]}" for t, v in TOTALS.items()] + [f"SELECT '{b}', coalesce({c}, 'none'), count(*)::BIGINT FROM {t} GROUP BY ALL" for b, (c, t) in BUCKETS.items()])}""")
+def coverage_counts(spark, sf_dir):
+    """Every count of the coverage of leaves by names, in all and by bucket."""
+    leaves = reviews.eligible_leaves(nodes(spark, sf_dir), ("quantity", "coordinate"), ("promo",)).withColumn("kind", F.expr(KIND))
+    errors = changes(spark, sf_dir).where("level = 'breaking'").select(F.col("node_id").alias("id"))
+    names = table(spark, sf_dir, "orders").select(*[F.expr(v).alias(c) for c, v in OF_NAMES.items()])
+    return reviews.coverage_counts(leaves, errors, edges(spark, sf_dir).select(F.col("src").alias("id")), names, "rule")
+
+
 COVERED = """(SELECT c.c_mktsegment, count(DISTINCT c.c_custkey) AS n, count(DISTINCT CASE WHEN t > 0 THEN c.c_custkey END) AS mapped, count(DISTINCT CASE WHEN t > 1 THEN c.c_custkey END) AS multi
   FROM customer c LEFT JOIN (SELECT o_custkey, count(DISTINCT o_orderpriority) AS t FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) m ON m.o_custkey = c.c_custkey GROUP BY 1)"""
 

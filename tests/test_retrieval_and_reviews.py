@@ -220,6 +220,23 @@ def test_components_ignore_null_ends(spark):
     assert components.connected_components(spark.createDataFrame([(1, None), (None, 2)], "src long, dst long")).count() == 0
 
 
+def test_coverage_counts(spark):
+    """Repeated marks count once, null buckets are 'none', totals of empty tables are 0."""
+    data = [("a", "g", "q", "FLT", "x", "d", None), ("b", "g", "q", "FLT", "x", None, "s"), ("c", "g", "q", "STRUCTURE", "x", "d", "s"), ("d", "g", "q", None, "x", "d", "s"), ("e", "g", "q", "FLT", "", "d", "s"),
+        ("f", "out", "q", "FLT", "x", "d", "s"), ("h", None, "q", "FLT", "x", "d", "s"), ("i", "g", None, "FLT", "x", "d", "s"), ("j", "g", "q", "FLT", None, "d", "s")]
+    leaves = reviews.eligible_leaves(spark.createDataFrame(data, "id string, grp string, category string, dtype string, doc string, domain string, kind string"), ("q",), ("out",))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    names = spark.createDataFrame([("new", None, "rule"), ("new", "valid", None)], "status string, validation string, model string")
+    got = {(m, b): n for m, b, n in rows(reviews.coverage_counts(leaves, ids("b", "b", "a", None), ids("a", "a", "zz", None), names, "rule"), "measure", "bucket", "n")}
+    assert got == {
+        ("eligible", ""): 2, ("eligible_with_errors", ""): 2, ("to_compose", ""): 1, ("to_compose_with_errors", ""): 1, ("expected_siblings", ""): 3, ("names", ""): 2, ("error_siblings", ""): 1, ("covered", ""): 2,
+        ("eligible_by_category", "q"): 2, ("eligible_by_domain", "d"): 1, ("eligible_by_domain", "none"): 1, ("eligible_by_kind", "s"): 1, ("eligible_by_kind", "none"): 1,
+        ("names_by_status", "new"): 2, ("names_by_validation", "none"): 1, ("names_by_validation", "valid"): 1,
+    }
+    none = reviews.coverage_counts(leaves.where("false"), ids(), ids(), names.where("false"), "rule")
+    assert {n for _, b, n in rows(none, "measure", "bucket", "n")} == {0} and none.count() == 8
+
+
 def test_search_of_empty_streams(spark):
     none = spark.createDataFrame([], "id string, score double")
     some = spark.createDataFrame([("a/value", 0.5), ("a/red", 0.5), (None, 0.9)], "id string, score double").where("id is not null")
