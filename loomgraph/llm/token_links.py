@@ -1,11 +1,12 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes.
 
-A text is cut into segments at single spaces between ordinary characters. Neither tokenizer joins characters
-across such a space, so a text's tokens are those of its segments in a row, and a segment's alignment is found once for
-as long as the task remembers it. The tokens of a slice's new segments are laid out on one axis of bytes as two interval
-tables in DuckDB: ASOF joins find the first and the last token of B that each token of A touches, a range join the ones between,
-and window sums over common ends number the groups. A task counts in how many of its documents each linked pair of
-ids occurs; Spark merges these partial counts, and every document's pairs are joined with the sums.
+A text is cut into segments at single spaces between ordinary characters, and a segment into parts where a sign follows a
+letter or a letter a line's end. Neither tokenizer joins characters across such a cut, so a text's tokens are those of its
+segments in a row, and theirs those of their parts; a part is aligned once for as long as the task remembers it. The tokens
+of a slice's new parts are laid out on one axis of bytes as two interval tables in DuckDB: wherever a token begins, ASOF
+joins find the one token of either side that lies there, which is each linked pair once, and window sums over common ends
+number the groups. A task counts in how many of its documents each linked pair of ids occurs; Spark merges these partial
+counts, and every document's pairs are joined with the sums.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ from loomgraph.plans.shared import cut, ensure_checkpoint_dir, join_counted
 
 #: Characters of texts, or of new segments, that a task looks at together.
 SLICE_CHARS = 1 << 20
-#: Segments and tokens that a task remembers before it starts anew.
+#: Segments (and parts), and their links, that a task remembers before it starts anew.
 REMEMBERED = 300_000
 REMEMBERED_TOKENS = 2_000_000
 #: Counted pairs that a task holds before it merges or gives them out, and pairs in one row of partial counts.
@@ -39,8 +42,16 @@ ROW_PAIRS = 8192
 BROADCAST_PAIRS = 500_000
 
 #: Characters that are no white space, control or other invisible sign for either tokenizer.
-PLAIN = r"[!-~\u00a1-\u00ac\u00ae-\u167f\u3001-\ufefe]"
-CUT = re.compile(f"(?<={PLAIN}) (?={PLAIN})")
+PLAIN = "[!-~\u00a1-\u00ac\u00ae-\u167f\u3001-\ufefe]"
+CUT = re.compile(f" (?<={PLAIN} )(?={PLAIN})")
+#: Such characters at both ends.
+PLAIN_ENDS = re.compile(f"{PLAIN}(?:.*{PLAIN})?", re.DOTALL)
+#: Latin letters, which both tokenizers hold for letters.
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017E"
+#: Between parts and between segments: characters that no text in UTF-8 has.
+NEXT_PART, NEXT_SEGMENT = "\ud800", "\ud801"
+#: New parts that tokenizer A gets in one text.
+JOINED = 64
 
 LINKS = pa.schema(
     [
@@ -60,9 +71,10 @@ GROUPS_SQL = """
 SELECT n, count(ends.e) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g
 FROM {own} own LEFT JOIN (SELECT a.e FROM a SEMI JOIN b ON a.e = b.e) ends ON own.e = ends.e ORDER BY n
 """
+#: Two tokens share bytes from the place where the later one of them begins, and no other two share that place.
 LINKS_SQL = """
-WITH touched AS (SELECT a.seg, a.id, lo.n AS first, hi.n AS last FROM a ASOF JOIN b lo ON a.s >= lo.s ASOF JOIN b hi ON a.e > hi.s)
-SELECT t.seg, (t.id << 32) | b.id AS pair FROM touched t JOIN b ON b.n BETWEEN t.first AND t.last ORDER BY t.seg
+SELECT a.seg, (a.id << 32) | b.id AS pair FROM (SELECT s FROM a UNION SELECT s FROM b) begins
+ASOF JOIN a ON begins.s >= a.s ASOF JOIN b ON begins.s >= b.s ORDER BY a.seg
 """
 #: What follows an id in a written group: another of its side, the other side, another group, nothing.
 MARKS = (",", "|", ";", "")
@@ -82,26 +94,70 @@ def vocabularies(a_path: str, b_path: str):
     return a, a_bytes, b, b_bytes
 
 
-def gives_back(ids: list[list[int]], tokens: list[bytes], lengths: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Whether the tokens' bytes are the text's, for each text."""
-    flat = list(chain.from_iterable(ids))
-    before = np.concatenate([[0], np.cumsum(lengths[flat])])
-    sizes = np.diff(before[np.concatenate([[0], np.cumsum(list(map(len, ids)))])])
-    if (sizes == list(map(len, texts))).all() and b"".join(map(tokens.__getitem__, flat)) == b"".join(texts):
-        return np.ones(len(ids), bool)
-    return np.array([b"".join([tokens[i] for i in x]) == t for x, t in zip(ids, texts)])
+@lru_cache(maxsize=1)
+def part_cuts(a_path: str, b_path: str) -> list[tuple[re.Pattern, str]]:
+    """Where segments are cut into parts, as patterns and what replaces them; none if these vocabularies don't allow it.
+
+    A's pattern begins anew at a sign after a letter and at a letter after a single line's end, and B merges pieces only. A cut
+    is made only where no token of either vocabulary has the two characters side by side, and at a line's end if A adds no
+    space of its own, and B gives its tokens apart from what follows.
+    """
+    a, a_bytes, b, b_bytes = vocabularies(a_path, b_path)
+    tokens = "\0".join(t.decode(errors="replace") for t in chain(a_bytes, b_bytes))
+    adds_nothing = b"".join(a_bytes[i] for i in a.encode("x", add_special_tokens=False).ids) == b"x"
+    if not adds_nothing or b"".join(b_bytes[i] for i in b.encode("\n")) != b" \n" or re.search(f"\n[{LETTERS}\ufffd{re.escape(punctuation)}]", tokens):
+        return []
+    joined = set(re.findall(f"(?<=[{LETTERS}\ufffd])[{re.escape(punctuation)}]", tokens))
+    signs = re.escape("".join(c for c in punctuation if c not in joined))
+    after_letters = [(re.compile(f"[{signs}](?<=[{LETTERS}].)"), rf"{NEXT_PART}\g<0>")] if signs else []
+    return [*after_letters, (re.compile(f"\n(?<=[!-~]\n)(?=[{LETTERS}])"), f"\n{NEXT_PART}")]
 
 
-def intervals(ids: list[list[int]], lengths: np.ndarray) -> pa.Table:
-    """(n, seg, id, s, e): the tokens of all segments in a row, from byte s to e of one axis."""
-    flat = np.fromiter(chain.from_iterable(ids), np.int64)
-    ends = np.cumsum(lengths[flat])
-    segs = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
-    return pa.table({"n": np.arange(len(flat)), "seg": segs, "id": flat, "s": ends - lengths[flat], "e": ends})
+def segmented(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What CUT makes of the texts: different segments, each text's segments by their places there, all in a row, and where each text's end.
+
+    Arrow splits at all spaces; texts with a space elsewhere than between ordinary characters are cut again.
+    """
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    words = split.values.dictionary_encode()
+    strings, codes, ends = words.dictionary, words.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+    first, last = (pc.match_substring_regex(strings, x).to_numpy(zero_copy_only=False) for x in (f"^{PLAIN}", f"{PLAIN}\\z"))
+    odd = np.append(~(last[codes[:-1]] & first[codes[1:]]), False)  # the space behind a word
+    odd[ends[1:] - 1] = False
+    other = np.flatnonzero(np.logical_or.reduceat(odd, ends[:-1]) | [not t for t in texts])
+    plain = strings.to_numpy(zero_copy_only=False).tolist()
+    if not len(other):
+        return plain, codes, ends[1:]
+    again = {k: CUT.split(texts[k]) if texts[k] else [] for k in other.tolist()}
+    different: dict[str, int] = {}
+    rows = [again[k] if k in again else list(map(plain.__getitem__, codes[ends[k] : ends[k + 1]].tolist())) for k in range(len(texts))]
+    codes = np.array([different.setdefault(s, len(different)) for r in rows for s in r], np.int64)
+    return list(different), codes, np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+
+
+def gives_back(ids: np.ndarray, counts: np.ndarray, tokens: list[bytes], texts: list[bytes]) -> np.ndarray:
+    """Whether the tokens' bytes are the text's, for each text; ``counts`` has the number of each one's tokens."""
+    found = list(map(tokens.__getitem__, ids.tolist()))
+    ends = np.cumsum(counts)
+    before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+    if (np.diff(before[np.concatenate([[0], ends])]) == list(map(len, texts))).all() and b"".join(found) == b"".join(texts):
+        return np.ones(len(texts), bool)
+    return np.array([b"".join(found[e - n : e]) == t for n, e, t in zip(counts.tolist(), ends.tolist(), texts)])
+
+
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each text has."""
+    return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def intervals(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> pa.Table:
+    """(n, seg, id, s, e): the tokens of all parts in a row, from byte s to e of one axis."""
+    ends = np.cumsum(lengths[ids])
+    return pa.table({"n": np.arange(len(ids)), "seg": np.repeat(np.arange(len(counts)), counts), "id": ids, "s": ends - lengths[ids], "e": ends})
 
 
 def written_groups(a: pa.Table, b: pa.Table, a_group: np.ndarray, b_group: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The number of the segments that have tokens, and their groups as text; ``marked`` has every id with each of MARKS."""
+    """The number of the parts that have tokens, and their groups as text; ``marked`` has every id with each of MARKS."""
     side = np.repeat([0, 1], [len(a_group), len(b_group)])
     group, seg = np.concatenate([a_group, b_group]), np.concatenate([a["seg"].to_numpy(), b["seg"].to_numpy()])
     # a token stands behind all of its side before it, and all of the other side's in groups before (for B: up to) its own
@@ -118,51 +174,120 @@ def written_groups(a: pa.Table, b: pa.Table, a_group: np.ndarray, b_group: np.nd
     return seg[last], [text[s:e] for s, e in zip([0, *ends], ends)]
 
 
-class Segments:
-    """Alignments of the segments met so far; ``place`` has each one's number."""
+class Known:
+    """Alignments of the strings met so far; ``place`` has each one's number."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.groups: list[bytes] = []
+        self.sizes = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.whole = np.zeros(0, bool)  # both tokenizers' bytes are the string's
+        self.pairs = np.zeros(0, np.int64)
+        self.ends = np.zeros(1, np.int64)
+
+    def full(self) -> bool:
+        return len(self.place) > REMEMBERED or len(self.pairs) > REMEMBERED_TOKENS
+
+    def add(self, new: list[str], groups: list[bytes], sizes: np.ndarray, whole: np.ndarray, pairs: np.ndarray) -> None:
+        self.place.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        self.groups += groups
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.whole = np.concatenate([self.whole, whole])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes[:, 3])])
+        self.pairs = np.concatenate([self.pairs, pairs])
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
+
+    def links(self, at: np.ndarray) -> np.ndarray:
+        """The pairs of all these strings in a row."""
+        n = self.sizes[at, 3]
+        starts = self.ends[at] - np.concatenate([[0], np.cumsum(n)[:-1]])
+        return self.pairs[np.repeat(starts, n) + np.arange(n.sum())]
+
+
+class Segments(Known):
+    """Alignments of the segments met so far, put together from those of their ``parts``."""
 
     def __init__(self, a_path: str, b_path: str):
         import duckdb
 
+        super().__init__()
+        self.parts = Known()
         self.a, self.a_bytes, self.b, self.b_bytes = vocabularies(a_path, b_path)
+        self.cuts = part_cuts(a_path, b_path)
         ids = range(max(len(self.a_bytes), len(self.b_bytes)))
         self.marked = np.array([[f"{i}{m}".encode() for m in MARKS] for i in ids], object)
         self.a_lengths, self.b_lengths = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.duck = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": f"{tempfile.gettempdir()}/spilled-{uuid.uuid4().hex}"})
-        self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.groups: list[bytes] = []
-        self.sizes = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
-        self.whole = np.zeros(0, bool)  # both tokenizers' bytes are the segment's
-        self.pairs = np.zeros(0, np.int64)
-        self.ends = np.zeros(1, np.int64)
+        """All segments; their parts are kept until there are too many."""
+        super().__init__()
 
-    def learn(self, segments: set[str]) -> None:
+    def learn(self, segments: Iterable[str]) -> None:
         new, chars = [], 0
-        for s in sorted(segments - self.place.keys()):
+        for s in segments:
+            if s in self.place:
+                continue
             new.append(s)
             chars += len(s)
             if chars > SLICE_CHARS:
-                self._align(new)
+                self._put_together(new)
                 new, chars = [], 0
         if new:
-            self._align(new)
+            self._put_together(new)
+
+    def _put_together(self, new: list[str]) -> None:
+        if self.parts.full():
+            self.parts = Known()
+        parts = " " + f"{NEXT_SEGMENT} ".join(new)
+        for where, instead in self.cuts:
+            parts = where.sub(instead, parts)
+        counts = np.fromiter((s.count(NEXT_PART) + 1 for s in parts.split(NEXT_SEGMENT)), np.int64, len(new))
+        every = parts.replace(NEXT_SEGMENT, NEXT_PART).split(NEXT_PART)
+        if unknown := list(set(every) - self.parts.place.keys()):
+            self._align(unknown)
+        at = self.parts.numbers(every)
+        starts = np.cumsum(counts) - counts
+        found = list(map(self.parts.groups.__getitem__, at.tolist()))
+        groups = [found[k] if n == 1 else b";".join(found[k : k + n]) for k, n in zip(starts.tolist(), counts.tolist())]
+        self.add(new, groups, np.add.reduceat(self.parts.sizes[at], starts), np.logical_and.reduceat(self.parts.whole[at], starts), self.parts.links(at))
+
+    def _a_ids(self, plain: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all these parts; the plain ones begin with a space, so that they are encoded many at a time."""
+        alone = lambda texts: [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        own = [p.encode() for p in plain]
+        ids, _ = flat(alone(["".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]))
+        ends, own_ends = np.cumsum(self.a_lengths[ids]), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        at = np.searchsorted(ends, own_ends)
+        if len(own) and not (ends[-1] == own_ends[-1] and (ends[at] == own_ends).all() and b"".join(map(self.a_bytes.__getitem__, ids.tolist())) == b"".join(own)):
+            return flat(alone(plain + other))
+        rest, counts = flat(alone(other))
+        return np.concatenate([ids, rest]), np.concatenate([np.diff(at, prepend=-1), counts])
+
+    def _b_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """B's ids of all these parts; those without a space are encoded behind a line's end, whose own ids are left out."""
+        ids = self.b.encode([p[1:] if p[0] == " " else f"\n{p}" for p in parts], num_threads=1)
+        lead = len(self.b.encode("\n"))
+        return flat([x if p[0] == " " else x[lead:] for p, x in zip(parts, ids)])
 
     def _align(self, new: list[str]) -> None:
-        a_ids = [x.ids for x in self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False)]
-        b_ids = self.b.encode(new, num_threads=1)
-        own = [b" " + s.encode() for s in new]
-        whole = gives_back(a_ids, self.a_bytes, self.a_lengths, own) & gives_back(b_ids, self.b_bytes, self.b_lengths, own)
-        for k in np.flatnonzero(~whole):
-            a_ids[k], b_ids[k] = [], []
+        plain = [p for p in new if p[0] == " " and PLAIN_ENDS.fullmatch(p, 1)]
+        other = list(set(new).difference(plain))
+        new = plain + other
+        own = [p.encode() for p in new]
+        (a_ids, a_counts), (b_ids, b_counts) = self._a_ids(plain, other), self._b_ids(new)
+        whole = gives_back(a_ids, a_counts, self.a_bytes, own) & gives_back(b_ids, b_counts, self.b_bytes, own)
+        if not whole.all():
+            a_ids, b_ids = a_ids[np.repeat(whole, a_counts)], b_ids[np.repeat(whole, b_counts)]
+            a_counts, b_counts = a_counts * whole, b_counts * whole
         sizes = np.zeros((len(new), 4), np.int64)
         groups = [b""] * len(new)
-        sizes[:, 0], sizes[:, 1] = list(map(len, a_ids)), list(map(len, b_ids))
+        sizes[:, 0], sizes[:, 1] = a_counts, b_counts
         pairs = np.zeros(0, np.int64)
         if whole.any():
-            a, b = intervals(a_ids, self.a_lengths), intervals(b_ids, self.b_lengths)
+            a, b = intervals(a_ids, a_counts, self.a_lengths), intervals(b_ids, b_counts, self.b_lengths)
             self.duck.register("a", a)
             self.duck.register("b", b)
             a_group, b_group = (self.duck.sql(GROUPS_SQL.format(own=x)).to_arrow_table()["g"].to_numpy() for x in "ab")
@@ -172,22 +297,17 @@ class Segments:
             found = self.duck.sql(LINKS_SQL).to_arrow_table()
             pairs = found["pair"].to_numpy()
             sizes[:, 3] = np.bincount(found["seg"].to_numpy(), minlength=len(new))
-        self.place.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
-        self.groups += groups
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.whole = np.concatenate([self.whole, whole])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes[:, 3])])
-        self.pairs = np.concatenate([self.pairs, pairs])
+        self.parts.add(new, groups, sizes, whole, pairs)
 
     def row(self, segments: list[str], with_groups: bool) -> tuple | None:
+        return self.row_of(self.numbers(segments), with_groups)
+
+    def row_of(self, at: np.ndarray, with_groups: bool) -> tuple | None:
         """Sizes, digest, groups, and the different pairs with how often each is linked; None without tokens."""
-        at = np.fromiter(map(self.place.__getitem__, segments), np.int64, len(segments))
         if not len(at) or not self.whole[at].all():
             return None
         groups = b";".join(map(self.groups.__getitem__, at.tolist()))
-        n = self.sizes[at, 3]
-        starts = self.ends[at] - np.concatenate([[0], np.cumsum(n)[:-1]])
-        pairs, times = np.unique(self.pairs[np.repeat(starts, n) + np.arange(n.sum())], return_counts=True)
+        pairs, times = np.unique(self.links(at), return_counts=True)
         return self.sizes[at].sum(axis=0).tolist(), hashlib.sha256(groups).hexdigest(), groups.decode() if with_groups else None, pairs, times.astype(np.int32)
 
 
@@ -243,13 +363,14 @@ def linked(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False)
         known, counts = Segments(a_path, b_path), PartialCounts()
         row_id = TaskContext.get().partitionId() << 33
         for ids, texts in slices(batches):
-            if len(known.place) > REMEMBERED or len(known.pairs) > REMEMBERED_TOKENS:
+            if known.full():
                 known.forget()
-            cut_texts = [CUT.split(t) if t else [] for t in texts]
-            known.learn({s for x in cut_texts for s in x})
+            segments, codes, ends = segmented(texts)
+            known.learn(segments)
+            at = known.numbers(segments)[codes]
             columns: list[list] = [[] for _ in LINKS]
-            for doc_id, segments in zip(ids, cut_texts):
-                found = known.row(segments, with_groups)
+            for doc_id, own in zip(ids, np.split(at, ends[:-1])):
+                found = known.row_of(own, with_groups)
                 sizes, sha, groups, pairs, times = found or ([0] * 4, "", "" if with_groups else None, np.zeros(0, np.int64), np.zeros(0, np.int32))
                 if found:
                     counts.add(pairs)

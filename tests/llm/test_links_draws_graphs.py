@@ -98,6 +98,46 @@ def test_groups_are_given_and_tasks_forget(spark, monkeypatch):
     assert one[:3] == again[:3] and one[3].tolist() == again[3].tolist() and one[4].tolist() == again[4].tolist()
 
 
+def test_parts_of_segments_are_aligned_once():
+    known, given = token_links.Segments(A, B), []
+
+    class Counted:
+        def __init__(self, b):
+            self.encode = lambda texts, **named: (given.extend([texts] if isinstance(texts, str) else texts), b.encode(texts, **named))[1]
+
+    known.b = Counted(known.b)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    known.learn({w + end for w in words for end in ("", ".", ",", "!", "...", "'s", ".\nThen", ";\nThen")})
+    assert len(given) <= 120  # not all 800
+    assert known.row(["waa.\nThen", "wab's"], True)[0][0] > 5
+
+
+def test_links_of_signs_and_line_ends_between_letters(spark):
+    seed = np.random.default_rng(3)
+    signs = [*"aBñÉ \n\r\t.,;!?'|<>$&_-/7é漢😀", "  ", "\n\n", " The", "n't", "<s>", "</s>", "<|endoftext|>", ". ", ".\nThe ", " word, "]
+    rows = [(i, "".join(seed.choice(signs, seed.integers(1, 40)))) for i in range(400)]
+    found = sorted(tuple(r) for r in token_links.align(docs(spark, rows), A, B).collect())
+    assert found == [(i, *want) for (i, _), want in zip(rows, plain_links([t for _, t in rows]))]
+
+
+def test_texts_are_cut_as_by_the_pattern():
+    texts = ["", " ", "a b", " a b", "a b ", "a  b c", "a \u00a0b c", "é 漢 x\n y z", "one", "a b c d"]
+    segments, codes, ends = token_links.segmented(texts)
+    assert [[segments[k] for k in x] for x in np.split(codes, ends[:-1])] == [token_links.CUT.split(t) if t else [] for t in texts]
+    assert ends[-1] == len(codes)
+
+
+def test_no_cut_where_a_vocabulary_joins(monkeypatch):
+    given = token_links.vocabularies(A, B)
+    found = lambda: token_links.part_cuts.__wrapped__(A, B)
+    cut = lambda s: [s := where.sub(instead, s) for where, instead in found()][-1].split(token_links.NEXT_PART)
+    assert cut(" one.\nTwo,") == [" one", ".\n", "Two", ","]
+    monkeypatch.setattr(token_links, "vocabularies", lambda *_: (*given[:3], [*given[3], b"s."]))
+    assert cut(" one.\nTwo,") == [" one.\n", "Two", ","]
+    monkeypatch.setattr(token_links, "vocabularies", lambda *_: (given[0], [*given[1], b"\nTwo"], *given[2:]))
+    assert found() == []
+
+
 def test_partial_counts_merge():
     held = token_links.PartialCounts()
     held.add(np.array([1, 5]))
