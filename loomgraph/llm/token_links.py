@@ -3,10 +3,10 @@
 A text is cut into segments at single spaces between ordinary characters, and a segment into parts where a sign follows a
 letter or a letter a line's end. Neither tokenizer joins characters across such a cut, so a text's tokens are those of its
 segments in a row, and theirs those of their parts; a part is aligned once for as long as the task remembers it. The tokens
-of a slice's new parts are laid out on one axis of bytes as two interval tables in DuckDB: wherever a token begins, ASOF
-joins find the one token of either side that lies there, which is each linked pair once, and window sums over common ends
-number the groups. A task counts in how many of its documents each linked pair of ids occurs; Spark merges these partial
-counts, and every document's pairs are joined with the sums.
+of a slice's new parts are laid out on one axis of bytes as two interval tables in DuckDB: ASOF joins find the first and the
+last token of B that each token of A touches, a range join the ones between, and window sums over common ends number the
+groups. A task counts in how many of its documents each linked pair of ids occurs; Spark merges these partial counts, and
+every document's pairs are joined with the sums.
 """
 
 from __future__ import annotations
@@ -71,10 +71,9 @@ GROUPS_SQL = """
 SELECT n, count(ends.e) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g
 FROM {own} own LEFT JOIN (SELECT a.e FROM a SEMI JOIN b ON a.e = b.e) ends ON own.e = ends.e ORDER BY n
 """
-#: Two tokens share bytes from the place where the later one of them begins, and no other two share that place.
 LINKS_SQL = """
-SELECT a.seg, (a.id << 32) | b.id AS pair FROM (SELECT s FROM a UNION SELECT s FROM b) begins
-ASOF JOIN a ON begins.s >= a.s ASOF JOIN b ON begins.s >= b.s ORDER BY a.seg
+WITH touched AS (SELECT a.seg, a.id, lo.n AS first, hi.n AS last FROM a ASOF JOIN b lo ON a.s >= lo.s ASOF JOIN b hi ON a.e > hi.s)
+SELECT t.seg, (t.id << 32) | b.id AS pair FROM touched t JOIN b ON b.n BETWEEN t.first AND t.last ORDER BY t.seg
 """
 #: What follows an id in a written group: another of its side, the other side, another group, nothing.
 MARKS = (",", "|", ";", "")
