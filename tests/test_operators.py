@@ -147,3 +147,25 @@ def test_chains_are_followed_to_their_end(spark):
     edges = [(k, k + 1) for k in range(14)] + [(100, 101), (201, 202), (202, 203), (203, 202)]
     out = versions.chains(spark.createDataFrame(edges, "src long, dst long"))
     assert sorted((r["root"], r["path"], r["hops"]) for r in out.collect()) == [(0, list(range(15)), 14), (100, [100, 101], 1), (201, [201, 202, 203], 2)]
+
+
+def test_join_dealt(spark):
+    from loomgraph.plans.shared import join_dealt
+
+    left = spark.createDataFrame([("hot", k) for k in range(300)] + [("cold", 1), ("lone", 2), (None, 3)], "g string, a long")
+    right = spark.createDataFrame([("hot", k) for k in range(70)] + [("hot", 0), ("cold", 1), ("cold", 2), (None, 3)], "g string, b long")
+    out = join_dealt(left, right, "g", pairs=1000)
+    assert sorted(map(tuple, out.select("g", "a", "b").collect())) == sorted(map(tuple, left.join(right, "g").select("g", "a", "b").collect()))
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 5 and max(held) < 300 * 71 / 2  # the key's pairs don't meet in one task
+    assert join_dealt(left.limit(0), right, "g").count() == 0
+
+
+def test_mentions_below_each_other(spark):
+    from loomgraph.operators import lookup
+
+    nodes = spark.createDataFrame([("g/a/x",), ("g/a",), ("g/b",), ("g/b",), (None,)], "id string")
+    mentions = spark.createDataFrame([(1, "g"), (1, "g/a"), (1, "g/a"), (None, "g/a/x"), (None, "g/a"), (2, "none"), (2, None)], "key int, path string")
+    found = lookup.mention_links(mentions, nodes)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(1, "g/a/x"), (1, "g/a"), (1, "g/b"), (None, "g/a/x"), (None, "g/a")]))
+    assert found._jdf.queryExecution().analyzed().toString().startswith("Project")  # links are many more than rows; no distinct() deals them out again
