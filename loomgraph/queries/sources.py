@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import categories, chunks, conventions, extraction, intents, paths, scores, units
@@ -60,7 +62,7 @@ def dictionary_documents(spark, sf_dir):
 
 
 def nested_texts(spark, sf_dir):
-    """Dictionary files with nested structures: some documented, with units that refer elsewhere, coordinates, bounds and states."""
+    """Dictionary files in pieces, with nested structures: some documented, with units that refer elsewhere, coordinates, bounds and states."""
     k, size = F.col("p_partkey"), F.col("p_size")
     part = table(spark, sf_dir, "part").select(F.lower("p_type").alias("grp"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("brand"), k, "p_name", size)
     attribute = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))).otherwise("")
@@ -70,9 +72,19 @@ def nested_texts(spark, sf_dir):
         attribute("coordinate1", F.when(k % 2 == 0, "time")), attribute("coordinate2", F.when(k % 4 == 0, "1...N")), attribute("min", F.when(k % 5 == 0, k)), attribute("lifecycle_status", F.when(k % 9 == 0, "obsolescent")),
         attribute("introduced_after", F.when(k % 6 == 0, "3.2.0")), attribute("doc_identifier", F.when(k % 8 == 0, "x/y_identifier.xml")), F.lit("/>"),
     )
-    brands = part.groupBy("grp", "brand").agg(F.concat(F.lit('<field name="'), "brand", F.lit('" data_type="STRUCTURE" units="Pa" documentation="About '), "brand", F.lit('!" lifecycle_status="alpha"><part>'), F.array_join(F.sort_array(F.collect_list(field)), ""), F.lit("</part></field>")).alias("x"))
-    body = F.concat(F.lit('<root><IDS name="'), "grp", F.lit('" documentation="All of '), "grp", F.lit('">'), F.array_join(F.sort_array(F.collect_list("x")), ""), F.lit("</IDS></root>"))
-    return brands.groupBy("grp").agg(body.alias("value")).select(F.col("grp").alias("file"), "value")
+    # pieces of a file, as no task should hold one whole: of place 1 are structures, each with its fields of kind 1
+    piece = lambda df, place, brand, kind, at, value: df.select(F.col("grp").alias("file"), F.struct(F.lit(place).alias("place"), brand.alias("brand"), F.lit(kind).alias("kind"), at.alias("at")).alias("place"), value.alias("value"))
+    none, nowhere, brand = F.lit(""), F.lit(0).cast("long"), F.col("brand")
+    brands = part.where("brand is not null").select("grp", "brand").distinct()
+    groups = part.select("grp").distinct()
+    pieces = [
+        piece(groups, 0, none, 0, nowhere, F.concat(F.lit('<root><IDS name="'), "grp", F.lit('" documentation="All of '), "grp", F.lit('">'))),
+        piece(brands, 1, brand, 0, nowhere, F.concat(F.lit('<field name="'), "brand", F.lit('" data_type="STRUCTURE" units="Pa" documentation="About '), "brand", F.lit('!" lifecycle_status="alpha"><part>'))),
+        piece(part.where("brand is not null"), 1, brand, 1, k, field),
+        piece(brands, 1, brand, 2, nowhere, F.lit("</part></field>")),
+        piece(groups, 2, none, 0, nowhere, F.lit("</IDS></root>")),
+    ]
+    return reduce(DataFrame.unionByName, pieces).where("file is not null and value is not null")
 
 
 UNITS_OF = "CASE p_size % 7 WHEN 0 THEN CASE WHEN k % 4 = 0 THEN 'm^2' WHEN k % 2 = 0 THEN 'm' ELSE 'm^3' END WHEN 1 THEN 'rad' WHEN 3 THEN 'T.m' WHEN 4 THEN '1' ELSE '' END"

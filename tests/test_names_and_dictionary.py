@@ -128,3 +128,20 @@ def test_semantic_groups_list_all_paths(spark):
     fields = spark.range(2500).select(F.lit("g").alias("grp"), F.format_string("g/f%05d", "id").alias("path"), F.lit("T").alias("units"), F.array().cast("array<string>").alias("coordinates"))
     found = dictionary.semantic_groups(fields).first()
     assert found["n"] == 2500 and found["paths"] == [f"g/f{k:05d}" for k in range(2500)]
+
+
+def test_files_in_pieces(spark):
+    cut = [XML[k : k + 7] for k in range(0, len(XML), 7)]
+    pieces = [("f", k, x) for k, x in enumerate(cut)] + [("bad", 0, "<root><IDS name='g'/>"), ("bad", 1, "<b></root>"), ("bad", 2, "<c/>"), ("none", 0, None), ("g", 0, "<root>"), ("g", 1, None), ("g", 2, "<IDS name='é'/></root>")]
+    found = dictionary.elements(spark.createDataFrame(pieces[::-1], "file string, place int, value string"))
+    whole = dictionary.elements(spark.createDataFrame([("f", XML), ("g", "<root><IDS name='é'/></root>")], "file string, value string"))
+    rows = [sorted(map(str, df.collect())) for df in (found, whole)]
+    assert rows[0] == rows[1] and len(rows[0]) == 12
+
+
+def test_large_files_in_bounded_batches():
+    text = "<root><IDS name='g'>" + "".join(f"<field name='f{k}' units='m'/>" for k in range(20_000)) + "</IDS></root>"
+    rows = dictionary.named_elements("f", iter([text]), "IDS")
+    first = next(rows)
+    assert first[:5] == ("f", "g", "field", "g/f0", "f0") and first[7:] == ([("name", "f0"), ("units", "m")], [{"name": "g", "attributes": [("name", "g")]}])
+    assert sum(1 for _ in rows) == 20_000  # the group itself comes last
