@@ -1,21 +1,24 @@
 """Nearest names by a weighted ratio or by edits, exactly, without letting every name meet every id.
 
-Ids are indexed by their different pairs of characters (grams). An insertion or deletion takes at most two grams from a name, so
-an id within some number of them holds all but twice as many of the name's grams: it must hold one of any set that is
-one larger. A first look at the ids that share most of a name's rarest grams gives scores that the answer must
-reach; they bound the number of edits, and the name then meets only the ids that hold one of so many of its rarest grams.
+By a weighted ratio: blocks of names go down trees of ids by their beginnings (``subsequences``). A first look that follows the
+likeliest beginnings gives scores that the answer must reach; then all beginnings are left that can't reach them.
 
-Where the bound rules out nothing, because the best scores are low, a name meets the ids of its group, dealt over SALTS tasks.
+By edits: ids are indexed by their different pairs of characters (grams). An insertion or deletion takes at most two grams from a name,
+so an id within some number of them holds all but twice as many of the name's grams: it must hold one of any set that is one
+larger. Where that rules out nothing, a name meets the ids of its group, dealt over SALTS tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import subsequences
+from loomgraph.operators.blocks import runs
 from loomgraph.plans.shared import cut
 
 GRAM = 2
@@ -23,6 +26,8 @@ GRAM = 2
 FIRST_GRAMS = 8
 FIRST = 24
 SALTS = 16
+#: Names and ids of a group that meet in one task, and blocks of a group's names at most; tasks at most; pairs passed on at once.
+NAMES_IN_BLOCK, NAME_BLOCKS, IDS_IN_BLOCK, MOST_CELLS, PAIRS_AT_ONCE = 500, 8, 100_000, 2000, 5000
 # Weights of the weighted ratio, and how many times longer a text must be to be matched in parts.
 TOKEN_WEIGHT, PART_WEIGHT, SMALL_PART_WEIGHT = 0.95, 0.9, 0.6
 PARTS_FROM, SMALL_PARTS_FROM = 1.5, 8.0
@@ -137,37 +142,78 @@ def scored(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("name", "same", "id", "bound").mapInArrow(run, "name string, same string, id string, score double")
 
 
+def cells(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(same, i, j, few, text, bound): names (with a bound) and ids of a group dealt to blocks, each sent to all blocks of the other side.
+
+    A group has at most NAME_BLOCKS blocks of names, so ids are copied as often at most; blocks of ids have about IDS_IN_BLOCK.
+    """
+    count = lambda side, n: side.groupBy("same").agg(F.count("*").alias(n))
+    a = F.least(F.ceil(F.col("n") / NAMES_IN_BLOCK), F.lit(NAME_BLOCKS)).cast("int").alias("a")
+    sizes = cut(count(names, "n").join(count(known, "m"), "same").select("same", a, F.ceil(F.col("m") / IDS_IN_BLOCK).cast("int").alias("b")))
+    tasks = min(MOST_CELLS, sizes.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 1)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = names.join(sizes, "same").select("same", own("name", "a").alias("i"), all_of("b").alias("j"), F.lit(True).alias("few"), F.col("name").alias("text"), F.col("bound").cast("double"))
+    right = known.join(sizes, "same").select("same", all_of("a").alias("i"), own("id", "b").alias("j"), F.lit(False), F.col("id"), F.lit(0.0))
+    # few rows make much work, so the number of tasks is given
+    return left.union(right).repartition(tasks, "same", "i", "j").sortWithinPartitions("same", "i", "j")
+
+
+def likely(names: DataFrame, known: DataFrame, k: int, least: float, followed: int | None = None) -> DataFrame:
+    """(name, same, id, bound): the pairs of names (name, same, bound) and ids of a group that may be among the ``k`` best and reach the bound.
+
+    With ``followed``, pairs of a first look only. Subsequences in common bound the ratios of texts of one word each; a text of several
+    words, or an id that is too long for a tree, meets all.
+    """
+    columns = ["name", "same", "id", "bound"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in runs(batches, ["same", "i", "j"]):
+            same, few = cell["same"].iloc[0], cell["few"].to_numpy()
+            texts, bounds = cell["text"].to_numpy(), cell["bound"].to_numpy()
+            worded = lambda x: any(c.isspace() for c in x)
+            ids = sorted(x for x in texts[~few] if x or least <= 0)
+            plain = [x for x in ids if x and len(x) <= subsequences.LONGEST and "\0" not in x and not worded(x)]
+            held = set(plain)
+            odd = [x for x in ids if x not in held]
+            asked = sorted(((n, b) for n, b in zip(texts[few], bounds[few]) if n or least <= 0), key=lambda x: len(x[0]))
+            single = [x for x in asked if x[0] and not worded(x[0])]
+            if followed is None:
+                met = set(n for n, _ in single)
+                for name, bound in asked:
+                    whole = odd if name in met else ids
+                    for at in range(0, len(whole), PAIRS_AT_ONCE):
+                        part = whole[at : at + PAIRS_AT_ONCE]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([same] * len(part)), pa.array(part), pa.array([bound] * len(part))], names=columns)
+            if not plain:
+                continue
+            tree, every = subsequences.Tree(plain), np.array(plain, object)
+            at = 0
+            while at < len(single):
+                batch = single[at : at + subsequences.NAMES]
+                batch = batch[: max(1, subsequences.NAMES * subsequences.WORD // len(batch[-1][0]))]
+                at += len(batch)
+                of, limits = np.array([n for n, _ in batch], object), np.array([b for _, b in batch])
+                for x, y in subsequences.search(tree, of.tolist(), np.maximum(limits, least), k, PARTS_FROM, PART_WEIGHT, followed):
+                    yield pa.RecordBatch.from_arrays([pa.array(of[x], pa.string()), pa.array([same] * len(x), pa.string()), pa.array(every[y], pa.string()), pa.array(limits[x], pa.float64())], names=columns)
+
+    return cells(names, known).mapInArrow(run, "name string, same string, id string, bound double")
+
+
 def nearest(asked: DataFrame, known: DataFrame, k: int, least: float) -> DataFrame:
     """(name, same, id, score, place): up to ``k`` ids of the name's group with the best weighted ratio, ties by id.
 
     ``asked`` is (name, same), ``known`` (id, same), both texts; what is null is left out, and what repeats counts once. Exact:
     no id that belongs to the answer is passed over.
     """
-    asked = asked.select("name", "same").where("name is not null and same is not null").distinct()
+    names = cut(asked.select("name", "same").where("name is not null and same is not null").distinct())
     known = cut(known.select("id", "same").where("id is not null and same is not null").distinct())
-    index = cut(indexed(known))
-    names = cut(rarest_first(asked, index))
-    first = holding(names, F.slice(F.filter("g", lambda x: x["n"] > 0), 1, FIRST_GRAMS), index)
-    order = Window.partitionBy("name", "same").orderBy(F.desc("shared"), "id")
-    first = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST)
-    reached = scored(first.withColumn("bound", F.lit(0.0)), least).groupBy("name", "same").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    first = likely(names.withColumn("bound", F.lit(float(least))), known, k, least, subsequences.FOLLOWED)
+    reached = scored(first, least).groupBy("name", "same").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
     bound = F.coalesce(F.get("s", F.lit(k - 1)), F.lit(float(least)))
-    spaced = lambda c: F.regexp_like(c, F.lit(r"\s"))
-    # of ids whose plain ratio reaches the bound: the longest one's length, and the insertions and deletions they may need
-    share = F.greatest(F.col("bound"), F.lit(1.0)) / 100
-    errors = F.floor((1 - share) * F.length("name") * (1 + (2 - share) / share) + F.lit(1e-6)).cast("int")
-    bounded = names.join(reached, ["name", "same"], "left").select("name", "same", "g", bound.alias("bound"))
-    bounded = cut(bounded.withColumn("taken", GRAM * errors + 1).withColumn("open", (F.size("g") < F.col("taken")) | spaced(F.col("name"))))
-    alike = holding(bounded.where("not open"), F.slice("g", F.lit(1), F.col("taken")), index).join(bounded.select("name", "same", "bound"), ["name", "same"])
-    times = F.greatest(F.length("name"), F.length("id")) / F.greatest(F.least(F.length("name"), F.length("id")), F.lit(1))
-    in_parts = (times >= PARTS_FROM) & (F.col("bound") <= 100 * PART_WEIGHT)
-    loose = bounded.where((F.col("bound") <= 100 * PART_WEIGHT) | F.col("open"))
-    others = meeting(loose.select("name", "same", "bound", "open"), known).where(in_parts | (F.col("open") & ((times < PARTS_FROM) | spaced(F.col("name")))))
-    worded = meeting(bounded.select("name", "same", "bound"), known.where(spaced(F.col("id"))))
-    columns = ["name", "same", "id", "bound"]
-    pairs = alike.select(columns).union(others.select(columns)).union(worded.select(columns)).distinct()
+    bounded = cut(names.join(reached, ["name", "same"], "left").select("name", "same", bound.alias("bound")))
     best = Window.partitionBy("name", "same").orderBy(F.desc("score"), "id")
-    return scored(pairs, least).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return scored(cut(likely(bounded, known, k, least)), least).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
 def fewest_edits(asked: DataFrame, known: DataFrame, tie: Column, name: str = "name") -> DataFrame:
