@@ -169,3 +169,16 @@ def test_mentions_below_each_other(spark):
     found = lookup.mention_links(mentions, nodes)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(1, "g/a/x"), (1, "g/a"), (1, "g/b"), (None, "g/a/x"), (None, "g/a")]))
     assert found._jdf.queryExecution().analyzed().toString().startswith("Project")  # links are many more than rows; no distinct() deals them out again
+
+
+def test_pairs_of_one_source_are_dealt_out(spark, monkeypatch, tmp_path):
+    from loomgraph.plans import shared
+    from loomgraph.queries.lookup import find_chunks
+
+    spark.range(40).selectExpr("20 * id as page_id", "concat('http://x/EN/', id) as url").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(50).selectExpr("id as doc_id", "'The end' as text", "'src0' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(shared, "PAIRS_IN_TASK", 100)
+    out = find_chunks(spark, str(tmp_path))
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 2000 and max(held) < 1000
+    assert out.distinct().count() == 2000
